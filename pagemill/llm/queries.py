@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
 from .license_scan import license_scan
 from .mixing import mix_sources
 from .quality_rules import quality_rules
+from .substring_dedup import substring_dedup
 from .url_filters import url_filter
 from .warc import roundtrip
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).drop("source")
 
@@ -34,5 +41,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix, op3_license, op5_quality, op6_urls, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op5_quality, op6_urls, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
