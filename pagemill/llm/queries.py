@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .license_scan import license_scan
 from .mixing import mix_sources
+from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .url_filters import url_filter
@@ -29,6 +30,10 @@ def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents")).drop("row_id")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
@@ -41,5 +46,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op5_quality, op6_urls, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
