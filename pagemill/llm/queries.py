@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
+from .toxicity import toxicity
 from .url_filters import url_filter
 from .warc import roundtrip
 
@@ -43,6 +44,11 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_id")
 
@@ -51,5 +57,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op8_decontaminate, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
