@@ -131,13 +131,20 @@ class Hasher:
             base[0] = 1
             self.ipw = np.multiply.accumulate(base)
 
-    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, _U)
-        self._grow(len(data))
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Running sums from which spans() hashes any byte ranges."""
+        self._grow(len(data) + 1)
         sums = np.empty(len(data) + 1, _U)
         sums[0] = 0
         np.cumsum(self.table[data] * self.pw[: len(data)], out=sums[1:])
+        return sums
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.spans(self.sums(data), starts, ends)
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, _U)
         return mix((sums[ends] - sums[starts]) * self.ipw[starts] + (ends - starts).astype(_U))
 
     def grams(self, words: np.ndarray, n: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon entries and patterns. Lexicons are found from a bounded sample of
-labelled rows: words that toxic rows hold significantly more often. A generative label
+Voters are lexicon entries and patterns. Lexicons of words and word stems are found
+from a bounded sample of labelled rows: entries whose rows are surely mostly toxic. A generative label
 model estimates each voter's accuracy by expectation maximisation, with the
 label of a row as one more, noisy voter; correlations that are left between
 voters given the posterior discount voters that say the same. A linear classifier is
@@ -31,7 +31,10 @@ from .common import ALNUM_SEP, LOWER, Hasher, text_slices, word_bounds
 
 #: Bound of the labelled rows that are learned from, and of the entries of the lexicon.
 SAMPLE_ROWS, LEXICON = 20_000, 64
-MIN_ROWS, MIN_Z = 3, 3.3
+#: An entry is in that many toxic rows at least, and the share of toxic rows among its own is that at least, at two sigma.
+MIN_ROWS, MIN_PRECISION = 5, 0.55
+#: Lengths of word beginnings that may be entries beside whole words: insults also come as stems of compounds.
+STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.7
 #: Fold of a document: crc32 of its id as text, modulo FOLDS; HELD_OUT is never learned from.
 FOLDS, HELD_OUT = 3, 1
@@ -49,6 +52,12 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def _wilson(p: Column, n: Column, z: float = 2.0) -> Column:
+    """Lower end of the interval of the share p / n."""
+    share = p / n
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 @dataclass
 class Model:
     """Lexicon with the linear classifier's weights: entries, then patterns, then the constant."""
@@ -58,22 +67,30 @@ class Model:
 
 
 def text_features(column: pa.Array, lexicon: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first, end, counts): per row the places of each lexicon entry, then words, ! marks, symbols, capitals, letters."""
+    """(first, end, counts): per row the places of each lexicon entry, then words, ! marks, symbols, capitals, letters.
+
+    An entry that ends in * stands for all words that begin so.
+    """
     hasher = Hasher(4)
     with np.errstate(over="ignore"):
-        raw = [np.frombuffer(w.encode(), np.uint8) for w in lexicon]
+        stems: dict[int | None, list[int]] = {}
+        for i, w in enumerate(lexicon):
+            stems.setdefault(len(w[:-1].encode()) if w.endswith("*") else None, []).append(i)
+        raw = [np.frombuffer(w.removesuffix("*").encode(), np.uint8) for w in lexicon]
         keys = np.array([hasher.words(r, np.array([0]), np.array([len(r)]))[0] for r in raw], np.uint64)
-        order = np.argsort(keys)
         for first, end, data, offs in text_slices(column):
             low = LOWER[data]
             starts, ends, heads = word_bounds(low, offs, ALNUM_SEP)
             rows = end - first
             out = np.zeros((rows, len(lexicon) + 5))
-            if len(keys) and len(starts):
-                h = hasher.words(low, starts, ends)
-                spot = np.minimum(np.searchsorted(keys[order], h), len(keys) - 1)
-                hit = np.flatnonzero(keys[order][spot] == h)
-                np.add.at(out, (np.searchsorted(heads, hit, "right") - 1, order[spot[hit]]), 1)
+            sums = hasher.sums(low)
+            for size, members in stems.items() if len(starts) else ():
+                at = np.arange(len(starts)) if size is None else np.flatnonzero(ends - starts >= size)
+                h = hasher.spans(sums, starts[at], ends[at] if size is None else starts[at] + size)
+                mine = np.array(members)[np.argsort(keys[members])]
+                spot = np.minimum(np.searchsorted(keys[mine], h), len(mine) - 1)
+                hit = np.flatnonzero(keys[mine][spot] == h)
+                np.add.at(out, (np.searchsorted(heads, at[hit], "right") - 1, mine[spot[hit]]), 1)
             out[:, len(lexicon)] = np.diff(heads)
             for k, mask in enumerate((data == 0x21, _SYMBOL[data], _UPPER[data], _ALPHA[data])):
                 out[:, len(lexicon) + 1 + k] = np.diff(np.searchsorted(np.flatnonzero(mask), offs))
@@ -151,17 +168,27 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") > 0.5).cast("int").alias("label"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # at most sample_rows small rows
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label").persist()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = sample.select("doc_id", "text", "label", F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOW), F.lit(WORDS), F.lit(0)).alias("words"))
+    # of near copies, which would count as evidence many times, most share their least 3-gram hash
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    sample = sample.groupBy(F.array_min(grams).alias("g"), "label").agg(F.min_by(F.struct("text", "words"), "doc_id").alias("s")).select("s.text", "s.words", "label").persist()
     n, pos = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or not pos or pos == n:
         sample.unpersist()
         return None
-    words = F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOW), F.lit(WORDS), F.lit(0)))
-    per_word = sample.select("label", F.explode(words).alias("word")).groupBy("word").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
-    odds = F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("c") - F.col("p") + 0.5) / (n - pos - F.col("c") + F.col("p") + 0.5))
-    spread = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (pos - F.col("p") + 0.5) + 1 / (F.col("c") - F.col("p") + 0.5) + 1 / (n - pos - F.col("c") + F.col("p") + 0.5))
-    found = per_word.where(F.col("p") >= MIN_ROWS).withColumn("z", odds / spread).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "word").limit(lexicon_size)
-    lexicon = [r.word for r in found.collect()]
+    words = F.array_distinct(F.col("words"))
+    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    entries = F.array_distinct(F.concat(words, *stems))
+    counted = sample.select("label", F.explode(entries).alias("entry")).groupBy("entry").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
+    found = counted.where(F.col("p") >= MIN_ROWS).withColumn("sure", _wilson(F.col("p"), F.col("c"))).where(F.col("sure") >= MIN_PRECISION)
+    # the surest and widest first; a longer entry before a shorter one that finds the same
+    ranked = found.orderBy(F.desc(F.col("p") * F.col("sure")), F.desc(F.length("entry")), "entry").limit(50 * lexicon_size)
+    lexicon: list[str] = []
+    for r in ranked.collect():
+        stem = r.entry.removesuffix("*")
+        if len(lexicon) < lexicon_size and not any(stem.startswith(x.removesuffix("*")) or x.startswith(stem) for x in lexicon):
+            lexicon.append(r.entry)
     if not lexicon:
         sample.unpersist()
         return None
@@ -172,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
             for first, end, counts in text_features(b.column(0), lexicon):
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(first, end - first), pa.array(list(counts), pa.list_(pa.float64()))], names=["label", "counts"])
 
-    got = sample.mapInArrow(measure, "label int, counts array<double>").toPandas()
+    got = sample.select("text", "label").mapInArrow(measure, "label int, counts array<double>").toPandas()
     sample.unpersist()
     counts = np.stack(got.counts.to_numpy()).reshape(len(got), width)
     order = np.lexsort((got.label.to_numpy(), *counts.T))  # the order of arrival does not matter
