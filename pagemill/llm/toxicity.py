@@ -146,7 +146,7 @@ def design(counts: np.ndarray, entries: int) -> np.ndarray:
     return np.column_stack([np.minimum(lex, 3), *[np.asarray(e, float) for e in extra]])
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: int = 30) -> np.ndarray:
+def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.03, rounds: int = 30) -> np.ndarray:
     """Logistic regression on soft targets by Newton steps."""
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
