@@ -91,13 +91,13 @@ def pivot_groups(rows: DataFrame, level: int, seed: int, last: bool) -> DataFram
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_copies: int = 3, seed: int = 7) -> DataFrame:
-    """docs(doc_id, text, source) -> (doc_id, size, source_size, target, taken, copies)."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """docs(doc_id, text, source) -> (doc_id, size, source_size, target, taken, copies, source, row_id); row_id: hash of id and text."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     # equal rows count together and part again by an ordinal: no window over documents
-    sized = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
-    sized = materialize(sized.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")), "mix-sizes")
+    sized = sized.groupBy("doc_id", "row_id", "source", "size").agg(F.count("*").alias("n"))
+    sized = materialize(sized.select("doc_id", "row_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")), "mix-sizes")
     goal = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).select("source", "source_size"), weights, share, max_copies), "mix-targets")
-    named = sized.withColumn("uid", F.xxhash64("doc_id", "source", "size", "k"))
+    named = sized.withColumn("uid", F.xxhash64("row_id", "source", "k"))
     rated = named.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor(F.col("rate") + EPS).cast("long"))
@@ -120,4 +120,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
         live = out.where(~F.col("settled")).select("source", "uid", "size", "p")
     extra = settled.select("uid", "size", F.col("p").cast("long").alias("extra"))
     out = rated.join(extra, ["uid", "size"], "left").withColumn("copies", F.col("whole") + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source", "row_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .decontaminate import decontaminate
 from .license_scan import license_scan
+from .lm_score import lm_score
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality_rules import quality_rules
@@ -25,7 +26,7 @@ def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(read(spark, sf_dir, "documents")).drop("source")
+    return mix_sources(read(spark, sf_dir, "documents")).drop("source", "row_id")
 
 
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +58,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -174,10 +175,11 @@ def _cut(s: _Slice, first_words: np.ndarray, window: int) -> tuple[pa.Array, np.
     return text, np.bincount(s.row[~keep], minlength=len(s.counts)).astype(np.int64)
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, rejoin: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with text replaced by the words kept, joined by one space, plus n_words and n_removed.
 
-    A column of docs that has one of the two added names is replaced.
+    A column of docs that has one of the two added names is replaced. Without
+    rejoin, texts that lose nothing stay as they are.
     """
     spark, size = docs.sparkSession, block_length(window)
     n = buckets(spark)
@@ -231,7 +233,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 s = _Slice(data, offs)
                 text, gone = _cut(s, _mark(s, key[first:end], doc[first:end], known[first:end], places), window)
                 part = b.slice(first, end - first)
-                cols = [text.cast(pa.string()) if c == text_col else part.column(c) for c in names]
+                text = text.cast(pa.string()) if rejoin else pc.if_else(pa.array(gone > 0), text.cast(pa.string()), part.column(text_col))
+                cols = [text if c == text_col else part.column(c) for c in names]
                 out.append(pa.table([*cols, pa.array(s.counts, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "n_words", "n_removed"]))
         return pa.concat_tables(out) if out else empty
 
