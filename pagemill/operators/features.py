@@ -49,6 +49,10 @@ def _rel(*values: str) -> Pred:
     return lambda e: _low(e, "rel").isin(*values)
 
 
+def _rel_holds(word: str) -> Pred:
+    return lambda e: F.contains(_low(e, "rel"), F.lit(word))
+
+
 def seo(dom: Column, url: Column, http: Column) -> Column:
     title = trim(F.coalesce(_first(dom, "title", lambda e: e["in_head"])["text"], F.lit("")))
     desc = _meta(dom, "name", "description")
@@ -234,7 +238,7 @@ def links(dom: Column) -> Column:
         _count(dom, "a").alias("total_links"),
         n(lambda e: followed(e) & (host(e) == own)).alias("internal_links"),
         F.size(outside).alias("external_links"),
-        *[n(lambda e, k=k: F.contains(_low(e, "rel"), F.lit(k))).alias(k) for k in ("nofollow", "sponsored", "ugc")],
+        *[n(_rel_holds(k)).alias(k) for k in ("nofollow", "sponsored", "ugc")],
         n(lambda e: (trim(F.coalesce(e["text"], F.lit(""))) == "") & ~e["has_media"]).alias("without_anchor_text"),
         n(lambda e: href(e) == "#").alias("hash_only"),
         n(lambda e: F.lower(href(e)).startswith("javascript:")).alias("javascript_links"),
