@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 #: Rows that a group's own sketch needs.
 MIN_ROWS = 30
 #: Feature -> (slack of its fence, whether it has a lower fence as well); fences are quartile -+ 3 times the quartile range.
-FEATURES = {"word_length": (100, True), "symbols": (100, False), "dup_lines": (100, False), "repeats": (300, False)}
+FEATURES = {"word_length": (300, True), "symbols": (100, False), "dup_lines": (100, False), "repeats": (300, False)}
 FENCE = 3
 WINDOW = 8
 
