@@ -63,4 +63,49 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc, op10_lm)}
-ORACLE_SQL: dict[str, str] = {}
+
+_BIN = "CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::INTEGER) << (length(bin(x)) - 6)::INTEGER END"
+
+
+def _quartiles(name: str, keys: str) -> str:
+    """(keys, feature, rows, q1, q3) of the sketches merged over the other keys."""
+    by = f"{keys}, feature" if keys else "feature"
+    return f"""{name} AS (SELECT {by}, max(total) AS n, min(bin) FILTER (WHERE 4 * seen >= total) AS q1, min(bin) FILTER (WHERE 4 * seen >= 3 * total) AS q3
+  FROM (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bin, count(*) AS n FROM sk GROUP BY {by}, bin) a) c GROUP BY {by})"""
+
+
+_QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS k FROM (SELECT r, i, array_to_string(w[i:i + 7], ' ') AS g FROM d, unnest(range(1, len(w) - 6)) AS u(i) WHERE len(w) >= 8) a),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM win WHERE k > 1) b GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) a WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+f AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep ON rep.r = d.r LEFT JOIN ln ON ln.r = d.r),
+g AS (SELECT *, 100 * word_chars // greatest(n_words, 1) AS f1, 1000 * n_symbols // greatest(n_words, 1) AS f2, 1000 * n_dup_lines // greatest(n_words, 1) AS f3, 1000 * n_repeat_words // greatest(n_words, 1) AS f4 FROM f),
+long AS (SELECT r, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS feature, unnest([300, 100, 100, 300]) AS slack, unnest([f1, f2, f3, f4]) AS x FROM g),
+sk AS (SELECT lang, source, feature, {_BIN} AS bin FROM long WHERE n_words > 0),
+{_quartiles("own", "lang, source")}, {_quartiles("bylang", "lang")}, {_quartiles("everything", "")},
+lim AS (SELECT o.lang, o.source, o.feature, CASE WHEN o.n >= 30 THEN o.q1 WHEN l.n >= 30 THEN l.q1 ELSE a.q1 END AS lo, CASE WHEN o.n >= 30 THEN o.q3 WHEN l.n >= 30 THEN l.q3 ELSE a.q3 END AS hi
+  FROM own o JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.feature = o.feature JOIN everything a ON a.feature = o.feature),
+ok AS (SELECT x.r, bool_and(x.x <= hi + 3 * (hi - lo) + slack AND (x.feature <> 'word_length' OR x.x >= lo - 3 * (hi - lo) - slack)) AS within FROM long x JOIN lim ON lim.lang IS NOT DISTINCT FROM x.lang AND lim.source IS NOT DISTINCT FROM x.source AND lim.feature = x.feature GROUP BY x.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(within, false) AS kept FROM g LEFT JOIN ok ON ok.r = g.r"""
+
+_WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
+_SUBSTRING = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(x="coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM d, unnest(range(1, len(w) - 11)) AS u(i) WHERE len(w) >= 13),
+late AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY g) AS m FROM win) a WHERE m < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 13)) AS p FROM late),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM word WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.r = word.r AND gone.p = word.p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) c ON c.r = d.r"""
+
+_NGRAMS = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+l AS (SELECT a.r AS x, b.r AS y FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r JOIN n na ON na.r = a.r JOIN n nb ON nb.r = b.r GROUP BY a.r, b.r, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, l.y FROM reach JOIN l ON l.x = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id FROM d LEFT JOIN n ON n.r = d.r JOIN (SELECT a, min(e.doc_id) AS m FROM reach JOIN d e ON e.r = reach.b GROUP BY a) c ON c.a = d.r"""
+
+_DIGIT = "substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(h, {at}, 10))::BIGINT >> {shift}) & 31) + 1)::BIGINT, 1)"
+_WARC = f"""SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, {" || ".join(_DIGIT.format(at=10 * g + 1, shift=5 * k) for g in range(4) for k in range(7, -1, -1))} AS payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to
+FROM (SELECT *, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS m FROM (SELECT page_id, coalesce(html, '') AS p FROM pages) a) b"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring": _SUBSTRING, "op4_ngram_join": _NGRAMS, "op5_quality": _QUALITY, "op9_warc": _WARC}
