@@ -30,7 +30,7 @@ def language(text: str) -> str:
     return f"CASE WHEN {best} <= 2 THEN 'Unknown' {cases} END"
 
 
-DECODE = "replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&amp;', '&')"
+DECODE = "replace(replace(replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&')"
 _NO_BLOCKS = r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '(?s)<nav>.*?</nav>|<footer>.*?</footer>|<script>.*?</script>|<style>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 VISIBLE = squeeze(DECODE.format(x=f"regexp_replace({_NO_BLOCKS}, '<[^>]*>', '', 'g')"))
 HOST = r"lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))"
