@@ -11,10 +11,11 @@ Candidates, without loss:
    classes that miss more are done.
 2. Of the others, two sets of similarity s share one of the first n - ceil(s n) + 1
    n-grams of the order (prefix filter). In each list of a prefix n-gram, members
-   pair with one leader, twice with other leaders; the links found make components.
-3. Lists that still hold several components compare members of different ones:
+   pair with one leader; the links found make components.
+3. Lists that still hold several components compare members of different ones, first only the closest
+   pairs that would join components (forests), which are verified and joined, at last all that are left:
    parity sketches bound the symmetric difference from below, and only pairs
-   within the bound go on. Members of one component never pair again,
+   within the bound go on, here as with leaders. Members of one component never pair again,
    so a group of thousands of near copies costs a multiple of its size.
 
 Defined results: null and empty texts have n_shingles 0 and link with nothing;
@@ -41,9 +42,11 @@ from .components import components
 N, PERCENT = 5, 80
 #: Sets up to that size have all n-grams counted in step 1; smaller ones' partners are no larger than it.
 SHORT = 64
-SKETCH_BITS = 1024
+SKETCH_BITS = 512
 #: Classes compared at once in a list.
 BLOCK = 512
+#: Rounds of pairs with leaders, orders from which a round's lists take theirs, and rounds of forests.
+ROUNDS, LEADERS, FORESTS = 1, 4, 2
 _U = np.uint64
 
 
@@ -179,26 +182,72 @@ def _sketches(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     return np.packbits(parity & 1, axis=1)
 
 
-def _leader_pairs(prefix: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb): members of each n-gram's list with the list's leader."""
-    order = F.struct(F.xxhash64("cls", F.lit(seed)).alias("o"), "cls", "n")
-    lead = prefix.groupBy("gram").agg(F.min(order).alias("lead"), F.max(order).alias("last")).where("lead.cls <> last.cls").select("gram", F.col("lead.cls").alias("b"), F.col("lead.n").alias("nb"))
-    pairs = prefix.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("a <> b").where(_sizes_fit(percent))
-    return pairs.select("a", "b", "na", "nb").distinct()
+def _apart(x: str, y: str) -> Column:
+    """Bits in which two sketch columns (arrays of longs) differ."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+
+
+def _leader_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb): members of each n-gram's list with a leader of another component.
+
+    Lists take one of LEADERS orders of classes, so that a group meets a few leaders, the same in most of
+    its lists. Only pairs whose sketches allow the similarity are left.
+    """
+    lists = placed.select("cls", "n", "comp", F.explode("grams").alias("gram"))
+    order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(LEADERS)), F.lit(seed)).alias("o"), "cls", "n", "comp")
+    lead = lists.groupBy("gram").agg(F.min(order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    lead = lead.select("gram", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("other"))
+    pairs = lists.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("comp <> other").where(_sizes_fit(percent))
+    pairs = pairs.select("a", "b", "na", "nb").distinct()
+    sketch = placed.select("cls", "sketch")
+    pairs = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
+    return pairs.where(_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
+
+
+def _candidates(placed: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Distinct (a, b, na, nb) of members of one list in different components, all or only forests of them."""
+    lists = placed.select("comp", F.explode("grams").alias("gram"))
+    mixed = lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
+    pool = placed.select("cls", "n", "sketch", "comp", F.explode("grams").alias("gram")).join(mixed, "gram")
+    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(placed.sparkSession, 4))))
+    return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t.drop(["bucket"]), percent, forest), PAIRS).distinct()
 
 
 def _sizes_fit(percent: int) -> Column:
     return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
 
 
-def _cross_pairs(table: pa.Table, percent: int) -> pa.Table:
+def _forest(pairs: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Of index pairs, closest first, those that join two components that no closer ones have joined."""
+    ends = np.sort(comp[pairs], axis=0)
+    order = np.lexsort((apart, ends[1], ends[0]))
+    e = ends[:, order]
+    first = order[np.concatenate(([True], (e[:, 1:] != e[:, :-1]).any(axis=0)))]
+    first = first[np.argsort(apart[first], kind="stable")]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    keep = []
+    for k, x, y in zip(first.tolist(), ends[0, first].tolist(), ends[1, first].tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
     """Pairs of one bucket's lists in different components whose sketches allow the similarity."""
     gram, cls, n, comp = (table.column(c).to_numpy() for c in ("gram", "cls", "n", "comp"))
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(cls), -1)
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
     order = np.lexsort((n, gram))
     gram, cls, n, comp, sketch = gram[order], cls[order], n[order], comp[order], sketch[order]
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-    out = []
+    out, far = [], []
     for a, b in zip(starts, np.append(starts[1:], len(gram)), strict=True):
         for i in range(a, b, BLOCK):
             i2 = min(i + BLOCK, b)
@@ -216,7 +265,10 @@ def _cross_pairs(table: pa.Table, percent: int) -> pa.Table:
                     # |A ^ B| <= (na + nb) (100 - p) / (100 + p)
                     ok = apart * (100 + percent) <= (n[i + x] + n[j + y]) * (100 - percent)
                     out.append(np.stack([i + x[ok], j + y[ok]]))
+                    far.append(apart[ok])
     at = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    if forest and at.shape[1]:
+        at = at[:, _forest(at, comp, np.concatenate(far))]
     pairs = np.unique(np.stack([cls[at[0]], cls[at[1]], n[at[0]], n[at[1]]], axis=1), axis=0) if at.shape[1] else np.zeros((0, 4), np.int64)
     return pa.table({k: pa.array(pairs[:, i], pa.int64()) for i, k in enumerate(("a", "b", "na", "nb"))})
 
@@ -312,30 +364,37 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col
                     rank = np.arange(len(h)) - np.searchsorted(row, row)
                     use = rank < (size - _need(size, percent) + 1)[row]
                     r = row[use]
-                    sketch = pa.array([x.tobytes() for x in _sketches(row, h, len(cls))], pa.binary())
+                    sketch = pa.ListArray.from_arrays(np.arange(len(cls) + 1, dtype=np.int32) * (SKETCH_BITS // 64), pa.array(_sketches(row, h, len(cls)).view(np.int64).ravel()))
                     lists = pa.ListArray.from_arrays(np.searchsorted(r, np.arange(len(cls) + 1)).astype(np.int32), pa.array(h[use].view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(size, pa.int64()), sketch, lists], names=["cls", "n", "sketch", "grams"])
 
-    texts = materialize(slim.join(alive.select(F.col("rep").alias("row_id")), "row_id").select("text"), "ngram-texts")
+    # how many are left grows with the input, so they are not broadcast
+    texts = materialize(slim.join(alive.select(F.col("rep").alias("row_id")).hint("merge"), "row_id").select("text"), "ngram-texts")
     segments = materialize(texts.mapInArrow(cut, packed.SCHEMA), "ngram-segments")
-    members = materialize(texts.mapInArrow(heads, "cls long, n long, sketch binary, grams array<long>").dropDuplicates(["cls"]), "ngram-members")
-    prefix = members.select("cls", "n", F.explode("grams").alias("gram"))
-    stars = _leader_pairs(prefix, 0, percent).unionByName(_leader_pairs(prefix, 1, percent)).distinct()
-    links = materialize(verify(materialize(stars, "ngram-stars"), segments, fragments, percent), "ngram-links")
-    groups = components(links)
-
-    placed = members.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "n", "sketch", "grams", F.coalesce("component", "cls").alias("comp"))
-    placed = materialize(placed, "ngram-placed")
-    lists = placed.select("comp", F.explode("grams").alias("gram"))
-    mixed = lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    pool = placed.select("cls", "n", "sketch", "comp", F.explode("grams").alias("gram")).join(mixed, "gram")
-    parts = buckets(spark, 4)
-    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(parts)))
-    cross = pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t.drop(["bucket"]), percent), PAIRS).distinct()
-    more = verify(materialize(cross, "ngram-cross"), segments, fragments, percent)
-    every = components(links.unionByName(more))
-
-    joined = materialize(classes.select("cls", "least").join(every.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", F.coalesce("component", "cls").alias("comp")), "ngram-classes")
+    members = materialize(texts.mapInArrow(heads, "cls long, n long, sketch array<long>, grams array<long>").dropDuplicates(["cls"]), "ngram-members")
+    def place(groups: DataFrame) -> DataFrame:
+        return materialize(members.join(groups, "cls", "left").select("cls", "n", "sketch", "grams", F.coalesce("component", "cls").alias("comp")), "ngram-placed")
+
+    placed, links = members.withColumn("comp", F.col("cls")), None
+    for seed in range(ROUNDS):
+        stars = materialize(_leader_pairs(placed, seed, percent), "ngram-stars")
+        new = materialize(verify(stars, segments, fragments, percent), "ngram-links")
+        links = new if links is None else links.unionByName(new)
+        groups = components(links).withColumnRenamed("node", "cls")
+        placed = place(groups)
+    for forest in [True] * FORESTS + [False]:
+        cross = materialize(_candidates(placed, percent, forest), "ngram-cross")
+        new = materialize(verify(cross, segments, fragments, percent), "ngram-links")
+        if new.isEmpty():
+            if forest:
+                continue
+            break
+        links = links.unionByName(new)
+        groups = components(links).withColumnRenamed("node", "cls")
+        placed = place(groups)
+    every = placed.select("cls", "comp")
+
+    joined = materialize(classes.select("cls", "least").join(every, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "ngram-classes")
     named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")
     out = signed.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row_id")
