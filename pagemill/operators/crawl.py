@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import any_glob, path_of
+from .storage import shared_dir
 
 c = F.col
 
@@ -29,12 +30,6 @@ def _written(df: DataFrame, base: str, level: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _work_dir(spark: SparkSession, given: str | None) -> str:
-    """A folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return given or f"{shared.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-
-
 def crawl(links: DataFrame, start: str, max_depth: int = 5, max_pages: int = 500, include: list[str] = (), exclude: list[str] = (), rejected: DataFrame | None = None, work_dir: str | None = None) -> DataFrame:
     """links(source, link_idx, target) -> (url, depth, seq, discovered_from, crawled) in order of discovery.
 
@@ -43,7 +38,7 @@ def crawl(links: DataFrame, start: str, max_depth: int = 5, max_pages: int = 500
     robots forbid. Each level is written to the shared folder.
     """
     spark = links.sparkSession
-    base = _work_dir(spark, work_dir)
+    base = work_dir or f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
     forbidden = rejected.select("url").distinct().withColumn("forbidden", F.lit(True)) if rejected is not None else None
 
     def gated(df: DataFrame) -> DataFrame:
@@ -78,7 +73,7 @@ def crawl(links: DataFrame, start: str, max_depth: int = 5, max_pages: int = 500
 def reach(links: DataFrame, start: str, max_depth: int, work_dir: str | None = None) -> DataFrame:
     """(url, depth) of all that can be reached, without a cap or an order of discovery."""
     spark = links.sparkSession
-    base = _work_dir(spark, work_dir)
+    base = work_dir or f"{shared_dir(spark)}/crawl-{uuid.uuid4().hex}"
     edges = links.select("source", "target").distinct()
     frontier = _written(spark.createDataFrame([(start, 0)], "url string, depth int"), base, 0)
     known = frontier

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.features import page_features
+from ..operators.storage import stored
 from ..operators.scoring import duplicate_flags, evaluate
 from ..sources.fetch_log import simulated
 
@@ -12,10 +13,11 @@ from ..sources.fetch_log import simulated
 def audit(fetches: DataFrame, repartition: int | None = None) -> DataFrame:
     """fetches(id, url, html, http, error) -> audited rows.
 
-    Html goes through one Python pass; few large input files can be dealt out first.
+    Html is parsed once: features are written to the shared folder, and duplicates, rules and scores read
+    them from there, each only the columns it needs. Few large input files can be dealt out first.
     """
     rows = fetches.repartition(repartition) if repartition else fetches
-    return evaluate(duplicate_flags(page_features(rows).drop("html", "dom")))
+    return evaluate(duplicate_flags(stored(page_features(rows).drop("html", "dom"), "features")))
 
 
 def audit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_filters(several):
 
 def test_sort_project_format(several):
     order = lambda c, d=False: [r.id for r in views.sort_rows(several, c, d).collect()]
-    assert order("url") == [1, 0, 2, 3][:1] + [0, 2, 3] or order("url") == [2, 1, 0, 3]
+    assert order("url") == [2, 1, 0, 3]
     assert order("title")[0] == 3 and order("title", True)[-1] == 3 and order("ttfb", True)[0] == 2
     assert views.next_sort(None, "a") == ("a", False) and views.next_sort(("a", False), "a") == ("a", True) and views.next_sort(("a", True), "a") is None
     full = views.project(several, views.ALL)
