@@ -27,20 +27,46 @@ def _low(e: Column, name: str) -> Column:
     return F.lower(F.coalesce(_attr(e, name), F.lit("")))
 
 
-def _els(dom: Column, tag: str, where: Pred | None = None) -> Column:
-    test: Pred = (lambda e: e["tag"] == tag) if where is None else (lambda e: (e["tag"] == tag) & F.coalesce(where(e), F.lit(False)))
-    return F.filter(dom["els"], test)
+class Dom:
+    """A page's dom column with its elements by tag, text and words.
 
+    staged() computes those once as columns of their own; without it they are expressions over dom.
+    """
 
-def _count(dom: Column, tag: str, where: Pred | None = None) -> Column:
+    STAGED = ("a", "img", "script", "link", "meta", "iframe")
+
+    def __init__(self, dom: Column, staged: bool = False) -> None:
+        self.dom, self.staged = dom, staged
+        self.text = F.col("_text") if staged else squeeze(dom["visible_text"])
+        self.words = F.col("_words") if staged else words(self.text)
+
+    def __getitem__(self, field: str) -> Column:
+        return self.dom[field]
+
+    def tag(self, name: str) -> Column:
+        return F.col(f"_{name}") if self.staged and name in self.STAGED else F.filter(self.dom["els"], lambda e: e["tag"] == name)
+
+    @classmethod
+    def stage(cls, pages: DataFrame) -> tuple[DataFrame, Dom]:
+        plain = cls(F.col("dom"))
+        out = pages.withColumn("_text", plain.text).select("*", words(F.col("_text")).alias("_words"), *[plain.tag(t).alias(f"_{t}") for t in cls.STAGED])
+        return out, cls(F.col("dom"), staged=True)
+
+
+def _els(dom: Dom, tag: str, where: Pred | None = None) -> Column:
+    found = dom.tag(tag)
+    return found if where is None else F.filter(found, lambda e: F.coalesce(where(e), F.lit(False)))
+
+
+def _count(dom: Dom, tag: str, where: Pred | None = None) -> Column:
     return F.size(_els(dom, tag, where))
 
 
-def _first(dom: Column, tag: str, where: Pred | None = None) -> Column:
+def _first(dom: Dom, tag: str, where: Pred | None = None) -> Column:
     return F.get(_els(dom, tag, where), 0)
 
 
-def _meta(dom: Column, key: str, value: str) -> Column:
+def _meta(dom: Dom, key: str, value: str) -> Column:
     """Content of the first meta with that name or property."""
     return trim(F.coalesce(_attr(_first(dom, "meta", lambda e: _attr(e, key) == value), "content"), F.lit("")))
 
@@ -53,8 +79,8 @@ def _rel_holds(word: str) -> Pred:
     return lambda e: F.contains(_low(e, "rel"), F.lit(word))
 
 
-def seo(dom: Column, url: Column, http: Column) -> Column:
-    title = trim(F.coalesce(_first(dom, "title", lambda e: e["in_head"])["text"], F.lit("")))
+def seo(dom: Dom, url: Column, http: Column) -> Column:
+    title = F.coalesce(_first(dom, "title", lambda e: e["in_head"])["text"], F.lit(""))
     desc = _meta(dom, "name", "description")
     host = F.coalesce(dom["page_url"]["host"], F.lit(""))
     labels = F.split(F.regexp_replace(host, r"^www\.", ""), r"\.")
@@ -62,7 +88,7 @@ def seo(dom: Column, url: Column, http: Column) -> Column:
     levels = F.transform(F.filter(dom["els"], lambda e: e["tag"].rlike("^h[1-6]$")), lambda e: F.substring(e["tag"], 2, 1).cast("int"))
     jump = F.exists(F.sequence(F.lit(1), F.size(levels) - 1), lambda i: F.get(levels, i) > F.get(levels, i - 1) + 1)
     canonical = _first(dom, "link", _rel("canonical"))
-    raw = trim(F.coalesce(_attr(canonical, "href"), F.lit("")))
+    raw = F.coalesce(canonical["ref"], F.lit(""))
     status = F.when(raw == "", "missing").when(F.coalesce(canonical["key"] == dom["page_key"], F.lit(False)), "self").otherwise("other")
     robots, x_robots = _meta(dom, "name", "robots"), F.coalesce(http["headers"]["x-robots-tag"], F.lit(""))
     noindex = robots.rlike("(?i)noindex") | x_robots.rlike("(?i)noindex")
@@ -78,7 +104,7 @@ def seo(dom: Column, url: Column, http: Column) -> Column:
         ((F.length(brand) > 1) & F.contains(F.lower(title), F.lower(brand))).alias("title_has_brand"),
         desc.alias("meta_description"),
         F.length(desc).alias("meta_description_length"),
-        trim(F.coalesce(_first(dom, "h1")["text"], F.lit(""))).alias("h1"),
+        F.coalesce(_first(dom, "h1")["text"], F.lit("")).alias("h1"),
         _count(dom, "h1").alias("h1_count"),
         _count(dom, "h2").alias("h2_count"),
         _count(dom, "h3").alias("h3_count"),
@@ -101,13 +127,8 @@ def seo(dom: Column, url: Column, http: Column) -> Column:
     )
 
 
-def performance(dom: Column, html: Column, http: Column) -> Column:
-    def src(e: Column) -> Column:
-        return trim(F.coalesce(_attr(e, "src"), F.lit("")))
-
-    def href(e: Column) -> Column:
-        return trim(F.coalesce(_attr(e, "href"), F.lit("")))
-
+def performance(dom: Dom, html: Column, http: Column) -> Column:
+    src = href = lambda e: e["ref"]
     scripts = _els(dom, "script", lambda e: src(e) != "")
     blocking_js = F.filter(scripts, lambda e: e["in_head"] & _attr(e, "async").isNull() & _attr(e, "defer").isNull() & ~F.coalesce(_attr(e, "type") == "module", F.lit(False)))
     sheets = _els(dom, "link", lambda e: (_low(e, "rel") == "stylesheet") & (href(e) != ""))
@@ -140,9 +161,8 @@ def performance(dom: Column, html: Column, http: Column) -> Column:
     )
 
 
-def content(dom: Column, html: Column) -> Column:
-    text = squeeze(dom["visible_text"])
-    listed = words(text)
+def content(dom: Dom, html: Column) -> Column:
+    text, listed = dom.text, dom.words
     iframes = _els(dom, "iframe")
     embeds = F.exists(iframes, lambda e: F.coalesce(_attr(e, "src"), F.lit("")).rlike(r"(?i)youtube\.com|youtu\.be|vimeo\.com"))
     return F.struct(
@@ -159,7 +179,7 @@ def content(dom: Column, html: Column) -> Column:
     )
 
 
-def technical(dom: Column, url: Column, html: Column, http: Column) -> Column:
+def technical(dom: Dom, url: Column, html: Column, http: Column) -> Column:
     header = lambda k: F.coalesce(http["headers"][k], F.lit(""))
     return F.struct(
         F.lower(url).startswith("https://").alias("https"),
@@ -179,7 +199,7 @@ def technical(dom: Column, url: Column, html: Column, http: Column) -> Column:
     )
 
 
-def social(dom: Column) -> Column:
+def social(dom: Dom) -> Column:
     og = {k: _meta(dom, "property", f"og:{k}") for k in ("title", "description", "image", "image:width", "image:height", "type", "url")}
     full = (og["title"] != "") & (og["description"] != "") & (og["image"] != "") & (og["type"] != "") & (og["url"] != "")
     lower = F.transform(dom["schema_types"], lambda t: F.lower(t))
@@ -201,9 +221,9 @@ def social(dom: Column) -> Column:
     )
 
 
-def images(dom: Column) -> Column:
+def images(dom: Dom) -> Column:
     def src(e: Column) -> Column:
-        return trim(F.coalesce(_attr(e, "src"), F.lit("")))
+        return e["ref"]
 
     def clean(e: Column) -> Column:
         return F.lower(F.split(src(e), r"\?")[0])
@@ -222,9 +242,9 @@ def images(dom: Column) -> Column:
     )
 
 
-def links(dom: Column) -> Column:
+def links(dom: Dom) -> Column:
     def href(e: Column) -> Column:
-        return trim(F.coalesce(_attr(e, "href"), F.lit("")))
+        return e["ref"]
 
     def followed(e: Column) -> Column:
         h = href(e)
@@ -239,14 +259,14 @@ def links(dom: Column) -> Column:
         n(lambda e: followed(e) & (host(e) == own)).alias("internal_links"),
         F.size(outside).alias("external_links"),
         *[n(_rel_holds(k)).alias(k) for k in ("nofollow", "sponsored", "ugc")],
-        n(lambda e: (trim(F.coalesce(e["text"], F.lit(""))) == "") & ~e["has_media"]).alias("without_anchor_text"),
+        n(lambda e: (F.coalesce(e["text"], F.lit("")) == "") & ~e["has_media"]).alias("without_anchor_text"),
         n(lambda e: href(e) == "#").alias("hash_only"),
         n(lambda e: F.lower(href(e)).startswith("javascript:")).alias("javascript_links"),
         F.array_distinct(F.transform(outside, host)).alias("external_domains"),
     )
 
 
-def extracted_links(dom: Column, root_host: Column, follow_subdomains: bool = False) -> tuple[Column, Column]:
+def extracted_links(dom: Dom, root_host: Column, follow_subdomains: bool = False) -> tuple[Column, Column]:
     """(internal, external) crawl keys of a page's links, distinct, in order."""
     keys = F.array_distinct(F.transform(_els(dom, "a", lambda e: e["key"].isNotNull()), lambda e: e["key"]))
     bare = F.regexp_replace(root_host, r"^www\.", "")
@@ -256,10 +276,10 @@ def extracted_links(dom: Column, root_host: Column, follow_subdomains: bool = Fa
 
 def page_features(pages: DataFrame) -> DataFrame:
     """pages(id, url, http, html, error, ...) plus the seven feature structs and dom; html that is null or '' has none."""
-    p = with_dom(pages)
-    dom, url, html, http = F.col("dom"), F.col("url"), F.col("html"), F.col("http")
+    p, dom = Dom.stage(with_dom(pages))
+    url, html, http = F.col("url"), F.col("html"), F.col("http")
     groups = {"seo": seo(dom, url, http), "performance": performance(dom, html, http), "content": content(dom, html), "technical": technical(dom, url, html, http), "social": social(dom), "images": images(dom), "links": links(dom)}
-    return p.select("*", *[F.when(dom.isNotNull(), c).alias(k) for k, c in groups.items()])
+    return p.select(*pages.columns, "dom", *[F.when(F.col("dom").isNotNull(), x).alias(k) for k, x in groups.items()])
 
 
 def url_fields(url: Column) -> dict[str, Column]:

@@ -57,7 +57,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT page_id, ({_M['words']})::BIGINT AS words, floor(length(t)::DOUBLE / octet_length(encode(html)) * 100 * 10 + 0.5) / 10 AS text_ratio, {_M['level']} AS reading_level, {O.language('t')} AS language FROM (SELECT page_id, html, t, list_filter(string_split(t, ' '), lambda w: w <> '') AS ws FROM (SELECT page_id, html, {O.VISIBLE} AS t FROM pages) a) b")
 def content_metrics_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = H.with_dom(_pages(spark, sf_dir)).select("page_id", features.content(c("dom"), c("html")).alias("x"))
+    p = H.with_dom(_pages(spark, sf_dir)).select("page_id", features.content(features.Dom(c("dom")), c("html")).alias("x"))
     return p.select("page_id", c("x.word_count").cast("long").alias("words"), c("x.text_html_ratio").alias("text_ratio"), c("x.reading_level").alias("reading_level"), c("x.content_language").alias("language"))
 
 
@@ -72,7 +72,7 @@ _H1 = O.DECODE.format(x="regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")
 @query(f"SELECT page_id, trim({_TITLE}) AS title, length(trim({_TITLE}))::BIGINT AS title_length, (length(trim({_TITLE})) * 6)::BIGINT AS title_px, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, len(regexp_extract_all(html, '<h1'))::BIGINT AS h1_count, trim({_H1}) AS h1 FROM pages")
 def page_titles_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = H.with_dom(simulated(_pages(spark, sf_dir)).drop("html").join(_pages(spark, sf_dir).select(c("page_id").alias("id"), "html"), "id"))
-    f = f.select("id", features.seo(c("dom"), c("url"), c("http")).alias("s"))
+    f = f.select("id", features.seo(features.Dom(c("dom")), c("url"), c("http")).alias("s"))
     return f.select(c("id").alias("page_id"), "s.title", c("s.title_length").cast("long").alias("title_length"), c("s.title_pixel_width").cast("long").alias("title_px"), c("s.html_lang").alias("lang"), c("s.h1_count").cast("long").alias("h1_count"), c("s.h1").alias("h1"))
 
 
@@ -93,26 +93,26 @@ _HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
 @query(f"SELECT page_id, len({_HREFS})::BIGINT AS total_links, len(list_filter({_HREFS}, lambda h: starts_with(h, '/')))::BIGINT AS internal_links, 0::BIGINT AS external_links, 0::BIGINT AS hash_only FROM pages")
 def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = H.with_dom(_pages(spark, sf_dir)).select("page_id", features.links(c("dom")).alias("x"))
+    p = H.with_dom(_pages(spark, sf_dir)).select("page_id", features.links(features.Dom(c("dom"))).alias("x"))
     return p.select("page_id", *[c(f"x.{k}").cast("long").alias(k) for k in ("total_links", "internal_links", "external_links", "hash_only")])
 
 
 @query(f"SELECT DISTINCT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || (CASE WHEN length(h) > 1 AND ends_with(h, '/') THEN h[:-2] ELSE h END) AS link FROM (SELECT page_id, url, unnest({_HREFS}) AS h FROM pages) a")
 def extracted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = H.with_dom(_pages(spark, sf_dir))
-    inside, _ = features.extracted_links(c("dom"), c("dom.page_url.host"))
+    inside, _ = features.extracted_links(features.Dom(c("dom")), c("dom.page_url.host"))
     return p.select("page_id", F.explode(inside).alias("link"))
 
 
 @query("SELECT page_id, starts_with(lower(url), 'https://') AS https, page_id % 2 = 0 AS http2, regexp_matches(html[:200], '(?i)<!doctype\\s+html') AS has_doctype, contains(html, '<meta charset=') AS has_charset, contains(html, 'name=\"viewport\"') AS has_viewport, contains(html, 'rel=\"icon\"') AS has_favicon FROM pages WHERE page_id % 37 <> 0")
 def technical_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = H.with_dom(simulated(_pages(spark, sf_dir)).where("html is not null")).select("id", features.technical(c("dom"), c("url"), c("html"), c("http")).alias("t"))
+    f = H.with_dom(simulated(_pages(spark, sf_dir)).where("html is not null")).select("id", features.technical(features.Dom(c("dom")), c("url"), c("html"), c("http")).alias("t"))
     return f.select(c("id").alias("page_id"), "t.https", "t.http2", "t.has_doctype", "t.has_charset", "t.has_viewport", "t.has_favicon")
 
 
 @query(f"WITH {O.LOG} SELECT id AS page_id, ttfb::BIGINT AS ttfb_ms, dl::BIGINT AS download_ms, redirects::BIGINT AS redirects, kb AS html_kb, compressed, len(regexp_extract_all(html, '<script'))::BIGINT AS inline_scripts, len(regexp_extract_all(html, '<style'))::BIGINT AS inline_styles FROM full_feat WHERE html IS NOT NULL")
 def perf_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = H.with_dom(simulated(_pages(spark, sf_dir)).where("html is not null")).select("id", features.performance(c("dom"), c("html"), c("http")).alias("p"))
+    f = H.with_dom(simulated(_pages(spark, sf_dir)).where("html is not null")).select("id", features.performance(features.Dom(c("dom")), c("html"), c("http")).alias("p"))
     return f.select(c("id").alias("page_id"), c("p.ttfb_ms").cast("long").alias("ttfb_ms"), c("p.total_download_ms").cast("long").alias("download_ms"), c("p.num_redirects").cast("long").alias("redirects"), c("p.html_size_kb").alias("html_kb"), c("p.html_compressed").alias("compressed"), c("p.inline_script_count").cast("long").alias("inline_scripts"), c("p.inline_style_count").cast("long").alias("inline_styles"))
 
 

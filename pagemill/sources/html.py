@@ -28,10 +28,12 @@ _CLOSES_P = set("address article aside blockquote center details dialog dir div
 _SCOPE = {"button", "table", "td", "th", "caption", "html", "template", "object", "marquee", "applet"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-EL = "struct<idx:int,tag:string,in_head:boolean,attrs:map<string,string>,text:string,has_media:boolean,url:string,host:string,key:string>"
+#: White space that is cut from texts and references.
+_TRIM = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+EL = "struct<idx:int,tag:string,in_head:boolean,attrs:map<string,string>,text:string,ref:string,has_media:boolean,url:string,host:string,key:string>"
 SCHEMA = f"struct<els:array<{EL}>,visible_text:string,microdata:boolean,page_url:struct<scheme:string,host:string,path:string,query:string>,page_key:string,json_ld:array<string>,json_valid:boolean,schema_types:array<string>>"
 _PART = pa.struct([("scheme", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string())])
-_EL = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("has_media", pa.bool_()), ("url", pa.string()), ("host", pa.string()), ("key", pa.string())])
+_EL = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ref", pa.string()), ("has_media", pa.bool_()), ("url", pa.string()), ("host", pa.string()), ("key", pa.string())])
 _TYPE = pa.struct([("els", pa.list_(_EL)), ("visible_text", pa.string()), ("microdata", pa.bool_()), ("page_url", _PART), ("page_key", pa.string()), ("json_ld", pa.list_(pa.string())), ("json_valid", pa.bool_()), ("schema_types", pa.list_(pa.string()))])
 
 
@@ -190,11 +192,11 @@ def parse_page(url: str | None, html: str | None) -> dict | None:
     els = []
     for i, e in enumerate(tree.els):
         attrs = e["attrs"]
-        ref = attrs.get("src" if e["tag"] in ("img", "script", "iframe") else "href", "").strip()
+        ref = attrs.get("src" if e["tag"] in ("img", "script", "iframe") else "href", "").strip(_TRIM)
         # an iframe counts by its own, absolute address
         got: Url | None = parse(ref, None if e["tag"] == "iframe" else base) if ref else None
-        text = "".join(e["text"]) if e["text"] is not None else None
-        els.append({"idx": i, "tag": e["tag"], "in_head": e["in_head"], "attrs": list(attrs.items()), "text": text, "has_media": e["media"], "url": got.href if got else None, "host": got.host if got else None, "key": crawl_key(ref, raw, False) if e["tag"] == "a" and ref else page_key(got.href) if got and e["tag"] == "link" else None})
+        text = "".join(e["text"]).strip(_TRIM) if e["text"] is not None else None
+        els.append({"idx": i, "tag": e["tag"], "in_head": e["in_head"], "attrs": list(attrs.items()), "text": text, "ref": ref, "has_media": e["media"], "url": got.href if got else None, "host": got.host if got else None, "key": crawl_key(ref, raw, False) if e["tag"] == "a" and ref else page_key(got.href) if got and e["tag"] == "link" else None})
     json_ld, valid, types = [], True, {}
     for e in tree.els:
         if e["tag"] == "script" and e["attrs"].get("type", "").lower() == "application/ld+json":

@@ -198,9 +198,9 @@ def test_stream(spark, tmp_path):
 
 
 def test_links_of_a_page(spark):
-    from pagemill.operators.features import extracted_links
+    from pagemill.operators.features import Dom, extracted_links
 
     dom = with_dom(spark.createDataFrame([("https://x.com/a", '<a href="/b/">1</a><a href="b">2</a><a href="https://y.com">3</a><a href="#x">4</a><a href="/b#q">5</a>')], "url string, html string"))
-    inside, outside = extracted_links(F.col("dom"), F.lit("x.com"))
+    inside, outside = extracted_links(Dom(F.col("dom")), F.lit("x.com"))
     got = dom.select(inside.alias("i"), outside.alias("o")).first()
     assert got.i == ["https://x.com/b"] and got.o == ["https://y.com/"]
