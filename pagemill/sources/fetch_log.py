@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 HTTP = "struct<status_code:int,status_text:string,redirect_chain:array<struct<url:string,status:int>>,ttfb_ms:int,total_download_ms:int,redirect_time_ms:int,content_type:string,content_length_kb:double,http_version:string,compressed:boolean,headers:map<string,string>>"
 
 # Reason phrases used where a server gave none.
-STATUS_TEXT = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 405: "Method Not Allowed", 410: "Gone", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable"}
+STATUS_TEXT = {200: "OK", 201: "Created", 204: "No Content", 301: "Moved Permanently", 302: "Found", 303: "See Other", 304: "Not Modified", 307: "Temporary Redirect", 308: "Permanent Redirect", 400: "Bad Request", 401: "Unauthorized", 403: "Forbidden", 404: "Not Found", 410: "Gone", 429: "Too Many Requests", 500: "Internal Server Error", 502: "Bad Gateway", 503: "Service Unavailable", 504: "Gateway Timeout"}
 MAX_REDIRECTS, MAX_BODY_BYTES = 10, 5 * 1024 * 1024
 
 
@@ -26,7 +26,7 @@ def keep_headers(headers: Column) -> Column:
 
 
 def content_length_kb(header: Column, body: Column) -> Column:
-    size = F.coalesce(F.expr("null").cast("double") if header is None else header.try_cast("double"), F.octet_length(body).cast("double"))
+    size = F.coalesce(header.try_cast("double"), F.nullif(F.octet_length(body).cast("double"), F.lit(0.0)))
     return F.floor(size / 1024 * 100 + 0.5) / 100
 
 
@@ -67,9 +67,8 @@ def redirect_summary(http: Column) -> Column:
 def fetch_rows(raw: DataFrame) -> DataFrame:
     """Recorded fetches (id, url, status_code, error, headers, html, ...) as (id, url, html, http, error): bodies only of html, capped."""
     html = F.when(F.lower(F.coalesce("content_type", F.lit(""))).contains("text/html") & F.col("error").isNull(), F.col("html"))
-    kept = keep_headers(F.col("headers"))
-    length = F.col("headers")["content-length"]
-    encoding = F.lower(F.coalesce(F.col("headers")["content-encoding"], F.lit("")))
+    kept, low = keep_headers(F.col("headers")), F.transform_keys("headers", lambda k, _: F.lower(k))
+    length, encoding = low["content-length"], F.lower(F.coalesce(low["content-encoding"], F.lit("")))
     http = F.struct(
         F.when(F.col("error").isNull(), F.col("status_code")).alias("status_code"),
         F.when(F.col("error").isNotNull(), "Error").otherwise(status_text(F.col("status_code"), F.col("status_text"))).alias("status_text"),

@@ -56,7 +56,7 @@ def test_fetch_rows(spark):
     schema = "id long, url string, status_code int, status_text string, error string, redirect_chain array<struct<url:string,status:int>>, ttfb_ms int, total_download_ms int, redirect_time_ms int, content_type string, http_version string, headers map<string,string>, html string"
     rows = [(1, "u", 200, "", None, [], 1, 2, 0, "Text/HTML; charset=x", "1.1", {"Content-Encoding": "gzip", "ETag": "e", "X-Other": "o"}, "<p>"), (2, "u", 200, None, None, [("a", 302), ("b", 200)], 1, 2, 0, "image/png", "1.1", {}, "bytes"), (3, "u", 200, None, "Timeout", [], 1, 2, 0, None, None, {}, None)]
     got = {r.id: r for r in fetch_rows(spark.createDataFrame(rows, schema)).collect()}
-    assert got[1].html == "<p>" and got[1].http.status_text == "OK" and got[1].http.headers == {"etag": "e"}
+    assert got[1].html == "<p>" and got[1].http.status_text == "OK" and got[1].http.headers == {"etag": "e"} and got[1].http.compressed and not got[2].http.compressed
     assert got[2].html is None and got[3].http.status_code is None and got[3].http.status_text == "Error"
     summary = fetch_rows(spark.createDataFrame(rows, schema)).where("id = 2").select(redirect_summary(F.col("http")).alias("r")).first().r
     assert (summary.status, summary.target) == (302, "b")
@@ -116,6 +116,16 @@ def test_tree(spark):
     assert below == {"/a": 2, "/a/b": 0, "/a/c": 0}
 
 
+def test_tree_looks(spark):
+    rows = [(True, 200, 90, 2, "a" * 30), (True, 404, 50, 1, "b"), (True, 200, 25, 0, "c"), (False, None, 0, 1, "d")]
+    t = spark.createDataFrame(rows, "is_discovered boolean, status int, health_score int, depth int, label string")
+    no = F.lit(False)
+    got = t.select(tree.color().alias("h"), tree.color("status").alias("s"), tree.color("depth", 2).alias("d"), tree.border(no).alias("b"), tree.bar("depth", 2).alias("bar"), tree.short_label(no).alias("l"), tree.status_dot(F.col("status")).alias("dot")).collect()
+    assert [r.h for r in got] == ["#1cb454", "#eab308", "#ed7c26", "#9ca3af"] and [r.s for r in got] == ["#22c55e", "#f97316", "#22c55e", "#9ca3af"]
+    assert got[0].d == "#1e3a8a" and got[2].d == "#dbeafe" and got[1].b.color == "#ef4444" and got[3].b.dashed and got[2].b.color == "#f97316"
+    assert got[0].l == "/" + "a" * 22 + "…" and got[1].l == "/b" and (got[1].bar.fraction, got[1].bar.label) == (0.5, "d1") and got[3].dot == "#9ca3af"
+
+
 # ---------------------------------------------------------------- sitemaps out
 
 def inputs(spark, n=7):
