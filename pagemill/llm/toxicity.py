@@ -58,6 +58,11 @@ def _wilson(p: Column, n: Column, z: float = 2.0) -> Column:
     return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
+def _beginnings(length: int) -> Column:
+    """Stem entries of one length of the column words."""
+    return F.transform(F.filter("words", lambda w: F.length(w) >= length), lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
+
+
 @dataclass
 class Model:
     """Lexicon with the linear classifier's weights: entries, then patterns, then the constant."""
@@ -142,7 +147,7 @@ def design(counts: np.ndarray, entries: int) -> np.ndarray:
     """Inputs of the linear classifier."""
     lex, words = counts[:, :entries], np.maximum(counts[:, entries], 1)
     kinds, places = (lex > 0).sum(axis=1), lex.sum(axis=1)
-    extra = [np.minimum(kinds, 4), kinds >= 2, np.log1p(100 * places / words), counts[:, entries + 1] / words, np.minimum(counts[:, entries + 2] / words, 3), counts[:, entries + 3] / np.maximum(counts[:, entries + 4], 1), np.ones(len(counts))]
+    extra = [np.minimum(kinds, 4), kinds >= 1, kinds >= 2, np.log1p(100 * places / words), counts[:, entries + 1] / words, np.minimum(counts[:, entries + 2] / words, 3), counts[:, entries + 3] / np.maximum(counts[:, entries + 4], 1), np.ones(len(counts))]
     return np.column_stack([np.minimum(lex, 3), *[np.asarray(e, float) for e in extra]])
 
 
@@ -178,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
         sample.unpersist()
         return None
     words = F.array_distinct(F.col("words"))
-    stems = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    stems = [_beginnings(k) for k in STEMS]
     entries = F.array_distinct(F.concat(words, *stems))
     counted = sample.select("label", F.explode(entries).alias("entry")).groupBy("entry").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
     found = counted.where(F.col("p") >= MIN_ROWS).withColumn("sure", _wilson(F.col("p"), F.col("c"))).where(F.col("sure") >= MIN_PRECISION)
