@@ -119,7 +119,7 @@ def page_key(raw: str) -> str:
     if u is None:
         return re.sub(r"/$", "", re.sub(r"#.*$", "", raw.strip()))
     path = u.path[:-1] if len(u.path) > 1 and u.path.endswith("/") else u.path
-    return f"{u.scheme}://{u.host}{path}{u.query}" if u.scheme in _PORTS else f"{u.scheme}://{u.host}{path}{u.query}"
+    return f"{u.scheme}://{u.host}{path}{u.query}"
 
 
 # Characters whose escapes stay when a path is decoded.

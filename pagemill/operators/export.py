@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .summary import health_histogram, issues_by_category, key_findings, summary
-from .views import ALL, HEADERS, SHEETS, SITE_STRUCTURE, TABS, csv_value, flag, project
+from .views import ALL, HEADERS, SHEETS, SITE_STRUCTURE, TABS, cell, csv_value, flag, needs_spider
 
 c = F.col
 REPORT_ROWS, LIST_ROWS = 1000, 100
@@ -25,18 +25,15 @@ def csv_cell(text: Column) -> Column:
 
 def csv_lines(audited: DataFrame, column_ids: list[str] = ALL) -> DataFrame:
     """(id, line) of each row."""
-    shown = project(audited.withColumn("_id", c("id")), column_ids)
-    kinds = dict(shown.dtypes)
-    # project() names columns by id; values are formatted by their own types
-    rows = audited.select("id", *[col.alias(i) for i, col in zip(column_ids, _cells(audited, column_ids), strict=True)])
-    return rows.select("id", F.concat_ws(",", *[csv_cell(csv_value(c(f"`{i}`"), kinds[i])) for i in column_ids]).alias("line"))
+    rows = audited.select("id", *[x.alias(f"v{k}") for k, x in enumerate(_cells(audited, column_ids))])
+    kinds = dict(rows.dtypes)
+    return rows.select("id", F.concat_ws(",", *[csv_cell(csv_value(c(f"v{k}"), kinds[f"v{k}"])) for k in range(len(column_ids))]).alias("line"))
 
 
 def _cells(audited: DataFrame, column_ids: list[str]) -> list[Column]:
-    from .views import _SOURCE, cell
-
+    """Columns of the table; spider columns are null where no crawl gave them."""
     spider = "spider" in audited.columns
-    return [cell(i) if spider or not str(_SOURCE[i]).startswith("spider.") else F.lit(None).cast("string") for i in column_ids]
+    return [cell(i) if spider or not needs_spider(i) else F.lit(None).cast("string") for i in column_ids]
 
 
 def csv_header(column_ids: list[str]) -> str:
