@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds.
 
-Counts of a text are computed in its own row. Thresholds are fences around the
-quartiles of each language and source, read from mergeable sketches: histograms
+Counts of a text are computed in its own row. Thresholds are read from mergeable
+sketches of each language and source over the rows that pass the base rules: histograms
 with integer bins of at most 1/32 relative width, which merge by addition, so the
-result does not depend on the order of merging. Groups of few rows take the
-sketch of their language, those of few again that of all. Documents are then
-joined to the thresholds of their group.
+result does not depend on the order of merging. They are fences around the quartiles,
+widened to outer quantiles; features that are 0 in most rows are judged by the part that
+is not 0: where it begins near 0 it is a tail, allowed up to a high quantile; else it is a
+population of its own, and the limit is half way to its low quantile. Groups of few
+rows take the sketch of their language, those of few again that of all. Documents are
+then joined to the thresholds of their group.
 
 Only built-in functions run.
 
@@ -24,9 +27,13 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: Rows that a group's own sketch needs.
 MIN_ROWS = 30
-#: Feature -> (slack of its fence, whether it has a lower fence as well); fences are quartile -+ 3 times the quartile range.
-FEATURES = {"word_length": (300, True), "symbols": (100, False), "dup_lines": (100, False), "repeats": (300, False)}
+#: Feature -> (slack of its fence, whether it has a lower fence as well, else zeros are told apart); fences are quartile -+ 3 times the quartile range.
+FEATURES = {"word_length": (50, True), "symbols": (20, False), "dup_lines": (10, False), "repeats": (30, False)}
 FENCE = 3
+#: Up to this value of its low quantile, the part of a feature that is not 0 is a tail of the zeros.
+NEAR = 200
+#: Percents of the quantiles read from sketches: of all rows, and of those that are not 0.
+OF_ALL, OF_NONZERO = (5, 25, 75, 90), (10, 90)
 WINDOW = 8
 
 
@@ -55,6 +62,10 @@ def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def features(counts: DataFrame) -> DataFrame:
     """Integer features by which adaptive thresholds judge: hundredths of characters a word, thousandths of others a word."""
     n = F.greatest("n_words", F.lit(1))
@@ -70,32 +81,41 @@ def sketch_bin(x: Column) -> Column:
 
 def sketches(featured: DataFrame, group: tuple[str, ...]) -> DataFrame:
     """Mergeable sketches (group..., feature, bin, n): at most a few hundred bins a group and feature."""
-    long = featured.where("n_words > 0").select(*group, F.explode("features").alias("feature", "x"))
+    long = featured.where(~base_failed()).select(*group, F.explode("features").alias("feature", "x"))
     return long.groupBy(*group, "feature", sketch_bin(F.col("x")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, group: tuple[str, ...]) -> DataFrame:
-    """(group..., feature, rows, q1, q3) of merged sketches."""
+def quantiles(sketch: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    """(group..., feature, rows, q5, ..., nz_rows, nz10, ...) of merged sketches; nz: of the rows that are not 0."""
     bins = sketch.groupBy(*group, "feature", "bin").agg(F.sum("n").alias("n"))
-    listed = bins.groupBy(*group, "feature").agg(F.sum("n").alias("rows"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
-    def at(q4: int) -> Column:
+    over = F.coalesce(F.sum(F.when(F.col("bin") > 0, F.col("n"))), F.lit(0))
+    listed = bins.groupBy(*group, "feature").agg(F.sum("n").alias("rows"), over.alias("nz_rows"), F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"))
+
+    def at(of: Column, rows: str, percent: int) -> Column:
         state = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("v"))
-        return F.aggregate("bins", state, lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"), F.when(a["v"].isNull() & (4 * (a["seen"] + b["n"]) >= q4 * F.col("rows")), b["bin"]).otherwise(a["v"]).alias("v")), lambda a: a["v"])
-    return listed.select(*group, "feature", "rows", at(1).alias("q1"), at(3).alias("q3"))
+        return F.aggregate(of, state, lambda a, b: F.struct((a["seen"] + b["n"]).alias("seen"), F.when(a["v"].isNull() & (100 * (a["seen"] + b["n"]) >= percent * F.col(rows)), b["bin"]).otherwise(a["v"]).alias("v")), lambda a: a["v"])
+
+    nonzero = F.filter("bins", lambda b: b["bin"] > 0)
+    return listed.select(*group, "feature", "rows", *[at(F.col("bins"), "rows", q).alias(f"q{q}") for q in OF_ALL], "nz_rows", *[at(nonzero, "nz_rows", q).alias(f"nz{q}") for q in OF_NONZERO])
 
 
 def thresholds(featured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """(lang, source, feature_low, feature_high, ...) of each group; a group of under min_rows takes its language's, or those of all."""
     group = materialize(sketches(featured, ("lang", "source")), "quality-sketch")
-    own, lang, everything = quartiles(group, ("lang", "source")), quartiles(group, ("lang",)), quartiles(group, ())
-    named = lambda df, p: df.select(*[c for c in df.columns if c not in ("rows", "q1", "q3")], *[F.col(c).alias(f"{p}_{c}") for c in ("rows", "q1", "q3")])
+    own, lang, everything = quantiles(group, ("lang", "source")), quantiles(group, ("lang",)), quantiles(group, ())
+    read = ("rows", *[f"q{q}" for q in OF_ALL], "nz_rows", *[f"nz{q}" for q in OF_NONZERO])
+    named = lambda df, p: df.select(*[c for c in df.columns if c not in read], *[F.col(c).alias(f"{p}_{c}") for c in read])
     lang, everything = named(lang, "l").withColumnRenamed("lang", "l_lang").withColumnRenamed("feature", "l_feature"), named(everything, "a").withColumnRenamed("feature", "a_feature")
     t = own.join(lang, own["lang"].eqNullSafe(F.col("l_lang")) & (own["feature"] == F.col("l_feature"))).join(everything, F.col("feature") == F.col("a_feature"))
     pick = lambda q: F.when(F.col("rows") >= min_rows, F.col(q)).when(F.col("l_rows") >= min_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    t = t.withColumn("lo", pick("q1")).withColumn("hi", pick("q3"))
-    reach = FENCE * (F.col("hi") - F.col("lo"))
+    pick_nz = lambda q: F.when(F.col("nz_rows") >= min_rows, F.col(q)).when(F.col("l_nz_rows") >= min_rows, F.col(f"l_{q}")).when(F.col("a_nz_rows") >= min_rows, F.col(f"a_{q}"))
+    top = lambda x: x + F.call_function("shiftright", x, F.lit(5))  # noqa: E731  # not under the upper end of x's bin
+    reach = FENCE * (top(pick("q75")) - pick("q25"))
+    tail = F.coalesce(F.when(pick_nz("nz10") <= NEAR, top(pick_nz("nz90"))).otherwise(F.floor(pick_nz("nz10") / 2)), F.lit(0)).cast("long")
     slack = F.element_at(F.create_map(*[F.lit(x) for k, (s, _) in FEATURES.items() for x in (k, s)]), F.col("feature"))
-    fences = t.select(own["lang"], own["source"], "feature", (F.col("lo") - reach - slack).alias("low"), (F.col("hi") + reach + slack).alias("high"))
+    two_sided = F.col("feature").isin([k for k, (_, both) in FEATURES.items() if both])
+    outer = F.when(two_sided, top(pick("q90"))).otherwise(tail)
+    fences = t.select(own["lang"], own["source"], "feature", (F.least(pick("q25") - reach, pick("q5")) - slack).alias("low"), (F.greatest(top(pick("q75")) + reach, outer) + slack).alias("high"))
     return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == k, F.col(side))).alias(f"{k}_{side}") for k in FEATURES for side in ("low", "high")])
 
 
@@ -111,5 +131,5 @@ def quality_rules(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     verdict = within[0]
     for w in within[1:]:
         verdict = verdict & w
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    failed = base_failed()
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.coalesce(verdict, F.lit(False))).alias("kept"))

@@ -123,6 +123,19 @@ def test_quality_adapts_by_group(spark):
     assert all(kept[i] for i in range(80)) and all(kept[100 + i] for i in range(80)) and not kept[300]
 
 
+def test_each_quality_rule_rejects_what_the_base_keeps(spark):
+    text = lambda i, n=100, end="": [f"w{(i * 13 + k) % 400 + 100}{end}" for k in range(n)]
+    again = lambda i, n: " ".join([*text(i), *text(i)[:n]])
+    lines = lambda i, n: " ".join(text(i)) + "\nsame line" * (n + 1)
+    rows = [(i, " ".join(text(i))) for i in range(300)]
+    rows += [(1000 + i, again(i, 8)) for i in range(40)] + [(2000 + i, lines(i, 1)) for i in range(40)]
+    odd = {1: " ".join(text(1, end="longer")), 2: " ".join(text(2, 70) + ["*"] * 6 + text(2, 100)[70:]), 3: lines(3, 6), 4: again(4, 16)}
+    rows += [(9000 + i, t) for i, t in odd.items()]
+    got = {r.doc_id: r for r in QR.quality_rules(spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {9001, 9002, 9003, 9004}
+
+
 # ---------------------------------------------------------------- urls
 
 def test_url_rules(spark):
