@@ -7,6 +7,7 @@ import html
 import io
 import json
 import zipfile
+from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from .views import ALL, HEADERS, SHEETS, SITE_STRUCTURE, TABS, cell, csv_value,
 
 c = F.col
 REPORT_ROWS, LIST_ROWS = 1000, 100
+#: Rows that the format lets a sheet hold, its header among them.
+SHEET_ROWS = 1_048_576
 
 
 def csv_cell(text: Column) -> Column:
@@ -79,13 +82,16 @@ def _sheet(rows: list[list], fills: list[list[int]] | None = None) -> str:
     return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{"".join(out)}</sheetData></worksheet>'
 
 
-def workbook_bytes(sheets: dict[str, tuple[list[list], list[list[int]] | None]]) -> bytes:
-    """A minimal spreadsheet file; styles 1 and 2 are the fills of warning and critical cells, 3 a bold header."""
+def workbook_bytes(sheets: Iterable[tuple[str, tuple[list[list], list[list[int]] | None]]]) -> bytes:
+    """A minimal spreadsheet file; styles 1 and 2 are the fills of warning and critical cells, 3 a bold header. One sheet is held at a time."""
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    names = list(sheets)
+    names = []
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, sheet in sheets:
+            names.append(name)
+            z.writestr(f"xl/worksheets/sheet{len(names)}.xml", _sheet(*sheet))
         parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(names) + 1))
         z.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{parts}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
@@ -93,8 +99,6 @@ def workbook_bytes(sheets: dict[str, tuple[list[list], list[list[int]] | None]])
         z.writestr("xl/_rels/workbook.xml.rels", '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + f'<Relationship Id="rId{len(names) + 1}" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
         fill = lambda rgb: f'<fill><patternFill patternType="solid"><fgColor rgb="{rgb}"/></patternFill></fill>'
         z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="4"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill>{fill("FFFEF3C7")}{fill("FFFEE2E2")}</fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="4"><xf/><xf fillId="2" applyFill="1"/><xf fillId="3" applyFill="1"/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
-        for i, n in enumerate(names, 1):
-            z.writestr(f"xl/worksheets/sheet{i}.xml", _sheet(*sheets[n]))
     return out.getvalue()
 
 
@@ -102,20 +106,32 @@ def _cell_text(v: object) -> object:
     return ("Yes" if v else "No") if isinstance(v, bool) else " | ".join(map(str, v)) if isinstance(v, list) else v
 
 
-def build_workbook(audited: DataFrame, max_rows: int = 100_000) -> bytes:
-    """Summary and one sheet a group, with flagged cells filled; max_rows bounds what reaches the driver."""
-    rows = audited.orderBy("id").limit(max_rows)
-    s = summary(rows).first().asDict()
-    sheets: dict[str, tuple[list[list], list[list[int]] | None]] = {"Summary": ([["Metric", "Value"], *[[k, v] for k, v in s.items()]], None)}
+def build_workbook(audited: DataFrame, sheet_rows: int = SHEET_ROWS) -> bytes:
+    """Summary of all rows and one sheet a group, with flagged cells filled; what is beyond sheet_rows goes on in further sheets."""
+    return workbook_bytes(_sheets(audited, sheet_rows))
+
+
+def _sheets(audited: DataFrame, sheet_rows: int) -> Iterator[tuple[str, tuple[list[list], list[list[int]] | None]]]:
+    s = summary(audited).first().asDict()
+    yield "Summary", ([["Metric", "Value"], *[[k, v] for k, v in s.items()]], None)
     structure = {"Site Structure": SITE_STRUCTURE} if "spider" in audited.columns else {}
+    level = {None: 0, "warning": 1, "critical": 2}
     for name, ids in {**SHEETS, **structure}.items():
-        got = rows.select(*[x.alias(f"v{k}") for k, x in enumerate(_cells(rows, ids))], *[flag(i).alias(f"f{k}") for k, i in enumerate(ids)])
-        data = got.collect()
-        if name == "Site Structure":
-            data = sorted(data, key=lambda r: (r["v1"] is None, r["v1"], r["v0"]))
-        level = {None: 0, "warning": 1, "critical": 2}
-        sheets[name] = ([[HEADERS[i] for i in ids], *[[_cell_text(r[f"v{k}"]) for k in range(len(ids))] for r in data]], [[3] * len(ids), *[[level[r[f"f{k}"]] for k in range(len(ids))] for r in data]])
-    return workbook_bytes(sheets)
+        got = audited.select("id", *[x.alias(f"v{k}") for k, x in enumerate(_cells(audited, ids))], *[flag(i).alias(f"f{k}") for k, i in enumerate(ids)])
+        order = [c("v1").asc_nulls_last(), c("v0"), c("id")] if name == "Site Structure" else [c("id")]
+        head = lambda: ([[HEADERS[i] for i in ids]], [[3] * len(ids)])  # noqa: B023, E731
+        (rows, fills), nth = head(), 1
+        for r in got.orderBy(*order).toLocalIterator():
+            if len(rows) == sheet_rows:
+                yield _nth_name(name, nth), (rows, fills)
+                (rows, fills), nth = head(), nth + 1
+            rows.append([_cell_text(r[f"v{k}"]) for k in range(len(ids))])
+            fills.append([level[r[f"f{k}"]] for k in range(len(ids))])
+        yield _nth_name(name, nth), (rows, fills)
+
+
+def _nth_name(name: str, nth: int) -> str:
+    return name if nth == 1 else f"{name[:22]} ({nth})"
 
 
 # ---------------------------------------------------------------- report

@@ -193,6 +193,19 @@ def test_workbook_and_report(audited):
     assert "https://b.com/" in report and "pages with errors" in report and "<svg" in report
 
 
+def test_workbook_holds_all_rows(audited):
+    n = audited.count()
+    assert n > 1
+    book = zipfile.ZipFile(io.BytesIO(export.build_workbook(audited, 2)))
+    names = [x.get("name") for x in ElementTree.fromstring(book.read("xl/workbook.xml"))[0]]
+    assert len(set(names)) == len(names) == 1 + 8 * n
+    rows = [len(ElementTree.fromstring(book.read(f"xl/worksheets/sheet{i}.xml"))[0]) for i in range(1, len(names) + 1)]
+    assert set(rows[1:]) == {2}
+    want = [str(v) for v in export.summary(audited).first()]
+    got = ["".join(list(r)[1].itertext()) for r in ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))[0]][1:]
+    assert got[0] == want[0] == str(n)
+
+
 def test_stream(spark, tmp_path):
     src = tmp_path / "in"
     rows = fetches(spark, [(0, URL, page("Same title here for both pages"), 200, None, {}), (1, URL + "2", page("Same title here for both pages"), 200, None, {})])
