@@ -27,8 +27,8 @@ BASE_RULES = [
     ("block", "com", "/de/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Pruning of mined rules; the number kept bounds the index that is matched.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_ANTECEDENT, MAX_RULES = 0.002, 0.8, 3, 2000
+#: Pruning of mined rules; all that pass are matched.
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_ANTECEDENT = 0.002, 0.8, 3
 DEFAULT = "allow"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -57,7 +57,7 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named("host:", F.split(host, r"\.")), named("path:", F.split(path, r"[/.]")), named("query:", keys))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT, max_rules: int = MAX_RULES) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT) -> DataFrame:
     """labelled(tokens, label) -> (rule_id, antecedent, label, confidence, support); all labelled rows are mined."""
     items = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
@@ -70,7 +70,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     parts = mined.select("antecedent", "label", "confidence", F.explode(F.array_distinct(subsets(F.col("antecedent")))).alias("part")).where(F.size("part").between(1, F.size("antecedent") - 1))
     lesser = mined.select(F.col("antecedent").alias("part"), "label", F.col("confidence").alias("c"))
     useless = parts.join(lesser, ["part", "label"]).where(F.col("c") >= F.col("confidence")).select("antecedent", "label").distinct()
-    kept = mined.join(useless, ["antecedent", "label"], "left_anti").orderBy(F.desc("confidence"), F.desc("support"), "antecedent", "label").limit(max_rules)
+    kept = mined.join(useless, ["antecedent", "label"], "left_anti")
     return materialize(kept.withColumn("rule_id", F.xxhash64("antecedent", "label")), "url-rules-kept")
 
 

@@ -166,6 +166,12 @@ def test_url_mining(spark):
     assert UF.url_filter(spark.createDataFrame([], "page_id long, url string, tokens int")).count() == 0
 
 
+def test_no_mined_rule_is_cut(spark):
+    n = 2100
+    labelled = spark.range(2 * n).selectExpr(f"array(concat('host:h', id % {n})) as tokens", "'block' as label")
+    assert UF.mine_rules(labelled, min_support=0.9 / n).count() == n
+
+
 # ---------------------------------------------------------------- toxicity
 
 def toxic_corpus(n=600, seed=4):
