@@ -3,8 +3,9 @@
 Windows of a document as long as an item get a 64-bit SimHash of their word
 shingles. Fingerprints are cut into radius + 1 blocks; two fingerprints within the
 radius agree in one block at least, so joining on (length, block, bits) returns
-all of them. Candidates are verified by the exact weighted similarity of
-their shingles: sum of the smaller counts over sum of the larger.
+all of them. Pairs beyond the radius are found by shingles: of an item's least ones,
+one more than a match may lack, a matching window holds one. Candidates are verified by the
+exact weighted similarity of their shingles: sum of the smaller counts over sum of the larger.
 
 A window whose similarity reaches the threshold shares that part of the item's shingles;
 so windows are only formed, without loss, where a document holds enough
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 N, PERCENT = 5, 80
-#: Bits in which fingerprints of matching windows may differ. At similarity 0.8 they differ in 10 +- 3.
+#: Bits in which fingerprints of pairs that the index finds differ at most. At similarity 0.8 they differ in 10 +- 3.
 RADIUS = 19
 #: Shingles of all items up to which they are broadcast; beyond it, both sides are shuffled.
 BROADCAST_SHINGLES = 1_000_000
@@ -114,7 +115,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, percent: int =
     probe = windows.select("row_id", "start", "length", "print", F.explode(blocks(F.col("print"), radius)).alias("k")).select("row_id", "start", "length", "print", "k.*")
     index = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"), radius)).alias("k")).select("item_id", "length", "item_print", "k.*")
     pairs = probe.join(F.broadcast(index) if small else index, ["length", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
-    pairs = pairs.select("row_id", "start", "length", "item_id", "item_print", "hamming").distinct()
+    found = ["row_id", "start", "length", "item_id", "item_print", "hamming"]
+    some = F.slice(F.array_sort("shingles"), F.lit(1), F.size("shingles") - _need(F.size("shingles"), percent) + 1)
+    first = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), F.explode(F.array_distinct(some)).alias("shingle"))
+    held_in = windows.select("row_id", "start", "length", "print", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    far = held_in.join(F.broadcast(first) if small else first, ["length", "shingle"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") > radius)
+    pairs = pairs.select(*found).unionByName(far.select(*found)).distinct()
     judged = pairs.join(windows, ["row_id", "start", "length"])
     texts_of = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), "marked")
     judged = judged.join(F.broadcast(texts_of) if small else texts_of, ["item_id", "length", "item_print"])

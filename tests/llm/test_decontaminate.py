@@ -72,3 +72,12 @@ def test_edge_rows(spark):
     assert run(spark, docs, items) == brute(docs, items)
     assert run(spark, docs, [(9, None)]) == {}
     assert decontaminate(spark.createDataFrame([], "doc_id long, text string, length int"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_matches_beyond_the_radius_are_found(spark):
+    rng = random.Random(21)
+    item = [f"i{rng.randint(0, 999)}" for _ in range(50)]
+    text = [*item[:25], "other", *item[26:]]
+    args = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [decontaminate(*args, radius=r).collect() for r in (RADIUS, 1)]
+    assert [(r.doc_id, r.item_id, r.similarity, r.start_word) for rows in got for r in rows] == [(1, 7, 41 / 51, 0)] * 2 and got[0][0].hamming > 1
