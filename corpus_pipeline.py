@@ -36,9 +36,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     rows = ngram_components(docs)
     grouped = rows.where("n_shingles > 0 and component_id is not null")
     first = grouped.groupBy("component_id").agg(F.min_by("row_id", F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")).alias("_row")).select("_row")
-    loose = rows.where("n_shingles = 0 or component_id is null").select(F.col("row_id").alias("_row"))
-    keep = materialize(first.unionByName(loose).distinct(), "pipeline-near")
-    return docs.select("*", _row()).join(keep, "_row").dropDuplicates(["_row"]).select(*COLUMNS)
+    loose = rows.where("n_shingles = 0 or component_id is null").select(F.col("row_id").alias("_row"), F.lit(True).alias("_loose"))
+    keep = materialize(first.withColumn("_loose", F.lit(False)).unionByName(loose).distinct(), "pipeline-near")
+    # equal rows are one where they stand for a group; each loose row is its own
+    kept = docs.select("*", _row()).join(keep, "_row").withColumn("_nth", F.when(F.col("_loose"), F.monotonically_increasing_id()))
+    return kept.dropDuplicates(["_row", "_nth"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,12 @@ def test_run(spark, tables):
     at, _ = tables
     out = corpus_pipeline.run(spark, at)
     assert out.count() > 100 and out.where(F.col("text").contains("vile")).count() == 0
+
+
+def test_loose_rows_stay_whole(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, None, "en", "a", None), (None, None, "fr", "b", None), (None, long, "en", "a", 1), (None, long, "fr", "b", 1), (1, long + " x", "en", "a", 1), (1, long + " x", "en", "a", 1), (2, "", "en", "a", 0), (2, "", "en", "a", 0)]
+    out = corpus_pipeline.one_of_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    ids = [r.doc_id for r in out if not r.text]
+    assert sorted(ids, key=str) == [2, 2, None, None] and {r.lang for r in out if r.doc_id is None and r.text is None} == {"en", "fr"}
+    assert len([r for r in out if r.doc_id == 1]) == 1
