@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_SEP, LOWER, Hasher, text_slices, word_bounds
 
-#: Bound of the labelled rows that are learned from, and of the entries of the lexicon.
-SAMPLE_ROWS, LEXICON = 20_000, 64
+#: Bound of the labelled rows that are learned from, and so of the entries of the lexicon.
+SAMPLE_ROWS = 20_000
 #: An entry is in that many toxic rows at least, and the share of toxic rows among its own is that at least, at two sigma.
 MIN_ROWS, MIN_PRECISION = 5, 0.55
 #: Lengths of word beginnings that may be entries beside whole words: insults also come as stems of compounds.
@@ -167,7 +167,7 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.03, rounds: i
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, lexicon_size: int = LEXICON) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Learn from labelled rows outside the held-out fold; None without labels."""
     known = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") > 0.5).cast("int").alias("label"))
@@ -188,11 +188,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     counted = sample.select("label", F.explode(entries).alias("entry")).groupBy("entry").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
     found = counted.where(F.col("p") >= MIN_ROWS).withColumn("sure", _wilson(F.col("p"), F.col("c"))).where(F.col("sure") >= MIN_PRECISION)
     # the surest and widest first; a longer entry before a shorter one that finds the same
-    ranked = found.orderBy(F.desc(F.col("p") * F.col("sure")), F.desc(F.length("entry")), "entry").limit(50 * lexicon_size)
+    ranked = found.orderBy(F.desc(F.col("p") * F.col("sure")), F.desc(F.length("entry")), "entry")
     lexicon: list[str] = []
     for r in ranked.collect():
         stem = r.entry.removesuffix("*")
-        if len(lexicon) < lexicon_size and not any(stem.startswith(x.removesuffix("*")) or x.startswith(stem) for x in lexicon):
+        if not any(stem.startswith(x.removesuffix("*")) or x.startswith(stem) for x in lexicon):
             lexicon.append(r.entry)
     if not lexicon:
         sample.unpersist()

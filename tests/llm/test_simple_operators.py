@@ -205,6 +205,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.doc_id: r.score for r in TX.toxicity(d, flipped).collect()} == {k: r.score for k, r in got.items()}
 
 
+def test_lexicon_holds_all_entries(spark):
+    rows = [(i, f"n{i} {'xyz'[i % 3]}{i % 100:02d}q m{i}" if i % 2 else f"n{i} plain m{i}") for i in range(4000)]
+    labels = [(i, 1, i % 2) for i, _ in rows]
+    bad = {f"{'xyz'[i % 3]}{i % 100:02d}" for i in range(1, 4000, 2)}
+    model = TX.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    stems = [x.removesuffix("*") for x in model.lexicon]
+    assert len(bad) == 150 and all(any(b.startswith(x) or x.startswith(b) for x in stems) for b in bad) and len(stems) > 64
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "vile")], "doc_id long, text string")
     assert [r.score for r in TX.toxicity(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [0.0]
