@@ -12,11 +12,18 @@ Candidates, without loss:
 2. Of the others, two sets of similarity s share one of the first n - ceil(s n) + 1
    n-grams of the order (prefix filter). In each list of a prefix n-gram, members
    pair with one leader; the links found make components.
-3. Lists that still hold several components compare members of different ones, first only the closest
-   pairs that would join components (forests), which are verified and joined, at last all that are left:
-   parity sketches bound the symmetric difference from below, and only pairs
-   within the bound go on, here as with leaders. Members of one component never pair again,
-   so a group of thousands of near copies costs a multiple of its size.
+3. Lists that still hold several components pair members of different ones: first only the closest
+   pairs that would join components (a forest), which are verified and joined, at last all that are left.
+   A list of more than HOT members, such as that of a common passage, is not compared: its
+   classes meet in lists of signatures instead. n-grams fall into more parts than two similar sets can
+   differ in, so such sets agree in a whole part; the parts' contents are the signatures.
+4. A pair goes on if its sizes fit, if its place in the order leaves enough n-grams, if it has no
+   earlier list among the last SEEN ones of both, and if parity sketches (a lower bound of the symmetric
+   difference, of about two bits an n-gram) allow the similarity. Pairs refused once are not asked again, members of
+   one component never pair again: a group of thousands of near copies costs a multiple of its size.
+
+Verification deals pairs to cells by their side of fewer pairs, so a leader of many is copied to
+the cells of its members and no cell grows with a group.
 
 Defined results: null and empty texts have n_shingles 0 and link with nothing;
 a text of fewer words than n is one n-gram; rows with equal doc_id are documents of
@@ -27,7 +34,6 @@ and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +48,20 @@ from .components import components
 N, PERCENT = 5, 80
 #: Sets up to that size have all n-grams counted in step 1; smaller ones' partners are no larger than it.
 SHORT = 64
-SKETCH_BITS = 512
-#: Classes compared at once in a list.
-BLOCK = 512
+#: Bits of a parity sketch at least and at most; between them about two an n-gram.
+SKETCH_BITS = (128, 4096)
+#: Members of a list compared at once; pairs whose sketches are compared at once.
+BLOCK, PAIR_BLOCK, JUDGED = 512, 1 << 14, 1 << 18
+#: Lists of up to so many members are paired all at once.
+SMALL = 32
+#: Lists of more members are replaced by lists of signatures.
+HOT = 256
+#: Earlier lists of a member that travel with it.
+SEEN = 4
+#: Pieces of the global n-gram order.
+FRAGMENTS = 8
 #: Rounds of pairs with leaders, orders from which a round's lists take theirs, and rounds of forests.
-ROUNDS, LEADERS, FORESTS = 1, 4, 2
+ROUNDS, LEADERS, FORESTS = 1, 4, 1
 _U = np.uint64
 
 
@@ -174,47 +189,162 @@ def shared_counts(docs: DataFrame, n_gram: int, percent: int) -> DataFrame:
     return matched.groupBy("bucket").applyInArrow(total, "cls long, found long")
 
 
-def _sketches(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
-    """Parity bitmaps: the bits in which two of them differ are at most the members of one set alone."""
-    bits = (mix(h) % _U(SKETCH_BITS)).astype(np.int64)
-    parity = np.zeros((rows, SKETCH_BITS), np.uint8)
-    np.add.at(parity, (row, bits), 1)
-    return np.packbits(parity & 1, axis=1)
+# ---------------------------------------------------------------- candidates
 
 
-def _apart(x: str, y: str) -> Column:
-    """Bits in which two sketch columns (arrays of longs) differ."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, k: n + k)
+def sketch_bytes(n: np.ndarray) -> np.ndarray:
+    """Bytes of the sketches of sets of these sizes."""
+    low, high = SKETCH_BITS
+    return (1 << np.ceil(np.log2(np.clip(2 * n, low, high))).astype(np.int64)) // 8
 
 
-def _leader_pairs(placed: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb): members of each n-gram's list with a leader of another component.
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Parity bitmaps: the bits in which two of them differ are at most the members of one set alone.
+
+    Bits are hashes modulo a power of two, so a longer sketch folds to a shorter one by XOR of its parts.
+    """
+    width = sketch_bytes(size)
+    offset = np.concatenate(([0], np.cumsum(width)))
+    bit = 8 * offset[row] + (mix(h) & (8 * width[row] - 1).astype(_U)).astype(np.int64)
+    parity = np.bincount(bit, minlength=8 * int(offset[-1])) & 1
+    data = np.packbits(parity.astype(np.uint8))
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+class _Sketches:
+    """Sketches of a batch, by their length."""
+
+    def __init__(self, column: pa.Array | pa.ChunkedArray) -> None:
+        column = pa.chunked_array([column]) if isinstance(column, pa.Array) else column
+        raw = column.to_pylist()
+        self.width = np.array([len(x) for x in raw], np.int64)
+        self.place = np.zeros(len(raw), np.int64)
+        self.of = {}
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == w)
+            self.place[at] = np.arange(len(at))
+            self.of[w] = np.frombuffer(b"".join([raw[i] for i in at]), np.uint64).reshape(len(at), -1)
+
+    def folded(self, at: np.ndarray, width: int, to: int) -> np.ndarray:
+        x = self.of[width][self.place[at]]
+        return x if width == to else np.bitwise_xor.reduce(x.reshape(len(x), -1, to // 8), axis=1)
+
+
+def _apart(a: _Sketches, x: np.ndarray, b: _Sketches, y: np.ndarray) -> np.ndarray:
+    """Bits in which sketches x of a and y of b differ, at the shorter one's length."""
+    out = np.zeros(len(x), np.int64)
+    for wx in a.of:
+        for wy in b.of:
+            at = np.flatnonzero((a.width[x] == wx) & (b.width[y] == wy))
+            to = min(wx, wy)
+            for i in range(0, len(at), PAIR_BLOCK):
+                k = at[i : i + PAIR_BLOCK]
+                out[k] = np.bitwise_count(a.folded(x[k], wx, to) ^ b.folded(y[k], wy, to)).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _allowed(apart: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """|A ^ B| <= (na + nb) (100 - p) / (100 + p) where the similarity is reached."""
+    return apart * (100 + percent) <= (na + nb) * (100 - percent)
+
+
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """Bounds of size classes: a set's partners are in its own class or the two beside it."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        bounds.append(max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1))
+    return np.array([*bounds, max(bounds[-1] + 1, (bounds[-1] - 1) * 100 // percent + 1)])
+
+
+def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) by row: contents of the parts of each set, in the parts of its size class and of the class below.
+
+    Sets of which the smaller is in class c differ in at most d n-grams. Of d + 1 + e parts, e + 1 at
+    least hold the same; they are told by their contents, or, where a set has so many
+    parts without any, by the class alone.
+    """
+    bounds = size_classes(int(size.max(initial=1)), percent)
+    own = np.searchsorted(bounds, size, "right") - 1
+    small = np.maximum(bounds[1:] - 1, 1)
+    differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+    spare = -(-differ * 8 // 100) + 4
+    rows, keys = [], []
+    for below in (0, 1):
+        c = own - below
+        parts = (differ + 1 + spare)[np.maximum(c, 0)]
+        use = (c >= 0)[row]
+        r, g = row[use], mix(h[use] ^ _U(0x2545F4914F6CDD1D))
+        at = r * int(parts.max(initial=1)) + (g % parts[r].astype(_U)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        at, r, g = at[order], r[order], g[order]
+        if not len(at):
+            continue
+        start = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        content = np.add.reduceat(mix(g + _U(0x9E3779B97F4A7C15)), start)
+        place = (at[start] - r[start] * int(parts.max())).astype(_U)
+        filled = np.bincount(r[start], minlength=len(size))
+        few = np.flatnonzero((c >= 0) & (size > 0) & (parts - filled > spare[np.maximum(c, 0)]))
+        rows += [few, r[start]]
+        keys += [mix(mix(c[few].astype(_U) + _U(77))), mix(content ^ mix(place * _U(0xD1342543DE82EF95) + c[r[start]].astype(_U)))]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(row, kind="stable")
+    return row[order], key[order]
+
+
+def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b: members of each n-gram's list with a leader of another component.
 
     Lists take one of LEADERS orders of classes, so that a group meets a few leaders, the same in most of
     its lists. Only pairs whose sketches allow the similarity are left.
     """
-    lists = placed.select("cls", "n", "comp", F.explode("grams").alias("gram"))
+    lists = sets.select("cls", "n", "grams").join(groups, "cls").select("cls", "n", "comp", F.explode("grams").alias("gram"))
     order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(LEADERS)), F.lit(seed)).alias("o"), "cls", "n", "comp")
     lead = lists.groupBy("gram").agg(F.min(order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     lead = lead.select("gram", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("other"))
-    pairs = lists.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("comp <> other").where(_sizes_fit(percent))
-    pairs = pairs.select("a", "b", "na", "nb").distinct()
-    sketch = placed.select("cls", "sketch")
+    pairs = lists.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("comp <> other").where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent))
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
+    pairs = pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb")).distinct()
+    sketch = sets.select("cls", "sketch")
     pairs = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
-    return pairs.where(_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b", "na", "nb")
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                every = np.arange(b.num_rows)
+                apart = _apart(_Sketches(b.column(4)), every, _Sketches(b.column(5)), every)
+                ok = _allowed(apart, b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
+                yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
+
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, PAIRS)
 
-def _candidates(placed: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Distinct (a, b, na, nb) of members of one list in different components, all or only forests of them."""
-    lists = placed.select("comp", F.explode("grams").alias("gram"))
-    mixed = lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("gram")
-    pool = placed.select("cls", "n", "sketch", "comp", F.explode("grams").alias("gram")).join(mixed, "gram")
-    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(placed.sparkSession, 4))))
-    return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t.drop(["bucket"]), percent, forest), PAIRS).distinct()
 
+def _pool(sets: DataFrame, groups: DataFrame, column: str, mixed: DataFrame, ranked: bool) -> DataFrame:
+    """Members of the lists in mixed(gram): one row a member and list, with its rank and the lists before it."""
+    rows = sets.select("cls", "n", "sketch", column).join(groups, "cls").select("cls", "n", "sketch", "comp", column, F.posexplode(column).alias("at", "gram"))
+    seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
+    return rows.select("gram", "cls", "n", "sketch", "comp", (F.col("at") if ranked else F.lit(0)).alias("rank"), seen.alias("seen")).join(mixed, "gram")
 
-def _sizes_fit(percent: int) -> Column:
-    return (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
+
+def _lists(sets: DataFrame, groups: DataFrame, column: str) -> DataFrame:
+    """(gram, k): lists that hold several components, and their members."""
+    lists = sets.select("cls", column).join(groups, "cls").select("comp", F.explode(column).alias("gram"))
+    return lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k")
+
+
+def _candidates(sets: DataFrame, groups: DataFrame, percent: int, forest: bool, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or only forests of them."""
+    mixed = materialize(_lists(sets, groups, "grams"), "ngram-lists")
+    pool = _pool(sets, groups, "grams", mixed.where(F.col("k") <= hot).select("gram"), True)
+    crowded = mixed.where(F.col("k") > hot).select("gram")
+    if not crowded.isEmpty():
+        held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
+        some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
+        pool = pool.unionByName(_pool(some, groups, "parts", _lists(some, groups, "parts").select("gram"), False))
+    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
+    return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
 
 
 def _forest(pairs: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -240,94 +370,146 @@ def _forest(pairs: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarra
     return np.array(keep, np.int64)
 
 
+def _may_pair(x: np.ndarray, y: np.ndarray, n: np.ndarray, comp: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """Mask: x and y are in different components, their sizes fit, and behind their ranks enough n-grams are left on both sides."""
+    nx, ny = n[x], n[y]
+    need = -(-(nx + ny) * percent // (100 + percent))
+    return (comp[x] != comp[y]) & (ny * percent <= nx * 100) & (nx * percent <= ny * 100) & (rank[x] <= nx - need) & (rank[y] <= ny - need)
+
+
+def _list_pairs(starts: np.ndarray, ends: np.ndarray, n: np.ndarray, comp: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that may be similar of members of one list; lists are runs of rows by ascending size."""
+    size = np.repeat(ends - starts, ends - starts)
+    stop = np.repeat(ends, ends - starts)
+    for d in range(1, SMALL):  # short lists all at once, by distance of their members
+        x = np.flatnonzero((size <= SMALL) & (np.arange(len(n)) + d < stop))
+        if not len(x):
+            break
+        x = x[_may_pair(x, x + d, n, comp, rank, percent)]
+        yield x, x + d
+    for a, b in zip(starts[ends - starts > SMALL].tolist(), ends[ends - starts > SMALL].tolist(), strict=True):
+        names, counts = np.unique(comp[a:b], return_counts=True)
+        # every pair has a member outside the largest component
+        outside = a + np.flatnonzero(comp[a:b] != names[np.argmax(counts)])
+        is_outside = np.zeros(b - a, bool)
+        is_outside[outside - a] = True
+        for i in range(0, len(outside), BLOCK):
+            o = outside[i : i + BLOCK]
+            low, high = a + np.searchsorted(n[a:b], -(-n[o[0]] * percent // 100)), a + np.searchsorted(n[a:b], n[o[-1]] * 100 // percent, "right")
+            for j in range(low, high, BLOCK):
+                at = np.arange(j, min(j + BLOCK, high))
+                x, y = np.broadcast_to(o[:, None], (len(o), len(at))).ravel(), np.broadcast_to(at[None, :], (len(o), len(at))).ravel()
+                ok = _may_pair(x, y, n, comp, rank, percent) & (~is_outside[y - a] | (y > x))
+                yield x[ok], y[ok]
+
+
 def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
     """Pairs of one bucket's lists in different components whose sketches allow the similarity."""
-    gram, cls, n, comp = (table.column(c).to_numpy() for c in ("gram", "cls", "n", "comp"))
-    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+    gram, cls, n, comp, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "cls", "n", "comp", "rank"))
     order = np.lexsort((n, gram))
-    gram, cls, n, comp, sketch = gram[order], cls[order], n[order], comp[order], sketch[order]
+    gram, cls, n, comp, rank = gram[order], cls[order], n[order], comp[order], rank[order]
+    table = table.select(["sketch", "seen"]).take(pa.array(order))
+    sketch = _Sketches(table.column("sketch"))
+    lists = table.column("seen").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    width = lists.value_lengths().to_numpy()
+    seen, filled = np.zeros((len(cls), SEEN), np.int64), np.arange(SEEN)[None, :] < width[:, None]
+    seen[filled] = lists.flatten().to_numpy()
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-    out, far = [], []
-    for a, b in zip(starts, np.append(starts[1:], len(gram)), strict=True):
-        for i in range(a, b, BLOCK):
-            i2 = min(i + BLOCK, b)
-            for j in range(i, b, BLOCK):
-                j2 = min(j + BLOCK, b)
-                if n[j] * percent > n[i2 - 1] * 100:
-                    break  # sizes ascend: no later member fits
-                ni, nj = n[i:i2, None], n[None, j:j2]
-                may = (comp[i:i2, None] != comp[None, j:j2]) & (nj * percent <= ni * 100) & (ni * percent <= nj * 100)
-                x, y = np.nonzero(may)
-                if i == j:
-                    x, y = x[x < y], y[x < y]
-                if len(x):
-                    apart = np.bitwise_count(sketch[i + x] ^ sketch[j + y]).sum(axis=1, dtype=np.int64)
-                    # |A ^ B| <= (na + nb) (100 - p) / (100 + p)
-                    ok = apart * (100 + percent) <= (n[i + x] + n[j + y]) * (100 - percent)
-                    out.append(np.stack([i + x[ok], j + y[ok]]))
-                    far.append(apart[ok])
+    out, far, waiting = [], [], []
+
+    def judge() -> None:
+        x, y = (np.concatenate(z) for z in zip(*waiting, strict=True))
+        waiting.clear()
+        # a pair with an earlier list in common is met there
+        before = np.zeros(len(x), bool)
+        for i in range(SEEN):
+            for j in range(SEEN):
+                before |= (seen[x, i] == seen[y, j]) & filled[x, i] & filled[y, j]
+        x, y = x[~before], y[~before]
+        apart = _apart(sketch, x, sketch, y)
+        ok = _allowed(apart, n[x], n[y], percent)
+        out.append(np.stack([x[ok], y[ok]]))
+        far.append(apart[ok])
+
+    count = 0
+    for x, y in _list_pairs(starts, np.append(starts[1:], len(gram)), n, comp, rank, percent):
+        waiting.append((x, y))
+        count += len(x)
+        if count >= JUDGED:
+            judge()
+            count = 0
+    if waiting:
+        judge()
     at = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
     if forest and at.shape[1]:
         at = at[:, _forest(at, comp, np.concatenate(far))]
+    at = np.where(cls[at[0]] < cls[at[1]], at, at[::-1]) if at.shape[1] else at
     pairs = np.unique(np.stack([cls[at[0]], cls[at[1]], n[at[0]], n[at[1]]], axis=1), axis=0) if at.shape[1] else np.zeros((0, 4), np.int64)
     return pa.table({k: pa.array(pairs[:, i], pa.int64()) for i, k in enumerate(("a", "b", "na", "nb"))})
 
 
 PAIRS = "a long, b long, na long, nb long"
 
-
-def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs with the similarity: overlaps are counted in each fragment and summed per pair."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                blob = np.stack([b.column(i).to_numpy() for i in range(4)]).tobytes()
-                key = int.from_bytes(hashlib.blake2b(blob, digest_size=8).digest(), "big", signed=True)
-                yield pa.RecordBatch.from_arrays([pa.array(range(fragments), pa.int32()), pa.array([key] * fragments, pa.int64()), pa.array([blob] * fragments, pa.binary())], names=["bucket", "chunk", "pairs"])
-
-    def overlap(seg: pa.Table, ask: pa.Table) -> pa.Table:
-        cls, _, row, _, h = packed.unpack(seg, 0, 8)
-        who, at = np.unique(cls, return_inverse=True)
-        tok, tid = np.unique(h, return_inverse=True)
+# ---------------------------------------------------------------- verification
+
+
+def _fragments(row: np.ndarray, h: np.ndarray, rows: int) -> pa.Array:
+    """Per row (hashes ascend in it) its segments in the FRAGMENTS pieces of the order, as lists of binaries."""
+    piece = (h >> _U(64 - FRAGMENTS.bit_length() + 1)).astype(np.int64)
+    ends = np.searchsorted(row * FRAGMENTS + piece, np.arange(rows * FRAGMENTS), "right")
+    offsets = np.concatenate(([0], ends)) * 8
+    blobs = pa.Array.from_buffers(pa.binary(), rows * FRAGMENTS, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(h.astype("<u8").tobytes())])
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * FRAGMENTS, pa.int32()), blobs)
+
+
+def _overlaps(seg: pa.Table, ask: pa.Table) -> pa.Table:
+    """Of one cell and fragment: (a, b, na, nb, both) of the pairs, both counted within the fragment."""
+    a, b = ask.column("a").to_numpy(), ask.column("b").to_numpy()
+    both = np.zeros(len(a), np.int64)
+    if len(a) and len(seg):
+        who = seg.column("cls").to_numpy()
+        order = np.argsort(who)
+        blobs = seg.column("segment").to_pylist()
+        blobs = [blobs[i] for i in order]
+        who = who[order]
+        size = np.array([len(x) // 8 for x in blobs])
+        start = np.concatenate(([0], np.cumsum(size)))
+        tok, ids = np.unique(np.frombuffer(b"".join(blobs), "<u8"), return_inverse=True)
         m = max(1, len(tok))
-        key = np.unique(at[row] * m + tid)  # one set a class, should several rows have brought it
-        owner = key // m
-        ids = key - owner * m
-        start = np.searchsorted(owner, np.arange(len(who) + 1))
-        chunks, blobs, counts = ask.column("chunk").to_pylist(), ask.column("pairs").to_pylist(), []
-        for blob in blobs:
-            p = np.frombuffer(blob, np.int64).reshape(4, -1)
-            n = np.zeros(p.shape[1], np.int64)
-            if len(who):
-                ia, ib = (np.minimum(np.searchsorted(who, x), len(who) - 1) for x in p[:2])
-                good = np.flatnonzero((who[ia] == p[0]) & (who[ib] == p[1]))
-                for part in np.array_split(good, max(1, len(good) // 4096)):
-                    size = start[ia[part] + 1] - start[ia[part]]
-                    of = np.repeat(np.arange(len(part)), size)
-                    j = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + start[ia[part]][of]
-                    want = ib[part][of] * m + ids[j]
-                    spot = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                    n[part] = np.bincount(of, weights=key[spot] == want, minlength=len(part))
-            counts.append(n.astype("<u4").tobytes())
-        first = len(ask) and ask.column("bucket")[0].as_py() == 0  # pairs travel on from one fragment only
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "pairs": pa.array(blobs if first else [None] * len(blobs), pa.binary()), "counts": pa.array(counts, pa.binary())})
-
-    def add(table: pa.Table) -> pa.Table:
-        p = next(x for x in table.column("pairs").to_pylist() if x is not None)
-        p = np.frombuffer(p, np.int64).reshape(4, -1)
-        # chunks of equal content, each with all fragments, count as often as they are there
-        times = sum(x is not None for x in table.column("pairs").to_pylist())
-        both = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist()) // times
-        ok = both * 100 >= percent * (p[2] + p[3] - both)
-        return pa.table({"a": pa.array(p[0][ok]), "b": pa.array(p[1][ok])})
-
-    asked = pairs.mapInArrow(spread, "bucket int, chunk long, pairs binary")
-    partial = segments.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(overlap, "chunk long, pairs binary, counts binary")
-    return partial.groupBy("chunk").applyInArrow(add, "a long, b long")
-
-
-def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        key = np.repeat(np.arange(len(who)), size) * m + ids  # ascends: tokens do in each segment
+        ia, ib = np.searchsorted(who, a), np.searchsorted(who, b)
+        done = 0
+        while done < len(a) and len(key):
+            # as many pairs as ask for some million tokens
+            end = max(done + 1, int(np.searchsorted(np.cumsum(size[ia[done:]]), 1 << 22, "right")) + done)
+            x, y = ia[done:end], ib[done:end]
+            k = size[x]
+            of = np.repeat(np.arange(len(x)), k)
+            j = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k) + start[x][of]
+            want = y[of] * m + ids[j]
+            spot = np.minimum(np.searchsorted(key, want), len(key) - 1)
+            both[done:end] = np.bincount(of, weights=key[spot] == want, minlength=len(x))
+            done = end
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": ask.column("na"), "nb": ask.column("nb"), "both": pa.array(both, pa.int64())})
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs with the similarity: overlaps are counted in each fragment and summed per pair."""
+    cells = buckets(pairs.sparkSession)
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("d"))
+    dealt = pairs.join(degree.withColumnsRenamed({"cls": "a", "d": "da"}), "a").join(degree.withColumnsRenamed({"cls": "b", "d": "db"}), "b")
+    cell = F.pmod(F.xxhash64(F.when(F.col("da") <= F.col("db"), F.col("a")).otherwise(F.col("b"))), F.lit(cells)).cast("int")
+    dealt = materialize(dealt.select("a", "b", "na", "nb", cell.alias("cell")), "ngram-dealt")
+    wanted = dealt.select(F.explode(F.array("a", "b")).alias("cls"), "cell").distinct()
+    segments = sets.select("cls", "segments").join(wanted, "cls").select("cell", "cls", F.posexplode("segments").alias("fragment", "segment"))
+    asked = dealt.select("a", "b", "na", "nb", F.col("cell").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("piece"))
+    partial = segments.groupBy("cell", "fragment").cogroup(asked.groupBy("at", "piece")).applyInArrow(_overlaps, "a long, b long, na long, nb long, both long")
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("both").alias("both"))
+    return total.where(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
+
+
+def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """docs -> (doc_id, n_shingles, component_id, row_id): row_id is the hash of id and text."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("row_id"), F.col(text_col).cast("string").alias("text"))
@@ -348,51 +530,34 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col
     alive = classes.join(found, "cls").where(F.expr(f"asked - found <= n - (n * {percent} + 99) div 100")).select("cls", "rep", "n")
     alive = materialize(alive, "ngram-alive")
 
-    fragments = max(4, buckets(spark) // 4)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for b in batches:
-                for first, end, row, h, cls, size in _sets(b, 0, n):
-                    if len(h):
-                        yield packed.batch(list(packed.pack(packed.bucket_of(h, fragments), cls, np.zeros(len(cls), np.int64), row, np.arange(len(h)) - np.searchsorted(row, row), h, 8)))
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(row: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)), pa.int32()), pa.array(values.view(np.int64)))
 
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for b in batches:
                 for _, end, row, h, cls, size in _sets(b, 0, n):
-                    rank = np.arange(len(h)) - np.searchsorted(row, row)
-                    use = rank < (size - _need(size, percent) + 1)[row]
-                    r = row[use]
-                    sketch = pa.ListArray.from_arrays(np.arange(len(cls) + 1, dtype=np.int32) * (SKETCH_BITS // 64), pa.array(_sketches(row, h, len(cls)).view(np.int64).ravel()))
-                    lists = pa.ListArray.from_arrays(np.searchsorted(r, np.arange(len(cls) + 1)).astype(np.int32), pa.array(h[use].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cls), pa.array(size, pa.int64()), sketch, lists], names=["cls", "n", "sketch", "grams"])
-
-    # how many are left grows with the input, so they are not broadcast
-    texts = materialize(slim.join(alive.select(F.col("rep").alias("row_id")).hint("merge"), "row_id").select("text"), "ngram-texts")
-    segments = materialize(texts.mapInArrow(cut, packed.SCHEMA), "ngram-segments")
-    members = materialize(texts.mapInArrow(heads, "cls long, n long, sketch array<long>, grams array<long>").dropDuplicates(["cls"]), "ngram-members")
-    def place(groups: DataFrame) -> DataFrame:
-        return materialize(members.join(groups, "cls", "left").select("cls", "n", "sketch", "grams", F.coalesce("component", "cls").alias("comp")), "ngram-placed")
-
-    placed, links = members.withColumn("comp", F.col("cls")), None
-    for seed in range(ROUNDS):
-        stars = materialize(_leader_pairs(placed, seed, percent), "ngram-stars")
-        new = materialize(verify(stars, segments, fragments, percent), "ngram-links")
+                    k = len(cls)
+                    use = np.arange(len(h)) - np.searchsorted(row, row) < (size - _need(size, percent) + 1)[row]
+                    cols = [pa.array(cls), pa.array(size, pa.int64()), sketches(row, h, size), lists(row[use], h[use], k), lists(*signatures(row, h, size, percent), k), _fragments(row, h, k)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sketch", "grams", "parts", "segments"])
+
+    # how many are left grows with the input, so they are not broadcast; equal rows have one hash
+    texts = slim.join(alive.select(F.col("rep").alias("row_id")).hint("merge"), "row_id").groupBy("row_id").agg(F.first("text").alias("text"))
+    sets = materialize(texts.select("text").mapInArrow(describe, "cls long, n long, sketch binary, grams array<long>, parts array<long>, segments array<binary>"), "ngram-sets")
+    groups = sets.select("cls", F.col("cls").alias("comp"))
+    asked, links = None, None
+    for step in [*range(ROUNDS), *["forest"] * FORESTS, "rest"]:
+        pairs = _leader_pairs(sets, groups, step, percent) if isinstance(step, int) else _candidates(sets, groups, percent, step == "forest", hot)
+        pairs = pairs if asked is None else pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "ngram-pairs")
+        new = materialize(verify(pairs, sets, percent), "ngram-links")
+        asked = pairs if asked is None else asked.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        groups = components(links).withColumnRenamed("node", "cls")
-        placed = place(groups)
-    for forest in [True] * FORESTS + [False]:
-        cross = materialize(_candidates(placed, percent, forest), "ngram-cross")
-        new = materialize(verify(cross, segments, fragments, percent), "ngram-links")
-        if new.isEmpty():
-            if forest:
-                continue
-            break
-        links = links.unionByName(new)
-        groups = components(links).withColumnRenamed("node", "cls")
-        placed = place(groups)
-    every = placed.select("cls", "comp")
+        if step == "rest" or not new.isEmpty():
+            found = components(links).withColumnRenamed("node", "cls")
+            groups = materialize(sets.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), "ngram-groups")
+    every = groups
 
     joined = materialize(classes.select("cls", "least").join(every, "cls", "left").select("cls", "least", F.coalesce("comp", "cls").alias("comp")), "ngram-classes")
     named = joined.join(joined.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("cls", "component_id")

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pagemill.llm.components import components
+from pagemill.llm import ngram_join
 from pagemill.llm.ngram_join import ngram_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,9 +38,9 @@ def brute(rows):
     return sorted(((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def run(spark, rows, parts=6):
+def run(spark, rows, parts=6, **options):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(df).collect()), key=str)
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_components(df, **options).collect()), key=str)
 
 
 def corpus(seed):
@@ -68,6 +70,54 @@ def test_matches_brute_force(spark, seed):
     assert any(c != d for d, _, c in want)
 
 
+def test_signatures_in_place_of_crowded_lists(spark):
+    rows = corpus(3)
+    assert run(spark, rows, hot=3) == brute(rows)
+
+
+def test_similar_sets_share_a_signature_and_sketches_bound_from_below():
+    rng = np.random.default_rng(5)
+    for n in [2, 3, 5, 9, 17, 40, 64, 65, 130, 400, 1500, 5000]:
+        for _ in range(30):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            differ = int(rng.integers(0, 2 * n // 9 + 1))
+            gone = int(rng.integers(0, differ + 1))
+            b = np.concatenate((a[gone:], rng.integers(0, 1 << 63, differ - gone, dtype=np.uint64)))
+            similar = 100 * (n - gone) >= 80 * len(np.union1d(a, b))
+            row = np.repeat([0, 1], [len(a), len(b)])
+            h, size = np.concatenate((np.sort(a), np.sort(b))), np.array([len(a), len(b)])
+            with np.errstate(over="ignore"):
+                r, key = ngram_join.signatures(row, h, size, 80)
+                s = ngram_join._Sketches(ngram_join.sketches(row, h, size))
+            apart = ngram_join._apart(s, np.array([0]), s, np.array([1]))
+            assert apart[0] <= differ
+            if similar:
+                assert np.intersect1d(key[r == 0], key[r == 1]).size
+
+
+def test_unlike_texts_of_one_passage_make_few_pairs(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage, base = [word() for _ in range(300)], [word() for _ in range(900)]
+    rows = []
+    for i in range(300):
+        if i % 2:
+            ws = list(base)
+            for _ in range(rng.randint(1, 40)):
+                ws[rng.randrange(len(ws))] = word()
+        else:
+            # words of the passage mostly: alive, in its crowded lists, unlike any other
+            parts = [passage[k : k + 30] for k in range(0, 300, 30)]
+            rng.shuffle(parts)
+            ws = [x for p in parts[:6] for x in p] + [word() for _ in range(4)]
+        rows.append((i, " ".join(ws)))
+    made = []
+    real = ngram_join._candidates
+    monkeypatch.setattr(ngram_join, "_candidates", lambda *a: made.append(real(*a).count()) or real(*a))
+    assert run(spark, rows, hot=64) == brute(rows)
+    assert max(made) <= 2 * len(rows)
+
+
 def test_edge_rows(spark):
     long = " ".join(f"x{i}" for i in range(3000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  b"), (6, "b a"), (7, long), (8, long + " y"), (8, long), (None, long), (None, "only null id"), (9, "a"), (10, "w " * 600), (11, "w " * 9)]
