@@ -7,9 +7,11 @@ code points give the same words.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,16 @@ def buckets(spark: SparkSession, per_partition: int = 1) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per_partition)
 
 
+def single_threaded_blas() -> None:
+    """One thread a worker for numpy's small products: more of them wait for each other and cost twice the CPU."""
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        lib = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(lib, name):
+                getattr(lib, name)(1)
+                break
+
+
 # ---------------------------------------------------------------- words
 
 _SPACE = np.zeros(256, bool)

@@ -61,7 +61,7 @@ SEEN = 4
 #: Pieces of the global n-gram order.
 FRAGMENTS = 8
 #: Rounds of pairs with leaders, orders from which a round's lists take theirs, and rounds of forests.
-ROUNDS, LEADERS, FORESTS = 1, 4, 1
+ROUNDS, LEADERS, FORESTS = 2, 4, 0
 _U = np.uint64
 
 
@@ -321,28 +321,30 @@ def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, percent: int) -
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, PAIRS)
 
 
-def _pool(sets: DataFrame, groups: DataFrame, column: str, mixed: DataFrame, ranked: bool) -> DataFrame:
-    """Members of the lists in mixed(gram): one row a member and list, with its rank and the lists before it."""
-    rows = sets.select("cls", "n", "sketch", column).join(groups, "cls").select("cls", "n", "sketch", "comp", column, F.posexplode(column).alias("at", "gram"))
-    seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
-    return rows.select("gram", "cls", "n", "sketch", "comp", (F.col("at") if ranked else F.lit(0)).alias("rank"), seen.alias("seen")).join(mixed, "gram")
-
+def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
+    """(members of lists that hold several components, one row a member and list; longer lists' (gram)).
 
-def _lists(sets: DataFrame, groups: DataFrame, column: str) -> DataFrame:
-    """(gram, k): lists that hold several components, and their members."""
-    lists = sets.select("cls", column).join(groups, "cls").select("comp", F.explode(column).alias("gram"))
-    return lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k")
+    A row has its rank in the member's lists and the lists before it. Which lists these are is found on bare
+    (cls, place, gram) rows; only then do sketches join, so that they travel once.
+    """
+    lists = sets.select("cls", column).join(groups, "cls").select("cls", "comp", F.posexplode(column).alias("at", "gram"))
+    mixed = materialize(lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k"), "ngram-lists")
+    short, crowded = (mixed.where(F.col("k") <= hot), mixed.where(F.col("k") > hot)) if hot else (mixed, mixed.limit(0))
+    held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp").agg(F.collect_list("at").alias("places"))
+    rows = sets.select("cls", "n", "sketch", column).join(held, "cls").select("cls", "n", "sketch", "comp", column, F.explode("places").alias("at"))
+    seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
+    return rows.select(F.get(column, "at").alias("gram"), "cls", "n", "sketch", "comp", "at", seen.alias("seen")), crowded.select("gram")
 
 
 def _candidates(sets: DataFrame, groups: DataFrame, percent: int, forest: bool, hot: int = HOT) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or only forests of them."""
-    mixed = materialize(_lists(sets, groups, "grams"), "ngram-lists")
-    pool = _pool(sets, groups, "grams", mixed.where(F.col("k") <= hot).select("gram"), True)
-    crowded = mixed.where(F.col("k") > hot).select("gram")
+    pool, crowded = _pool(sets, groups, "grams", hot)
+    pool = pool.withColumnRenamed("at", "rank")
     if not crowded.isEmpty():
         held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
         some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
-        pool = pool.unionByName(_pool(some, groups, "parts", _lists(some, groups, "parts").select("gram"), False))
+        signed, _ = _pool(some, groups, "parts", None)
+        pool = pool.unionByName(signed.drop("at").withColumn("rank", F.lit(0)))  # signatures have no rank
     pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
     return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
 
