@@ -4,9 +4,14 @@ Every document of a source gets the copy rate target / source_size. Its whole
 part is taken at once; fractional parts are rounded in a reduction tree: groups
 of at most a few hundred documents walk through pairs and move mass between the
 two until one of them is integral. The move keeps size_i * p_i + size_j * p_j, so
-a source's words stay at its target whatever is drawn; each group passes its
-one fractional document up, the top of the tree rounds the last one by itself.
-Pairs are met from large to small, which leaves a small document for last.
+a source's words stay at its target whatever is drawn. Each group passes up its
+one fractional document and, unrounded, some of all sizes.
+
+Walks go from large to small. Where the documents behind the carrier can give or take
+less than SLACK times its words, chance may no longer make it
+integral: it is rounded by its probability, or to the side that they can make good, and the words that this adds or lacks
+go to the next, smaller document, and on; what is left at last goes up. So a source misses its target by less than
+one of its smallest documents, as long as smaller documents can take what larger ones leave.
 
 Only built-in functions run. Draws are hashes of ids and a seed: reruns agree.
 
@@ -24,6 +29,10 @@ from .common import WORD, materialize
 
 #: Documents that one node of the reduction tree rounds together, on average.
 FAN_IN = 128
+#: Of a node's documents by size, each so-manyth is passed on as it is: the top needs documents of all sizes.
+STRIDE = 8
+#: Words that the documents behind a carrier can give and take, as a multiple of its size, from which it is left to chance.
+SLACK = 4
 EPS = 1e-9
 
 
@@ -58,35 +67,47 @@ def _unit(*parts: Column) -> Column:
 def pivot_groups(rows: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
     """One level of the tree: rows (source, bucket, uid, size, p) -> (source, uid, size, p, settled).
 
-    The walk's state is the fractional carrier (uid, size, p) and the rows settled.
+    The walk's state is the fractional carrier (uid, size, p), the rows settled, and of those not yet walked through the words and the words at their rates.
     """
     item = "struct<uid:long,size:long,p:double>"
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("neg"), "uid", "size", "p")))
+    one = lambda uid, size, p: F.struct(uid.alias("uid"), size.alias("size"), p.alias("p"))
+    snap = lambda p: F.when(F.abs(p) < EPS, 0.0).when(F.abs(p - 1.0) < EPS, 1.0).otherwise(p)
+    whole = lambda s: (s["p"] == 0.0) | (s["p"] == 1.0)
+    drawn = lambda c: F.when(_unit(c["uid"], F.lit(seed), F.lit(-1)) < c["p"], 1.0).otherwise(0.0)
 
     def step(acc: Column, x: Column) -> Column:
-        c = acc["c"]
-        # carrier with p in (0,1) against x: move words t from x to c, or from c to x
+        c, left, mass = acc["c"], acc["left"] - x["size"], acc["mass"] - x["p"] * x["size"]
+        state = lambda c, done: F.struct(c.cast(item).alias("c"), done.alias("done"), left.alias("left"), mass.alias("mass"))
+        # carrier with p in (0,1) against x: move words from x to c, or from c to x
         up = F.least((1.0 - c["p"]) * c["size"], x["p"] * x["size"])  # c gains, x loses
         down = F.least(c["p"] * c["size"], (1.0 - x["p"]) * x["size"])  # c loses, x gains
         gain = _unit(c["uid"], x["uid"], F.lit(seed), F.lit(level)) * (up + down) < down
         moved = F.when(gain, up).otherwise(-down)
-        cp, xp = c["p"] + moved / c["size"], x["p"] - moved / x["size"]
-        snap = lambda p: F.when(p < EPS, 0.0).when(p > 1.0 - EPS, 1.0).otherwise(p)
-        c2, x2 = F.struct(c["uid"].alias("uid"), c["size"].alias("size"), snap(cp).alias("p")), F.struct(x["uid"].alias("uid"), x["size"].alias("size"), snap(xp).alias("p"))
-        whole = lambda s: (s["p"] == 0.0) | (s["p"] == 1.0)
-        return F.when(c.isNull(), F.struct(F.struct(x["uid"].alias("uid"), x["size"].alias("size"), x["p"].alias("p")).alias("c"), acc["done"].alias("done"))).otherwise(
-            F.struct(
-                F.when(whole(c2) & whole(x2), F.lit(None).cast(item)).when(whole(c2), x2).otherwise(c2).cast(item).alias("c"),
-                F.concat(acc["done"], F.when(whole(c2) & whole(x2), F.array(c2, x2)).when(whole(c2), F.array(c2)).otherwise(F.array(x2))).alias("done"),
-            )
-        )
-
-    start = F.struct(F.lit(None).cast(item).alias("c"), F.array().cast(f"array<{item}>").alias("done"))
-    walked = rows.groupBy("source", "bucket").agg(ordered.alias("items")).select("source", F.aggregate("items", start, step).alias("acc"))
+        c2, x2 = one(c["uid"], c["size"], snap(c["p"] + moved / c["size"])), one(x["uid"], x["size"], snap(x["p"] - moved / x["size"]))
+        walked = F.when(whole(c2) & whole(x2), state(F.lit(None), F.concat(acc["done"], F.array(c2, x2)))).when(whole(c2), state(x2, F.concat(acc["done"], F.array(c2)))).otherwise(state(c2, F.concat(acc["done"], F.array(x2))))
+        # beyond chance the carrier is rounded, x takes over its words
+        room = acc["left"] - acc["mass"]
+        gives, takes = (1.0 - c["p"]) * c["size"] <= acc["mass"], c["p"] * c["size"] <= room
+        to = F.when((c["p"] <= 0.0) | (c["p"] >= 1.0) | (gives & takes), drawn(c)).when(gives, 1.0).when(takes, 0.0).otherwise(F.round(c["p"]))
+        rounded = one(c["uid"], c["size"], to)
+        taken = one(x["uid"], x["size"], snap(x["p"] + (c["p"] - to) * c["size"] / x["size"]))
+        chance = (c["p"] > 0.0) & (c["p"] < 1.0) & (F.least(acc["mass"], room) >= SLACK * c["size"])
+        walked = F.when(chance, walked).otherwise(state(taken, F.concat(acc["done"], F.array(rounded))))
+        return F.when(c.isNull(), state(one(x["uid"], x["size"], x["p"]), acc["done"])).otherwise(walked)
+
+    none = F.array().cast(f"array<{item}>")
+    grouped = rows.groupBy("source", "bucket").agg(ordered.alias("items"))
+    held = F.array().cast("array<struct<neg:long,uid:long,size:long,p:double>>") if last else F.filter("items", lambda x, i: i % STRIDE == STRIDE - 1)
+    grouped = grouped.select("source", F.col("items") if last else F.filter("items", lambda x, i: i % STRIDE != STRIDE - 1).alias("items"), held.alias("held"))
+    words = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + x["size"])
+    mass = F.aggregate("items", F.lit(0.0), lambda n, x: n + x["p"] * x["size"])
+    start = F.struct(F.lit(None).cast(item).alias("c"), none.alias("done"), words.alias("left"), mass.alias("mass"))
+    walked = grouped.select("source", "held", F.aggregate("items", start, step).alias("acc"))
     c = F.col("acc.c")
-    end = F.when(_unit(c["uid"], F.lit(seed), F.lit(-1)) < c["p"], 1.0).otherwise(0.0) if last else c["p"]
-    tail = F.when(c.isNull(), F.array().cast(f"array<{item}>")).otherwise(F.array(F.struct(c["uid"].alias("uid"), c["size"].alias("size"), end.alias("p"))))
-    out = walked.select("source", F.explode(F.concat("acc.done", tail)).alias("i")).select("source", "i.*")
+    tail = F.when(c.isNull(), none).otherwise(F.array(one(c["uid"], c["size"], drawn(c) if last else c["p"])))
+    held = F.transform("held", lambda x: one(x["uid"], x["size"], x["p"]))
+    out = walked.select("source", F.explode(F.concat("acc.done", tail, held)).alias("i")).select("source", "i.*")
     return out.withColumn("settled", (F.col("p") == 0.0) | (F.col("p") == 1.0))
 
 
@@ -107,12 +128,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     counts = live.groupBy("source").agg(F.count("*").alias("rows"))
     most = counts.agg(F.max("rows")).first()[0] or 0
     counts = materialize(counts, "mix-counts")
-    levels, left = 1, most
+    # what a level leaves: of each node the documents passed on and a fractional one
+    shrink, left = [], float(most)
     while left > FAN_IN:
-        left, levels = left / FAN_IN, levels + 1
-    settled = None
+        shrink.append(FAN_IN if not shrink else shrink[-1] * FAN_IN / (FAN_IN // STRIDE + 1))
+        left = left / FAN_IN * (FAN_IN // STRIDE + 1)
+    levels, settled = len(shrink) + 1, None
     for level in range(levels):
-        nodes = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(float(FAN_IN) ** (level + 1)))) if level < levels - 1 else F.lit(1)
+        nodes = F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(float(shrink[level])))) if level < levels - 1 else F.lit(1)
         placed = live.join(counts.withColumnRenamed("source", "s"), live["source"].eqNullSafe(F.col("s"))).select("source", F.pmod(F.xxhash64("uid", F.lit(seed), F.lit(level)), nodes.cast("long")).alias("bucket"), "uid", "size", "p")
         out = materialize(pivot_groups(placed, level, seed, level == levels - 1), f"mix-level{level}")
         done = out.where("settled").select("uid", "size", "p")
