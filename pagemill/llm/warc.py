@@ -1,15 +1,18 @@
 """WARC archives with revisit resolution.
 
-Digests are computed where the pages are; only (page_id, digest, length) is
-shuffled. The smallest page_id of equal payloads is the response, all others
-become revisit records that refer to it. Archives are written by Spark's own
-text writer, so any Hadoop file system and its commit protocol serve, and read
-back record by record by Content-Length.
+Digests are computed where the pages are; headers (page_id, url, digest, length) are
+shuffled by digest. The smallest page_id of equal payloads is the response, all others
+become revisit records that refer to it and are written from their headers. Payloads stay
+where they are while the list of revisits can be broadcast; beyond that they
+are dealt by page_id and digest, so no payload that many pages share is a hot key.
+Archives are written by Spark's own text writer, so any Hadoop file system and its commit
+protocol serve, and read back as a stream, record by record, by Content-Length: neither
+side holds more than a batch of records. A file is one gzip stream.
 
 Defined results: a null payload is empty; equal page_ids with equal payloads are
 one response each (a record never revisits its own page_id); a null page_id is
 never a response that others refer to, and revisits one if there is one; empty tables give
-no records; other columns of the input are ignored.
+no records; other columns of the input are ignored; a payload is bounded by what one row may hold (2 GB).
 """
 
 from __future__ import annotations
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import materialize, table_path
 
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Rows of one archive file; bounds what a reader of one file holds.
+#: Rows of one archive file.
 RECORDS_PER_FILE = 2000
+#: Behind each record, as between headers and block.
+_GAP = b"\r\n\r\n"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -43,20 +48,25 @@ def base32_sha1(text: Column) -> Column:
 
 
 def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", min_bytes: int = 0) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to); payload only for responses.
+    """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to); payload only of responses.
 
     min_bytes: smaller payloads are always responses. Page ids are carried by
     digest with a map-side minimum first, so a payload that a third of the
     pages share costs one row per task.
     """
+    key = ["payload_digest", "payload_bytes"]
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    first = rows.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    again = materialize(first.where("n > 1").drop("n"), "warc-groups")  # pages alone with their payload need no partner
-    rows = rows.join(again, ["payload_digest", "payload_bytes"], "left")
-    revisits = F.col("first_id").isNotNull() & (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first_id")).alias("refers_to"))
+    headers = materialize(rows.drop("payload"), "warc-headers")
+    first = headers.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_bytes)).groupBy(*key).agg(F.min("page_id").alias("first_id"))
+    revisits = headers.where(F.col("payload_bytes") >= min_bytes).join(first, key).where(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    revisits = materialize(revisits, "warc-revisits")
+    gone = revisits.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")).distinct()
+    same = F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes"))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest"]
+    responses = rows.join(gone, same, "left_anti").select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits.withColumn("payload", F.lit("")).select(*columns, F.lit("revisit").alias("record_type"), F.col("first_id").alias("refers_to")))
 
 
 def record_text(date: str) -> Column:
@@ -116,27 +126,63 @@ def _page_of(uri: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
+def _described(headers: dict[str, str], block: bytes) -> tuple:
+    digest = headers["warc-payload-digest"].removeprefix("sha1:")
+    if headers["warc-type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
+        raise ValueError(f"payload of {headers['warc-record-id']} does not have its digest")
+    return _page_of(headers["warc-record-id"]), int(headers["x-payload-length"]), digest, headers["warc-type"], _page_of(headers.get("warc-refers-to"))
+
+
+def stream_records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of the records of files that were split at empty lines; holds one record."""
+    headers: dict[str, str] = {}
+    need, held = -1, bytearray()  # need: bytes of the block, -1 between records
+    for piece in pieces:
+        held += piece
+        held += _GAP
+        while need >= 0 or held:
+            if need < 0:
+                # the record's last line breaks, and one gap more where a file ended
+                del held[: len(held) - len(held.lstrip(b"\r\n"))]
+                end = held.find(_GAP)
+                if end < 0:
+                    break
+                lines = bytes(held[:end]).split(b"\r\n")
+                if not lines[0].startswith(b"WARC/"):
+                    raise ValueError("no WARC record where one should begin")
+                headers = {k.decode().lower(): v.strip().decode() for k, _, v in (x.partition(b":") for x in lines[1:])}
+                need = int(headers["content-length"])
+                del held[: end + len(_GAP)]
+            if len(held) < need:
+                break
+            yield headers, bytes(held[:need])
+            del held[:need]
+            need = -1
+    if need >= 0 or held.strip(b"\r\n"):
+        raise ValueError("record is cut short")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
-
-    for batch in batches:
-        for content in batch.column(0):
-            content = content.as_py()
-            rows = []
-            for h, block in parse_archive(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                digest = h["warc-payload-digest"].removeprefix("sha1:")
-                if h["warc-type"] == "response" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest:
-                    raise ValueError(f"payload of {h['warc-record-id']} does not have its digest")
-                rows.append((_page_of(h["warc-record-id"]), int(h["x-payload-length"]), digest, h["warc-type"], _page_of(h.get("warc-refers-to"))))
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    rows: list[tuple] = []
+
+    def send() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        rows.clear()
+        return out
+
+    for headers, block in stream_records(x.as_py() for b in batches for x in b.column(0)):
+        rows.append(_described(headers, block))
+        if len(rows) >= RECORDS_PER_FILE:
+            yield send()
+    yield send()
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, from headers and blocks as stored; digests of blocks are verified."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_read, RESULT)
+    """One row per record, from headers and blocks as stored; digests of blocks are verified. Files are gzip, which Spark does not split."""
+    pieces = spark.read.option("lineSep", _GAP.decode()).text(path).select(F.col("value").cast("binary"))
+    return pieces.mapInArrow(_read, RESULT)
 
 
 def roundtrip(pages: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def test_mix(spark, seed):
     assert abs(sum(taken.values()) - sum(sizes.values())) < 0.05 * sum(sizes.values())
 
 
+def test_mix_comes_near_targets_on_skewed_sizes(spark):
+    rng = random.Random(11)
+    rows = [(d, "w " * int(min(6000, 3 * rng.paretovariate(0.7))), rng.choice("aaaabbc")) for d in range(1500)]
+    got = mix_sources(spark.createDataFrame([*rows, (9001, "w " * 9000, "a"), (9002, "w " * 9000, "c")], "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    for s, goal in target.items():
+        assert abs(taken[s] - goal) <= 0.01 * goal, (s, taken[s], goal)
+
+
 def test_mix_empty(spark):
     schema = "doc_id long, text string, source string, size int"
     assert mix_sources(spark.createDataFrame([], schema)).count() == 0
@@ -251,6 +263,25 @@ def test_warc_round_trip(spark):
     assert WA.roundtrip(df.limit(0)).count() == 0
 
 
+def test_warc_long_payloads_hot_digests_and_clashing_columns(spark):
+    long = "é\r\n" * 2_000_000
+    rows = [(1, long), (2, long + "x"), (3, "\r\n\r\n"), (4, "\r\n"), (5, "\n\r\n\r")] + [(10 + i, "same page") for i in range(10_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'u' as url", "1 as payload", "'x' as record_type").repartition(4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.page_id: r for r in WA.roundtrip(df).collect()}
+        plan = WA.resolve(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len(rows)
+    for i, t in rows:
+        assert got[i].payload_bytes == len(t.encode())
+        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+        assert got[i].refers_to == (10 if i > 10 else None)
+    # payloads are never dealt by their digest alone
+    assert "hashpartitioning(payload_digest" not in plan or "payload#" not in plan.split("hashpartitioning(payload_digest")[0][-200:]
+
+
 def test_warc_blocks_come_back(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "<p>é</p>\r\n\r\n"), (2, "u", "z")], "page_id long, url string, html string")
     path = WA.write_archives(WA.resolve(df), str(tmp_path / "w"), compression="none")
