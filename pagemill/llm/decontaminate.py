@@ -1,15 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Windows of a document as long as an item get a 64-bit SimHash of their word
+Windows of a document as long as an item get a 128-bit SimHash of their word
 shingles. Fingerprints are cut into radius + 1 blocks; two fingerprints within the
 radius agree in one block at least, so joining on (length, block, bits) returns
-all of them. Pairs beyond the radius are found by shingles: of an item's least ones,
-one more than a match may lack, a matching window holds one. Candidates are verified by the
+all of them. Blocks are wide, so few others meet. Pairs beyond the radius are found by shingles: of an
+item's least ones, one more than a match may lack, a matching window holds one. Candidates are verified by the
 exact weighted similarity of their shingles: sum of the smaller counts over sum of the larger.
 
-A window whose similarity reaches the threshold shares that part of the item's shingles;
-so windows are only formed, without loss, where a document holds enough
-shingles of items of that length. Only built-in functions run.
+A window that reaches the threshold shares percent of the item's shingles. Windows are fingerprinted wherever
+a document holds FEW percent of the shingles of an item of that length: far fewer than a match, so none is
+missed, but not in texts that have nothing of the benchmark. Only built-in functions run.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; null and empty
 texts and items match nothing; an item of under five words is one shingle of its
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 N, PERCENT = 5, 80
-#: Bits in which fingerprints of pairs that the index finds differ at most. At similarity 0.8 they differ in 10 +- 3.
-RADIUS = 19
+#: Bits of a fingerprint, and in how many of them fingerprints of pairs that the index finds differ at most: 10 blocks of 12 or 13 bits.
+#: At similarity 0.8 fingerprints differ in 20 +- 6 bits; such pairs are found by their shingles.
+BITS, RADIUS = 128, 9
+#: Percent of an item's shingles that a document holds within a window that is fingerprinted; at most the threshold.
+FEW = 25
 #: Shingles of all items up to which they are broadcast; beyond it, both sides are shuffled.
 BROADCAST_SHINGLES = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,15 +49,30 @@ def grams(words: str, n: int) -> Column:
 
 
 def simhash(shingles: Column) -> Column:
-    """64 bits: each is the majority of that bit in the shingles; ties are 0."""
-    bit = lambda b: F.when(2 * F.aggregate(shingles, F.lit(0), lambda n, x: n + F.call_function("getbit", x, b).cast("int")) > F.size(shingles), F.lit(1)).otherwise(F.lit(0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", bit(b).cast("long"), b)))
+    """BITS bits as an array of longs: each bit is the majority of that bit in the shingles; ties are 0. A lane has hashes of its own."""
+    def lane(k: int) -> Column:
+        hashed = shingles if k == 0 else F.transform(shingles, lambda x: F.xxhash64(x, F.lit(k)))
+        bit = lambda b: F.when(2 * F.aggregate(hashed, F.lit(0), lambda n, x: n + F.call_function("getbit", x, b).cast("int")) > F.size(hashed), F.lit(1)).otherwise(F.lit(0))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(F.call_function("shiftleft", bit(b).cast("long"), b)))
+
+    return F.array(*[lane(k) for k in range(BITS // 64)])
+
+
+def hamming(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
 
 
 def blocks(fingerprint: Column, radius: int) -> Column:
-    """Array of (block, bits): radius + 1 parts of the fingerprint."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    """Array of (block, bits): radius + 1 parts of the fingerprint, told by a hash; a part may lie across two longs."""
+    cuts, out = [BITS * k // (radius + 1) for k in range(radius + 2)], []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        parts = []
+        for word in range(a // 64, (b - 1) // 64 + 1):
+            low, high = max(a, 64 * word) - 64 * word, min(b, 64 * word + 64) - 64 * word
+            whole = F.shiftrightunsigned(F.get(fingerprint, F.lit(word)), low)
+            parts.append(whole if high - low == 64 else whole.bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long")))
+        out.append(F.struct(F.lit(k).alias("block"), F.xxhash64(*parts).alias("bits")))
+    return F.array(*out)
 
 
 def as_multiset(shingles: Column) -> Column:
@@ -93,9 +111,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, percent: int =
         one = worded.select("row_id", F.posexplode(grams("w", g)).alias("pos", "shingle"))
         found = one.join(F.broadcast(keys) if small else keys, "shingle").select("row_id", "pos", F.explode("of").alias("of")).select("row_id", "pos", "of.length", "of.gram").where(F.col("gram") == g)
         hits = found if hits is None else hits.unionByName(found)
-    # places by document and length; few documents come near to holding an item
+    # places by document and length; few documents hold something of an item
     at = hits.groupBy("row_id", "length", "gram").agg(F.sort_array(F.collect_set("pos")).alias("p"))
-    at = at.withColumn("n", F.col("length") - F.col("gram") + 1).withColumn("need", _need(F.col("n"), percent))
+    at = at.withColumn("n", F.col("length") - F.col("gram") + 1).withColumn("need", F.greatest(F.lit(1), _need(F.col("n"), min(FEW, percent))))
     ends = F.transform(F.sequence(F.lit(0), F.size("p") - F.col("need")), lambda i: F.struct(F.get("p", i).alias("a"), F.get("p", i + F.col("need") - 1).alias("b")))
     near = F.filter(ends, lambda e: e["b"] - e["a"] < F.col("n"))
     starts = F.array_distinct(F.flatten(F.transform(near, lambda e: F.sequence(F.greatest(F.lit(0), e["b"] - F.col("n") + 1), e["a"]))))
@@ -114,12 +132,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, percent: int =
 
     probe = windows.select("row_id", "start", "length", "print", F.explode(blocks(F.col("print"), radius)).alias("k")).select("row_id", "start", "length", "print", "k.*")
     index = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), F.explode(blocks(F.col("fingerprint"), radius)).alias("k")).select("item_id", "length", "item_print", "k.*")
-    pairs = probe.join(F.broadcast(index) if small else index, ["length", "block", "bits"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") <= radius)
+    pairs = probe.join(F.broadcast(index) if small else index, ["length", "block", "bits"]).withColumn("hamming", hamming("print", "item_print")).where(F.col("hamming") <= radius)
     found = ["row_id", "start", "length", "item_id", "item_print", "hamming"]
     some = F.slice(F.array_sort("shingles"), F.lit(1), F.size("shingles") - _need(F.size("shingles"), percent) + 1)
     first = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), F.explode(F.array_distinct(some)).alias("shingle"))
     held_in = windows.select("row_id", "start", "length", "print", F.explode(F.array_distinct("shingles")).alias("shingle"))
-    far = held_in.join(F.broadcast(first) if small else first, ["length", "shingle"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).where(F.col("hamming") > radius)
+    far = held_in.join(F.broadcast(first) if small else first, ["length", "shingle"]).withColumn("hamming", hamming("print", "item_print")).where(F.col("hamming") > radius)
     pairs = pairs.select(*found).unionByName(far.select(*found)).distinct()
     judged = pairs.join(windows, ["row_id", "start", "length"])
     texts_of = items.select("item_id", "length", F.col("fingerprint").alias("item_print"), "marked")
