@@ -1,17 +1,19 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries and patterns. Lexicons of words and word stems are found
-from a bounded sample of labelled rows: entries whose rows are surely mostly toxic. A generative label
-model estimates each voter's accuracy by expectation maximisation, with the
-label of a row as one more, noisy voter; correlations that are left between
-voters given the posterior discount voters that say the same. A linear classifier is
-trained on the posterior labels and scores every whole text.
+from a bounded sample of labelled rows: entries whose rows, where they stand once, twice or often for the length, are
+surely mostly toxic. A generative label model estimates each voter's accuracy by expectation
+maximisation from the votes alone; labels choose the voters and set the share of toxic rows, but do not
+vote. Correlations that are left between voters given the posterior discount voters that say the
+same. A linear classifier is trained on the posterior labels and scores every whole text.
 
-The sample is the SAMPLE_ROWS rows with the smallest hash of doc_id, so reruns agree.
+The sample is the SAMPLE_ROWS rows with the smallest hash of doc_id, so reruns agree. Of its rows that share
+their least 3-gram and label, such as near copies, one counts.
 
 Defined results: null and empty texts get the classifier's score of no words; rows with
 equal doc_id get equal folds; a null doc_id is in no fold to learn from
 and not held out; contradicting labels of a doc_id count by their mean, a tie as not toxic;
+of entries that rank alike the longer, then the smaller one comes first;
 without labels all scores are 0; empty tables give an empty result; other columns
 are ignored.
 """
@@ -35,6 +37,8 @@ SAMPLE_ROWS = 20_000
 MIN_ROWS, MIN_PRECISION = 5, 0.55
 #: Lengths of word beginnings that may be entries beside whole words: insults also come as stems of compounds.
 STEMS = (4, 5, 6, 7)
+#: Conditions on an entry's places in a text, of which each entry gets the one that tells most: at least so many, and one for so many words (0: any).
+CONDITIONS = ((1, 0), (2, 0), (2, 200))
 THRESHOLD = 0.7
 #: Fold of a document: crc32 of its id as text, modulo FOLDS; HELD_OUT is never learned from.
 FOLDS, HELD_OUT = 3, 1
@@ -63,11 +67,19 @@ def _beginnings(length: int) -> Column:
     return F.transform(F.filter("words", lambda w: F.length(w) >= length), lambda w: F.concat(F.substring(w, 1, length), F.lit("*")))
 
 
+def _standing(times: int, per: int) -> Column:
+    """(entry, times, per) of the column of sorted entries whose places meet the condition: a k-th of equal ones tells of k."""
+    need = F.greatest(F.lit(times), F.ceil(F.size("words") / F.lit(per)).cast("int")) if per else F.lit(times)
+    again = F.filter("entries", lambda x, i: (i >= need - 1) & x.eqNullSafe(F.get("entries", i - (need - 1))))
+    return F.transform(F.array_distinct(again), lambda x: F.struct(x.alias("entry"), F.lit(times).alias("times"), F.lit(per).alias("per")))
+
+
 @dataclass
 class Model:
-    """Lexicon with the linear classifier's weights: entries, then patterns, then the constant."""
+    """Lexicon, with the conditions (times, per) on which its entries count, and the linear classifier's weights: entries, then patterns, then the constant."""
 
     lexicon: list[str]
+    needs: np.ndarray
     weights: np.ndarray
 
 
@@ -102,6 +114,14 @@ def text_features(column: pa.Array, lexicon: list[str]) -> Iterator[tuple[int, i
             yield first, end, out
 
 
+def enough(counts: np.ndarray, needs: np.ndarray) -> np.ndarray:
+    """counts without those of entries whose places do not meet their condition."""
+    out, words = counts.copy(), counts[:, len(needs)]
+    lex = out[:, : len(needs)]
+    lex[lex < np.where(needs[:, 1] > 0, np.maximum(needs[:, 0], words[:, None] / np.maximum(needs[:, 1], 1)), needs[:, 0])] = 0
+    return out
+
+
 def votes(counts: np.ndarray, entries: int) -> np.ndarray:
     """Rows x voters: 1 toxic, 0 not, -1 abstains. The lexicon's entries vote one by one, patterns after them."""
     lex, words = counts[:, :entries], np.maximum(counts[:, entries], 1)
@@ -109,7 +129,7 @@ def votes(counts: np.ndarray, entries: int) -> np.ndarray:
     shout = (counts[:, entries + 3] > 0.5 * np.maximum(counts[:, entries + 4], 20)).astype(int)
     patterns = [
         np.where(kinds >= 2, 1, np.where(kinds == 0, 0, -1)),  # several insults, or none
-        np.where(places >= 0.004 * words, np.where(kinds > 0, 1, 0), -1),  # dense in insults
+        np.where(kinds == 0, -1, np.where(places >= 0.004 * words, 1, 0)),  # dense in insults, or a few in a long text
         np.where(counts[:, entries + 1] > 0.05 * words, 1, -1),  # exclamations
         np.where(counts[:, entries + 2] > 0.2 * words, 1, -1),  # masked by symbols
         np.where(shout == 1, 1, -1),
@@ -117,29 +137,32 @@ def votes(counts: np.ndarray, entries: int) -> np.ndarray:
     return np.column_stack([np.where(lex > 0, 1, -1), *patterns])
 
 
-def label_model(v: np.ndarray, label: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Posterior P(toxic) of each row under class-conditional voters with discounts for correlation."""
-    prior = np.clip(label.mean(), 0.01, 0.5)
-    all_votes = np.column_stack([v, label.astype(int)])
-    said = [(all_votes == k).astype(float) for k in (0, 1, -1)]
-    post = np.where(label > 0, 0.8, 0.02)
-    weight = np.ones(all_votes.shape[1])
+def label_model(v: np.ndarray, label: np.ndarray | None = None, share: float | None = None, rounds: int = 25) -> np.ndarray:
+    """Posterior P(toxic) of each row under class-conditional voters with discounts for correlation.
+
+    A voter has a rate of either vote in either class. share: toxic rows expected; label: one more, noisy voter. The start is what the voters say on average.
+    """
+    prior = np.clip(share if share is not None else 0.5 if label is None else label.mean(), 0.01, 0.5)
+    all_votes = v if label is None else np.column_stack([v, label.astype(int)])
+    said = [(all_votes == k).astype(float) for k in (0, 1)]
+    post = np.where(label > 0, 0.8, 0.02) if label is not None else np.where((v == 1).sum(axis=1) > (v == 0).sum(axis=1), 0.8, 0.02)
+    voted, weight = (all_votes >= 0).astype(float), np.ones(all_votes.shape)
     for _ in range(rounds):
         logit = np.full(len(post), np.log(prior / (1 - prior)))
         p1, p0 = post.sum(), (1 - post).sum()
-        for k in range(3):
+        for k in range(2):  # abstaining tells nothing
             a = (post @ said[k] + 0.5) / (p1 + 1.5)
             b = ((1 - post) @ said[k] + 0.5) / (p0 + 1.5)
-            logit += said[k] @ (weight * np.log(a / b))
+            logit += (said[k] * weight) @ np.log(a / b)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        # what is left of the votes given the posterior: correlated voters share one vote's weight
+        # what is left of the votes given the posterior: correlated voters that speak of a row share one vote's weight
         x = np.where(all_votes == 1, 1.0, np.where(all_votes == 0, -1.0, 0.0))
         p1, p0 = max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9)
         left = x - np.outer(post, post @ x / p1) - np.outer(1 - post, (1 - post) @ x / p0)
         scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
         corr = np.abs(left.T @ left / np.outer(scale, scale))
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(axis=1))
+        weight = 1 / (1 + voted @ np.where(corr > 0.1, corr, 0))
     return post
 
 
@@ -182,18 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     if not n or not pos or pos == n:
         sample.unpersist()
         return None
-    words = F.array_distinct(F.col("words"))
     stems = [_beginnings(k) for k in STEMS]
-    entries = F.array_distinct(F.concat(words, *stems))
-    counted = sample.select("label", F.explode(entries).alias("entry")).groupBy("entry").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
+    entries = sample.select("label", "words", F.array_sort(F.concat("words", *stems)).alias("entries"))
+    held = [_standing(*c) for c in CONDITIONS]
+    counted = entries.select("label", F.explode(F.concat(*held)).alias("e")).select("label", "e.*").groupBy("entry", "times", "per").agg(F.sum("label").alias("p"), F.count("*").alias("c"))
     found = counted.where(F.col("p") >= MIN_ROWS).withColumn("sure", _wilson(F.col("p"), F.col("c"))).where(F.col("sure") >= MIN_PRECISION)
     # the surest and widest first; a longer entry before a shorter one that finds the same
-    ranked = found.orderBy(F.desc(F.col("p") * F.col("sure")), F.desc(F.length("entry")), "entry")
+    ranked = found.orderBy(F.desc(F.col("p") * F.col("sure")), F.desc(F.length("entry")), "entry", "times", "per")
     lexicon: list[str] = []
+    needs: list[tuple[int, int]] = []
     for r in ranked.collect():
         stem = r.entry.removesuffix("*")
         if not any(stem.startswith(x.removesuffix("*")) or x.startswith(stem) for x in lexicon):
             lexicon.append(r.entry)
+            needs.append((r.times, r.per))
     if not lexicon:
         sample.unpersist()
         return None
@@ -209,8 +234,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     counts = np.stack(got.counts.to_numpy()).reshape(len(got), width)
     order = np.lexsort((got.label.to_numpy(), *counts.T))  # the order of arrival does not matter
     counts, label = counts[order], got.label.to_numpy()[order]
-    post = label_model(votes(counts, len(lexicon)), label)
-    return Model(lexicon, fit_linear(design(counts, len(lexicon)), post))
+    counts = enough(counts, np.array(needs))
+    post = label_model(votes(counts, len(lexicon)), share=float(label.mean()))
+    return Model(lexicon, np.array(needs), fit_linear(design(counts, len(lexicon)), post))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -223,7 +249,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
     def score(texts: pd.Series) -> pd.Series:
         out = np.zeros(len(texts))
         for first, end, counts in text_features(pa.array(texts, pa.large_string(), from_pandas=True), model.lexicon):
-            out[first:end] = 1 / (1 + np.exp(-np.clip(design(counts, len(model.lexicon)) @ model.weights, -30, 30)))
+            out[first:end] = 1 / (1 + np.exp(-np.clip(design(enough(counts, model.needs), len(model.lexicon)) @ model.weights, -30, 30)))
         return pd.Series(out)
 
     return docs.withColumn("score", score(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
