@@ -3,10 +3,13 @@
 A url's tokens are its host labels, its path words, its query keys and its
 extension. Spark's FP-growth mines token combinations that go with a label;
 rules are pruned by confidence and support and to the smallest antecedents, and
-matched through an inverted index from token to rule.
+matched through an inverted index from token to rule. Tokens that stand in the same labelled
+urls are twins: one of them is mined for all, and any of them matches. A template of many tokens that always come
+together is thus one token and not all their combinations. An antecedent has MAX_ANTECEDENT tokens at most; that is the form of a rule.
 
 Defined results: null urls and urls without :// have an empty host and path, no
-tokens and the default verdict; equal rows give equal rows; an empty table
+tokens and the default verdict; equal rows give equal rows; of rules that match, the most confident, then the best supported, longest and the one of
+largest id decides; an empty table
 gives none, and without labelled urls no rule is mined.
 """
 
@@ -57,8 +60,24 @@ def url_tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(named("host:", F.split(host, r"\.")), named("path:", F.split(path, r"[/.]")), named("query:", keys))))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT) -> DataFrame:
-    """labelled(tokens, label) -> (rule_id, antecedent, label, confidence, support); all labelled rows are mined."""
+def twin_tokens(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """labelled(tokens, label) -> (token, twin): frequent tokens but the least of each group that stands in the same rows.
+
+    Tokens are told to be twins by the count and the sum of hashes of their rows. There are at most
+    tokens a url / min_support frequent ones.
+    """
+    least = min_support * labelled.count()
+    rows = labelled.select(F.xxhash64("tokens").cast("decimal(38,0)").alias("row"), F.explode("tokens").alias("token"))
+    seen = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows_sum")).where(F.col("n") >= least)
+    first = seen.groupBy("n", "rows_sum").agg(F.min("token").alias("twin"), F.count("*").alias("k")).where("k > 1")
+    return materialize(seen.join(first, ["n", "rows_sum"]).where("token <> twin").select("token", "twin"), "url-twins")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_antecedent: int = MAX_ANTECEDENT, twins: DataFrame | None = None) -> DataFrame:
+    """labelled(tokens, label) -> (rule_id, antecedent, label, confidence, support); all labelled rows are mined, without twins' tokens."""
+    if twins is not None:
+        # bounded by the number of frequent tokens
+        labelled = labelled.withColumn("tokens", F.array_except("tokens", F.lit([r.token for r in twins.collect()] or [""])))
     items = labelled.where(F.size("tokens") > 0).select(F.concat("tokens", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     mined = model.associationRules.where(F.element_at("consequent", 1).startswith("label:") & (F.size("antecedent") <= max_antecedent))
@@ -74,10 +93,12 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     return materialize(kept.withColumn("rule_id", F.xxhash64("antecedent", "label")), "url-rules-kept")
 
 
-def match_rules(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct token sets (tokens) -> (tokens, label, confidence) of the best rule whose whole antecedent they hold."""
+def match_rules(tokens: DataFrame, rules: DataFrame, twins: DataFrame | None = None) -> DataFrame:
+    """Distinct token sets (tokens) -> (set_id, label, confidence) of the best rule whose whole antecedent they or their twins hold."""
     index = rules.select("rule_id", "label", "confidence", "support", F.size("antecedent").alias("needs"), F.explode("antecedent").alias("token"))
     probe = tokens.select(F.xxhash64("tokens").alias("set_id"), F.explode("tokens").alias("token"))
+    if twins is not None:
+        probe = probe.join(F.broadcast(twins), "token", "left").select("set_id", F.coalesce("twin", "token").alias("token")).distinct()
     hits = probe.join(index, "token").groupBy("set_id", "rule_id", "label", "confidence", "support", "needs").agg(F.count("*").alias("n")).where("n = needs")
     best = F.max_by("label", F.struct("confidence", "support", "needs", "rule_id"))
     return hits.groupBy("set_id").agg(best.alias("label"), F.max("confidence").alias("confidence"))
@@ -93,8 +114,9 @@ def url_filter(pages: DataFrame, labels: DataFrame | None = None, rules: list[tu
     judged = judged.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("tokens", url_tokens(F.col("_url"))).drop("_url")
     judged = materialize(judged.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("v"), "tokens"), "url-judged")
     train = judged.where("v is not null").select("tokens", F.col("v").alias("label")) if labels is None else labels.select(url_tokens(F.col("url")).alias("tokens"), F.col("label").cast("string").alias("label")).where("label is not null")
-    mined = mine_rules(train, min_support, min_confidence)
+    twins = twin_tokens(train, min_support)
+    mined = mine_rules(train, min_support, min_confidence, twins=twins)
     sets = judged.where("v is null and size(tokens) > 0").select("tokens").distinct()
-    matched = materialize(match_rules(sets, mined), "url-matched").withColumnRenamed("confidence", "mined_confidence")
+    matched = materialize(match_rules(sets, mined, twins), "url-matched").withColumnRenamed("confidence", "mined_confidence")
     out = judged.withColumn("set_id", F.when(F.col("v").isNull(), F.xxhash64("tokens"))).join(matched, "set_id", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("v", "label", F.lit(default)).alias("verdict"), "mined_confidence")

@@ -178,6 +178,15 @@ def test_url_mining(spark):
     assert UF.url_filter(spark.createDataFrame([], "page_id long, url string, tokens int")).count() == 0
 
 
+def test_tokens_that_always_come_together_are_mined_once(spark):
+    path = "/".join(f"part{chr(97 + i)}" for i in range(22))  # 2**22 combinations
+    urls = [(f"http://x{i}.test/{path}/{i}", "block") for i in range(60)] + [(f"http://y{i}.test/other/{i}", "allow") for i in range(60)]
+    pages = [(0, "http://z.test/partc/9"), (1, "http://z.test/other/9"), (2, "http://z.test/none"), (2, "http://z.test/none"), (3, None), (4, "nothing"), (5, "http://z.test/" + "q/" * 30000)]
+    got = UF.url_filter(spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "1 as tokens", "2 as verdict", "3 as rule"), labels=spark.createDataFrame(urls, "url string, label string")).collect()
+    verdicts = {r.page_id: r.verdict for r in got}
+    assert len(got) == len(pages) and verdicts == {0: "block", 1: "allow", 2: "allow", 3: "allow", 4: "allow", 5: "allow"}
+
+
 def test_no_mined_rule_is_cut(spark):
     n = 2100
     labelled = spark.range(2 * n).selectExpr(f"array(concat('host:h', id % {n})) as tokens", "'block' as label")
