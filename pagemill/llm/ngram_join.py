@@ -49,7 +49,7 @@ N, PERCENT = 5, 80
 #: Sets up to that size have all n-grams counted in step 1; smaller ones' partners are no larger than it.
 SHORT = 64
 #: Bits of a parity sketch at least and at most; between them about two an n-gram.
-SKETCH_BITS = (128, 4096)
+SKETCH_BITS = (128, 2048)
 #: Members of a list compared at once; pairs whose sketches are compared at once.
 BLOCK, PAIR_BLOCK, JUDGED = 512, 1 << 14, 1 << 18
 #: Lists of up to so many members are paired all at once.
@@ -60,8 +60,10 @@ HOT = 256
 SEEN = 4
 #: Pieces of the global n-gram order.
 FRAGMENTS = 8
-#: Rounds of pairs with leaders, orders from which a round's lists take theirs, and rounds of forests.
-ROUNDS, LEADERS, FORESTS = 2, 4, 0
+#: Orders from which lists take their leaders: at most so many pairs a member.
+LEADERS = 4
+#: Bytes of the short sketches by which forests choose.
+BRIEF = 32
 _U = np.uint64
 
 
@@ -198,12 +200,12 @@ def sketch_bytes(n: np.ndarray) -> np.ndarray:
     return (1 << np.ceil(np.log2(np.clip(2 * n, low, high))).astype(np.int64)) // 8
 
 
-def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, most: int | None = None) -> pa.Array:
     """Parity bitmaps: the bits in which two of them differ are at most the members of one set alone.
 
-    Bits are hashes modulo a power of two, so a longer sketch folds to a shorter one by XOR of its parts.
+    Bits are hashes modulo a power of two, so a longer sketch folds to a shorter one by XOR of its parts. most: bytes at most.
     """
-    width = sketch_bytes(size)
+    width = sketch_bytes(size) if most is None else np.minimum(sketch_bytes(size), most)
     offset = np.concatenate(([0], np.cumsum(width)))
     bit = 8 * offset[row] + (mix(h) & (8 * width[row] - 1).astype(_U)).astype(np.int64)
     parity = np.bincount(bit, minlength=8 * int(offset[-1])) & 1
@@ -293,14 +295,14 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -
     return row[order], key[order]
 
 
-def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, percent: int) -> DataFrame:
+def _leader_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb) with a < b: members of each n-gram's list with a leader of another component.
 
-    Lists take one of LEADERS orders of classes, so that a group meets a few leaders, the same in most of
+    Lists take one of LEADERS orders of classes, so that a group meets few leaders, the same in most of
     its lists. Only pairs whose sketches allow the similarity are left.
     """
     lists = sets.select("cls", "n", "grams").join(groups, "cls").select("cls", "n", "comp", F.explode("grams").alias("gram"))
-    order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(LEADERS)), F.lit(seed)).alias("o"), "cls", "n", "comp")
+    order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(LEADERS))).alias("o"), "cls", "n", "comp")
     lead = lists.groupBy("gram").agg(F.min(order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     lead = lead.select("gram", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("other"))
     pairs = lists.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("comp <> other").where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent))
@@ -321,7 +323,7 @@ def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, percent: int) -
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, PAIRS)
 
 
-def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
+def _pool(sets: DataFrame, groups: DataFrame, column: str, sketch: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
     """(members of lists that hold several components, one row a member and list; longer lists' (gram)).
 
     A row has its rank in the member's lists and the lists before it. Which lists these are is found on bare
@@ -331,19 +333,20 @@ def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> t
     mixed = materialize(lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k"), "ngram-lists")
     short, crowded = (mixed.where(F.col("k") <= hot), mixed.where(F.col("k") > hot)) if hot else (mixed, mixed.limit(0))
     held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp").agg(F.collect_list("at").alias("places"))
-    rows = sets.select("cls", "n", "sketch", column).join(held, "cls").select("cls", "n", "sketch", "comp", column, F.explode("places").alias("at"))
+    rows = sets.select("cls", "n", F.col(sketch).alias("sketch"), column).join(held, "cls").select("cls", "n", "sketch", "comp", column, F.explode("places").alias("at"))
     seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
     return rows.select(F.get(column, "at").alias("gram"), "cls", "n", "sketch", "comp", "at", seen.alias("seen")), crowded.select("gram")
 
 
 def _candidates(sets: DataFrame, groups: DataFrame, percent: int, forest: bool, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or only forests of them."""
-    pool, crowded = _pool(sets, groups, "grams", hot)
+    """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or, by short sketches, only forests of them."""
+    sketch = "brief" if forest else "sketch"
+    pool, crowded = _pool(sets, groups, "grams", sketch, hot)
     pool = pool.withColumnRenamed("at", "rank")
     if not crowded.isEmpty():
         held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
         some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
-        signed, _ = _pool(some, groups, "parts", None)
+        signed, _ = _pool(some, groups, "parts", sketch, None)
         pool = pool.unionByName(signed.drop("at").withColumn("rank", F.lit(0)))  # signatures have no rank
     pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
     return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
@@ -541,16 +544,16 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col
                 for _, end, row, h, cls, size in _sets(b, 0, n):
                     k = len(cls)
                     use = np.arange(len(h)) - np.searchsorted(row, row) < (size - _need(size, percent) + 1)[row]
-                    cols = [pa.array(cls), pa.array(size, pa.int64()), sketches(row, h, size), lists(row[use], h[use], k), lists(*signatures(row, h, size, percent), k), _fragments(row, h, k)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sketch", "grams", "parts", "segments"])
+                    cols = [pa.array(cls), pa.array(size, pa.int64()), sketches(row, h, size), sketches(row, h, size, BRIEF), lists(row[use], h[use], k), lists(*signatures(row, h, size, percent), k), _fragments(row, h, k)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sketch", "brief", "grams", "parts", "segments"])
 
     # how many are left grows with the input, so they are not broadcast; equal rows have one hash
     texts = slim.join(alive.select(F.col("rep").alias("row_id")).hint("merge"), "row_id").groupBy("row_id").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("text").mapInArrow(describe, "cls long, n long, sketch binary, grams array<long>, parts array<long>, segments array<binary>"), "ngram-sets")
+    sets = materialize(texts.select("text").mapInArrow(describe, "cls long, n long, sketch binary, brief binary, grams array<long>, parts array<long>, segments array<binary>"), "ngram-sets")
     groups = sets.select("cls", F.col("cls").alias("comp"))
     asked, links = None, None
-    for step in [*range(ROUNDS), *["forest"] * FORESTS, "rest"]:
-        pairs = _leader_pairs(sets, groups, step, percent) if isinstance(step, int) else _candidates(sets, groups, percent, step == "forest", hot)
+    for step in ("leaders", "forest", "rest"):
+        pairs = _leader_pairs(sets, groups, percent) if step == "leaders" else _candidates(sets, groups, percent, step == "forest", hot)
         pairs = pairs if asked is None else pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
         new = materialize(verify(pairs, sets, percent), "ngram-links")
