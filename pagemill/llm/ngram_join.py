@@ -309,6 +309,11 @@ def _leader_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     swap = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     pairs = pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb")).distinct()
+    return _near(pairs, sets, percent)
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches allow the similarity."""
     sketch = sets.select("cls", "sketch")
     pairs = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
 
@@ -324,32 +329,33 @@ def _leader_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
 
 
 def _pool(sets: DataFrame, groups: DataFrame, column: str, sketch: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
-    """(members of lists that hold several components, one row a member and list; longer lists' (gram)).
+    """(members of lists that hold several components, longer lists' (gram)).
 
-    A row has its rank in the member's lists and the lists before it. Which lists these are is found on bare
-    (cls, place, gram) rows; only then do sketches join, so that they travel once.
+    A row is a member with its lists of one bucket: in each its rank and the lists before it. Which lists
+    these are is found on bare (cls, place, gram) rows; only then do sketches join, so that they travel once.
     """
     lists = sets.select("cls", column).join(groups, "cls").select("cls", "comp", F.posexplode(column).alias("at", "gram"))
     mixed = materialize(lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k"), "ngram-lists")
     short, crowded = (mixed.where(F.col("k") <= hot), mixed.where(F.col("k") > hot)) if hot else (mixed, mixed.limit(0))
-    held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp").agg(F.collect_list("at").alias("places"))
-    rows = sets.select("cls", "n", F.col(sketch).alias("sketch"), column).join(held, "cls").select("cls", "n", "sketch", "comp", column, F.explode("places").alias("at"))
-    seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
-    return rows.select(F.get(column, "at").alias("gram"), "cls", "n", "sketch", "comp", "at", seen.alias("seen")), crowded.select("gram")
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession))).alias("bucket")
+    held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp", bucket).agg(F.collect_list("at").alias("places"))
+    rows = sets.select("cls", "n", F.col(sketch).alias("sketch"), column).join(held, "cls")
+    rank = (lambda at: at) if column == "grams" else (lambda at: F.lit(0))  # signatures have no rank
+    seen = lambda at: F.slice(column, F.greatest(at - (SEEN - 1), F.lit(1)), F.least(at, F.lit(SEEN)))
+    places = F.transform("places", lambda at: F.struct(F.get(column, at).alias("gram"), rank(at).alias("rank"), seen(at).alias("seen")))
+    return rows.select("bucket", "cls", "n", "sketch", "comp", places.alias("places")), crowded.select("gram")
 
 
 def _candidates(sets: DataFrame, groups: DataFrame, percent: int, forest: bool, hot: int = HOT) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or, by short sketches, only forests of them."""
     sketch = "brief" if forest else "sketch"
     pool, crowded = _pool(sets, groups, "grams", sketch, hot)
-    pool = pool.withColumnRenamed("at", "rank")
     if not crowded.isEmpty():
         held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
         some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
-        signed, _ = _pool(some, groups, "parts", sketch, None)
-        pool = pool.unionByName(signed.drop("at").withColumn("rank", F.lit(0)))  # signatures have no rank
-    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
-    return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
+        pool = pool.unionByName(_pool(some, groups, "parts", sketch, None)[0])
+    pairs = pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
+    return _near(pairs, sets, percent) if forest else pairs
 
 
 def _forest(pairs: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -410,16 +416,17 @@ def _list_pairs(starts: np.ndarray, ends: np.ndarray, n: np.ndarray, comp: np.nd
 
 def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
     """Pairs of one bucket's lists in different components whose sketches allow the similarity."""
-    gram, cls, n, comp, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "cls", "n", "comp", "rank"))
-    order = np.lexsort((n, gram))
-    gram, cls, n, comp, rank = gram[order], cls[order], n[order], comp[order], rank[order]
-    table = table.select(["sketch", "seen"]).take(pa.array(order))
-    sketch = _Sketches(table.column("sketch"))
-    lists = table.column("seen").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    places = pa.concat_arrays(table.column("places").chunks)
+    flat = places.flatten()
+    row = np.repeat(np.arange(table.num_rows), places.value_lengths().to_numpy())
+    gram, rank = (flat.field(c).to_numpy().astype(np.int64) for c in ("gram", "rank"))
+    cls, n, comp = (table.column(c).to_numpy()[row] for c in ("cls", "n", "comp"))
+    sketch, lists = _Sketches(table.column("sketch")), flat.field("seen")
     width = lists.value_lengths().to_numpy()
-    seen, filled = np.zeros((len(cls), SEEN), np.int64), np.arange(SEEN)[None, :] < width[:, None]
+    seen, filled = np.zeros((len(row), SEEN), np.int64), np.arange(SEEN)[None, :] < width[:, None]
     seen[filled] = lists.flatten().to_numpy()
+    order = np.lexsort((n, gram))
+    gram, cls, n, comp, rank, row, seen, filled = (x[order] for x in (gram, cls, n, comp, rank, row, seen, filled))
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     out, far, waiting = [], [], []
 
@@ -432,7 +439,7 @@ def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
             for j in range(SEEN):
                 before |= (seen[x, i] == seen[y, j]) & filled[x, i] & filled[y, j]
         x, y = x[~before], y[~before]
-        apart = _apart(sketch, x, sketch, y)
+        apart = _apart(sketch, row[x], sketch, row[y])
         ok = _allowed(apart, n[x], n[y], percent)
         out.append(np.stack([x[ok], y[ok]]))
         far.append(apart[ok])
