@@ -24,6 +24,8 @@ def duplicate_flags(features: DataFrame) -> DataFrame:
         key = F.lower(trim(F.coalesce(F.col(f"seo.{at}"), F.lit(""))))
         out = out.withColumn(f"_{name}", F.when(key != "", key))
         shared = out.where(F.col(f"_{name}").isNotNull()).groupBy(F.col(f"_{name}").alias(f"_k_{name}")).agg(F.count("*").alias("_n")).where("_n > 1").select(f"_k_{name}")
+        # pages without a key are spread: nulls would all hash to one partition
+        out = out.withColumn(f"_{name}", F.coalesce(f"_{name}", F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))))
         out = out.join(shared, F.col(f"_{name}") == F.col(f"_k_{name}"), "left").withColumn(f"duplicate_{name}", F.col(f"_k_{name}").isNotNull()).drop(f"_{name}", f"_k_{name}")
     return out
 

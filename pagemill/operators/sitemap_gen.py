@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,15 +98,20 @@ def auto_priority(depth: int, tens: int) -> str:
     return fixed1(max(0.1, min(1.0, 1.0 - depth * 0.15 + tens * 0.1)))
 
 
+def _one_decimal(x: Column) -> Column:
+    """x in [0, 1] with one decimal of its binary value; a middle that lies above the true one in binary goes up."""
+    middles = [(2 * i + 1) / 20 for i in range(10)]
+    tenths = sum((F.when((x >= m) if Fraction(m) >= Fraction(2 * i + 1, 20) else (x > m), 1).otherwise(0) for i, m in enumerate(middles)), F.lit(0))
+    return F.concat((tenths >= 10).cast("int").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def priority(cfg: SitemapConfig) -> Column:
     if cfg.priority == "none":
         return F.lit(None).cast("string")
     if cfg.priority == "uniform":
         return F.lit(fixed1(cfg.uniform_priority))
-    # beyond 60 levels or 90 links in, the value no longer changes: the table is small and exact
-    d, t = F.least(F.coalesce("depth", F.lit(0)), F.lit(30)), F.least(F.floor(F.coalesce("inbound", F.lit(0)) / 10), F.lit(45)).cast("int")
-    table = F.array(*[F.lit(auto_priority(i, j)) for i in range(31) for j in range(46)])
-    out = F.get(table, d * 46 + t)
+    d, t = F.coalesce("depth", F.lit(0)).cast("double"), F.floor(F.coalesce("inbound", F.lit(0)) / 10).cast("double")
+    out = _one_decimal(F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.lit(1.0) - d * 0.15 + t * 0.1)))
     path = path_of(c("url"))
     for pattern, p in reversed(cfg.priority_overrides):
         out = F.when(glob_match(path, pattern), fixed1(max(0.0, min(1.0, p)))).otherwise(out)
@@ -164,9 +170,9 @@ def _namespaces(cfg: SitemapConfig) -> str:
     return "\n        ".join(ns)
 
 
-def numbered(rows: DataFrame, per_file: int, buckets: int = 64) -> DataFrame:
+def numbered(rows: DataFrame, per_file: int) -> DataFrame:
     """rows plus chunk, from 1, in order of id: positions are counted per range of ids and added up, so no task orders all rows."""
-    spread = rows.withColumn("_b", F.pmod(F.floor(c("id") / 1024), F.lit(1 << 20)))
+    spread = rows.withColumn("_b", F.shiftright(c("id").cast("long"), 10))
     counts = spread.groupBy("_b").agg(F.count("*").alias("_n"))
     before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - c("_n")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy("_b").orderBy("id"))

@@ -93,3 +93,17 @@ def test_url_columns(spark):
     assert value(spark, U.host_of(F.lit(None).cast("string"))) == "" and value(spark, U.path_group(F.lit("/"))) == "/"
     assert value(spark, U.is_internal(F.lit("shop.ex.com"), "www.ex.com", True)) and not value(spark, U.is_internal(F.lit("shop.ex.com"), "www.ex.com"))
     assert not value(spark, U.is_internal(F.lit("notex.com"), "www.ex.com", True))
+
+
+def test_priority_beyond_deep_pages_and_order_of_any_id(spark):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import sitemap_gen as S
+
+    cases = [(d, 10 * t) for d in (0, 1, 2, 3, 5, 7, 11, 29, 31, 40, 60) for t in (0, 1, 2, 3, 7, 9, 44, 45, 46, 61, 90)]
+    df = spark.createDataFrame([(i, d, n, "http://a/x") for i, (d, n) in enumerate(cases)], "id long, depth long, inbound long, url string")
+    got = df.select("id", S.priority(S.SitemapConfig(priority="auto")).alias("p")).collect()
+    assert {r.id: r.p for r in got} == {i: S.auto_priority(d, n // 10) for i, (d, n) in enumerate(cases)}
+    ids = [5, 2000, (1 << 30) + 7, (1 << 31) + 9, (1 << 45) + 1, 0]
+    placed = S.numbered(spark.createDataFrame([(i,) for i in ids], "id long").select("id", F.lit(1).alias("x")), 2).collect()
+    assert {r.id: r.position for r in placed} == {x: k for k, x in enumerate(sorted(ids))}
