@@ -11,10 +11,9 @@ Candidates, without loss:
    classes that miss more are done.
 2. Of the others, two sets of similarity s share one of the first n - ceil(s n) + 1
    n-grams of the order (prefix filter). In each list of a prefix n-gram, members
-   pair with one leader; the links found make components.
-3. Lists that still hold several components pair members of different ones: first only the closest
-   pairs that would join components (a forest), which are verified and joined, at last all that are left.
-   A list of more than HOT members, such as that of a common passage, is not compared: its
+   pair with one leader; the links found make components. A second round has more leaders, for members
+   unlike the first ones.
+3. Lists that still hold several components pair all members of different ones. A list of more than HOT members, such as that of a common passage, is not compared: its
    classes meet in lists of signatures instead. n-grams fall into more parts than two similar sets can
    differ in, so such sets agree in a whole part; the parts' contents are the signatures.
 4. A pair goes on if its sizes fit, if its place in the order leaves enough n-grams, if it has no
@@ -59,11 +58,9 @@ HOT = 256
 #: Earlier lists of a member that travel with it.
 SEEN = 4
 #: Pieces of the global n-gram order.
-FRAGMENTS = 8
-#: Orders from which lists take their leaders: at most so many pairs a member.
-LEADERS = 4
-#: Bytes of the short sketches by which forests choose.
-BRIEF = 32
+FRAGMENTS = 4
+#: Orders from which the lists of each round take their leaders: at most so many pairs a member.
+LEADERS = (4, 32)
 _U = np.uint64
 
 
@@ -200,12 +197,12 @@ def sketch_bytes(n: np.ndarray) -> np.ndarray:
     return (1 << np.ceil(np.log2(np.clip(2 * n, low, high))).astype(np.int64)) // 8
 
 
-def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray, most: int | None = None) -> pa.Array:
+def sketches(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
     """Parity bitmaps: the bits in which two of them differ are at most the members of one set alone.
 
-    Bits are hashes modulo a power of two, so a longer sketch folds to a shorter one by XOR of its parts. most: bytes at most.
+    Bits are hashes modulo a power of two, so a longer sketch folds to a shorter one by XOR of its parts.
     """
-    width = sketch_bytes(size) if most is None else np.minimum(sketch_bytes(size), most)
+    width = sketch_bytes(size)
     offset = np.concatenate(([0], np.cumsum(width)))
     bit = 8 * offset[row] + (mix(h) & (8 * width[row] - 1).astype(_U)).astype(np.int64)
     parity = np.bincount(bit, minlength=8 * int(offset[-1])) & 1
@@ -295,25 +292,20 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -
     return row[order], key[order]
 
 
-def _leader_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, leaders: int, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb) with a < b: members of each n-gram's list with a leader of another component.
 
-    Lists take one of LEADERS orders of classes, so that a group meets few leaders, the same in most of
+    Lists take one of so many orders of classes, so that a group meets few leaders, the same in most of
     its lists. Only pairs whose sketches allow the similarity are left.
     """
     lists = sets.select("cls", "n", "grams").join(groups, "cls").select("cls", "n", "comp", F.explode("grams").alias("gram"))
-    order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(LEADERS))).alias("o"), "cls", "n", "comp")
+    order = F.struct(F.xxhash64("cls", F.pmod("gram", F.lit(leaders)), F.lit(seed)).alias("o"), "cls", "n", "comp")
     lead = lists.groupBy("gram").agg(F.min(order).alias("l"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
     lead = lead.select("gram", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"), F.col("l.comp").alias("other"))
     pairs = lists.withColumnsRenamed({"cls": "a", "n": "na"}).join(lead, "gram").where("comp <> other").where((F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent))
     swap = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(name)
     pairs = pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("na", "nb", "na"), pick("nb", "na", "nb")).distinct()
-    return _near(pairs, sets, percent)
-
-
-def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sketches allow the similarity."""
     sketch = sets.select("cls", "sketch")
     pairs = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b")
 
@@ -328,57 +320,32 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, PAIRS)
 
 
-def _pool(sets: DataFrame, groups: DataFrame, column: str, sketch: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
-    """(members of lists that hold several components, longer lists' (gram)).
+def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
+    """(members of lists that hold several components, one row a member and list; longer lists' (gram)).
 
-    A row is a member with its lists of one bucket: in each its rank and the lists before it. Which lists
-    these are is found on bare (cls, place, gram) rows; only then do sketches join, so that they travel once.
+    A row has its rank in the member's lists and the lists before it. Which lists these are is found on bare
+    (cls, place, gram) rows; only then do sketches join, so that they travel once.
     """
     lists = sets.select("cls", column).join(groups, "cls").select("cls", "comp", F.posexplode(column).alias("at", "gram"))
     mixed = materialize(lists.groupBy("gram").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("k")).where("x <> y").select("gram", "k"), "ngram-lists")
     short, crowded = (mixed.where(F.col("k") <= hot), mixed.where(F.col("k") > hot)) if hot else (mixed, mixed.limit(0))
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession))).alias("bucket")
-    held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp", bucket).agg(F.collect_list("at").alias("places"))
-    rows = sets.select("cls", "n", F.col(sketch).alias("sketch"), column).join(held, "cls")
-    rank = (lambda at: at) if column == "grams" else (lambda at: F.lit(0))  # signatures have no rank
-    seen = lambda at: F.slice(column, F.greatest(at - (SEEN - 1), F.lit(1)), F.least(at, F.lit(SEEN)))
-    places = F.transform("places", lambda at: F.struct(F.get(column, at).alias("gram"), rank(at).alias("rank"), seen(at).alias("seen")))
-    return rows.select("bucket", "cls", "n", "sketch", "comp", places.alias("places")), crowded.select("gram")
-
-
-def _candidates(sets: DataFrame, groups: DataFrame, percent: int, forest: bool, hot: int = HOT) -> DataFrame:
-    """Distinct (a, b, na, nb), a < b, of members of one list in different components, all or, by short sketches, only forests of them."""
-    sketch = "brief" if forest else "sketch"
-    pool, crowded = _pool(sets, groups, "grams", sketch, hot)
+    held = lists.join(short.select("gram"), "gram").groupBy("cls", "comp").agg(F.collect_list("at").alias("places"))
+    rows = sets.select("cls", "n", "sketch", column).join(held, "cls").select("cls", "n", "sketch", "comp", column, F.explode("places").alias("at"))
+    seen = F.slice(column, F.greatest(F.col("at") - (SEEN - 1), F.lit(1)), F.least("at", F.lit(SEEN)))
+    return rows.select(F.get(column, "at").alias("gram"), "cls", "n", "sketch", "comp", "at", seen.alias("seen")), crowded.select("gram")
+
+
+def _candidates(sets: DataFrame, groups: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of members of one list in different components."""
+    pool, crowded = _pool(sets, groups, "grams", hot)
+    pool = pool.withColumnRenamed("at", "rank")
     if not crowded.isEmpty():
         held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
         some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
-        pool = pool.unionByName(_pool(some, groups, "parts", sketch, None)[0])
-    pairs = pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent, forest), PAIRS).distinct()
-    return _near(pairs, sets, percent) if forest else pairs
-
-
-def _forest(pairs: np.ndarray, comp: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Of index pairs, closest first, those that join two components that no closer ones have joined."""
-    ends = np.sort(comp[pairs], axis=0)
-    order = np.lexsort((apart, ends[1], ends[0]))
-    e = ends[:, order]
-    first = order[np.concatenate(([True], (e[:, 1:] != e[:, :-1]).any(axis=0)))]
-    first = first[np.argsort(apart[first], kind="stable")]
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    keep = []
-    for k, x, y in zip(first.tolist(), ends[0, first].tolist(), ends[1, first].tolist(), strict=True):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[x] = y
-            keep.append(k)
-    return np.array(keep, np.int64)
+        signed, _ = _pool(some, groups, "parts", None)
+        pool = pool.unionByName(signed.drop("at").withColumn("rank", F.lit(0)))  # signatures have no rank
+    pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
+    return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent), PAIRS).distinct()
 
 
 def _may_pair(x: np.ndarray, y: np.ndarray, n: np.ndarray, comp: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -414,21 +381,20 @@ def _list_pairs(starts: np.ndarray, ends: np.ndarray, n: np.ndarray, comp: np.nd
                 yield x[ok], y[ok]
 
 
-def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
+def _cross_pairs(table: pa.Table, percent: int) -> pa.Table:
     """Pairs of one bucket's lists in different components whose sketches allow the similarity."""
-    places = pa.concat_arrays(table.column("places").chunks)
-    flat = places.flatten()
-    row = np.repeat(np.arange(table.num_rows), places.value_lengths().to_numpy())
-    gram, rank = (flat.field(c).to_numpy().astype(np.int64) for c in ("gram", "rank"))
-    cls, n, comp = (table.column(c).to_numpy()[row] for c in ("cls", "n", "comp"))
-    sketch, lists = _Sketches(table.column("sketch")), flat.field("seen")
+    gram, cls, n, comp, rank = (table.column(c).to_numpy().astype(np.int64) for c in ("gram", "cls", "n", "comp", "rank"))
+    order = np.lexsort((n, gram))
+    gram, cls, n, comp, rank = gram[order], cls[order], n[order], comp[order], rank[order]
+    table = table.select(["sketch", "seen"]).take(pa.array(order))
+    sketch = _Sketches(table.column("sketch"))
+    lists = table.column("seen").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     width = lists.value_lengths().to_numpy()
-    seen, filled = np.zeros((len(row), SEEN), np.int64), np.arange(SEEN)[None, :] < width[:, None]
+    seen, filled = np.zeros((len(cls), SEEN), np.int64), np.arange(SEEN)[None, :] < width[:, None]
     seen[filled] = lists.flatten().to_numpy()
-    order = np.lexsort((n, gram))
-    gram, cls, n, comp, rank, row, seen, filled = (x[order] for x in (gram, cls, n, comp, rank, row, seen, filled))
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-    out, far, waiting = [], [], []
+    out, waiting = [], []
 
     def judge() -> None:
         x, y = (np.concatenate(z) for z in zip(*waiting, strict=True))
@@ -439,10 +405,9 @@ def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
             for j in range(SEEN):
                 before |= (seen[x, i] == seen[y, j]) & filled[x, i] & filled[y, j]
         x, y = x[~before], y[~before]
-        apart = _apart(sketch, row[x], sketch, row[y])
+        apart = _apart(sketch, x, sketch, y)
         ok = _allowed(apart, n[x], n[y], percent)
         out.append(np.stack([x[ok], y[ok]]))
-        far.append(apart[ok])
 
     count = 0
     for x, y in _list_pairs(starts, np.append(starts[1:], len(gram)), n, comp, rank, percent):
@@ -454,8 +419,6 @@ def _cross_pairs(table: pa.Table, percent: int, forest: bool) -> pa.Table:
     if waiting:
         judge()
     at = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    if forest and at.shape[1]:
-        at = at[:, _forest(at, comp, np.concatenate(far))]
     at = np.where(cls[at[0]] < cls[at[1]], at, at[::-1]) if at.shape[1] else at
     pairs = np.unique(np.stack([cls[at[0]], cls[at[1]], n[at[0]], n[at[1]]], axis=1), axis=0) if at.shape[1] else np.zeros((0, 4), np.int64)
     return pa.table({k: pa.array(pairs[:, i], pa.int64()) for i, k in enumerate(("a", "b", "na", "nb"))})
@@ -551,22 +514,22 @@ def ngram_components(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col
                 for _, end, row, h, cls, size in _sets(b, 0, n):
                     k = len(cls)
                     use = np.arange(len(h)) - np.searchsorted(row, row) < (size - _need(size, percent) + 1)[row]
-                    cols = [pa.array(cls), pa.array(size, pa.int64()), sketches(row, h, size), sketches(row, h, size, BRIEF), lists(row[use], h[use], k), lists(*signatures(row, h, size, percent), k), _fragments(row, h, k)]
-                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sketch", "brief", "grams", "parts", "segments"])
+                    cols = [pa.array(cls), pa.array(size, pa.int64()), sketches(row, h, size), lists(row[use], h[use], k), lists(*signatures(row, h, size, percent), k), _fragments(row, h, k)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "sketch", "grams", "parts", "segments"])
 
     # how many are left grows with the input, so they are not broadcast; equal rows have one hash
     texts = slim.join(alive.select(F.col("rep").alias("row_id")).hint("merge"), "row_id").groupBy("row_id").agg(F.first("text").alias("text"))
-    sets = materialize(texts.select("text").mapInArrow(describe, "cls long, n long, sketch binary, brief binary, grams array<long>, parts array<long>, segments array<binary>"), "ngram-sets")
+    sets = materialize(texts.select("text").mapInArrow(describe, "cls long, n long, sketch binary, grams array<long>, parts array<long>, segments array<binary>"), "ngram-sets")
     groups = sets.select("cls", F.col("cls").alias("comp"))
     asked, links = None, None
-    for step in ("leaders", "forest", "rest"):
-        pairs = _leader_pairs(sets, groups, percent) if step == "leaders" else _candidates(sets, groups, percent, step == "forest", hot)
+    for step in [*range(len(LEADERS)), None]:
+        pairs = _candidates(sets, groups, percent, hot) if step is None else _leader_pairs(sets, groups, step, LEADERS[step], percent)
         pairs = pairs if asked is None else pairs.join(asked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(pairs, "ngram-pairs")
         new = materialize(verify(pairs, sets, percent), "ngram-links")
         asked = pairs if asked is None else asked.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
-        if step == "rest" or not new.isEmpty():
+        if step is None or not new.isEmpty():
             found = components(links).withColumnRenamed("node", "cls")
             groups = materialize(sets.select("cls").join(found, "cls", "left").select("cls", F.coalesce("component", "cls").alias("comp")), "ngram-groups")
     every = groups
