@@ -13,7 +13,7 @@ from .license_scan import license_scan
 from .lm_score import lm_score
 from .mixing import mix_sources
 from .ngram_join import ngram_components
-from .quality_rules import quality_rules
+from .quality_rules import FEATURES, FENCE, MIN_ROWS, NEAR, OF_ALL, OF_NONZERO, quality_rules
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .url_filters import url_filter
@@ -67,11 +67,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _BIN = "CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::INTEGER) << (length(bin(x)) - 6)::INTEGER END"
 
 
-def _quartiles(name: str, keys: str) -> str:
-    """(keys, feature, rows, q1, q3) of the sketches merged over the other keys."""
+def _quantiles(name: str, keys: str) -> str:
+    """(keys, feature, n, quantiles of all, nz, quantiles of what is not 0) of the sketches merged over the other keys."""
     by = f"{keys}, feature" if keys else "feature"
-    return f"""{name} AS (SELECT {by}, max(total) AS n, min(bin) FILTER (WHERE 4 * seen >= total) AS q1, min(bin) FILTER (WHERE 4 * seen >= 3 * total) AS q3
-  FROM (SELECT {by}, bin, sum(n) OVER (PARTITION BY {by} ORDER BY bin) AS seen, sum(n) OVER (PARTITION BY {by}) AS total FROM (SELECT {by}, bin, count(*) AS n FROM sk GROUP BY {by}, bin) a) c GROUP BY {by})"""
+    of_all = ", ".join(f"min(bin) FILTER (WHERE 100 * seen >= {q} * total) AS q{q}" for q in OF_ALL)
+    of_nonzero = ", ".join(f"min(bin) FILTER (WHERE bin > 0 AND 100 * over >= {q} * above) AS nz{q}" for q in OF_NONZERO)
+    return f"""{name} AS (SELECT {by}, max(total) AS n, {of_all}, max(above) AS nz, {of_nonzero}
+  FROM (SELECT {by}, bin, sum(n) OVER up AS seen, sum(n) OVER same AS total, sum(CASE WHEN bin > 0 THEN n ELSE 0 END) OVER up AS over, sum(CASE WHEN bin > 0 THEN n ELSE 0 END) OVER same AS above FROM (SELECT {by}, bin, count(*) AS n FROM sk GROUP BY {by}, bin) a WINDOW same AS (PARTITION BY {by}), up AS (PARTITION BY {by} ORDER BY bin)) c GROUP BY {by})"""
 
 
 _QUALITY = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -80,12 +82,13 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8))
 ln AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) a WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
 f AS (SELECT d.r, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep ON rep.r = d.r LEFT JOIN ln ON ln.r = d.r),
 g AS (SELECT *, 100 * word_chars // greatest(n_words, 1) AS f1, 1000 * n_symbols // greatest(n_words, 1) AS f2, 1000 * n_dup_lines // greatest(n_words, 1) AS f3, 1000 * n_repeat_words // greatest(n_words, 1) AS f4 FROM f),
-long AS (SELECT r, lang, source, n_words, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS feature, unnest([300, 100, 100, 300]) AS slack, unnest([f1, f2, f3, f4]) AS x FROM g),
-sk AS (SELECT lang, source, feature, {_BIN} AS bin FROM long WHERE n_words > 0),
-{_quartiles("own", "lang, source")}, {_quartiles("bylang", "lang")}, {_quartiles("everything", "")},
-lim AS (SELECT o.lang, o.source, o.feature, CASE WHEN o.n >= 30 THEN o.q1 WHEN l.n >= 30 THEN l.q1 ELSE a.q1 END AS lo, CASE WHEN o.n >= 30 THEN o.q3 WHEN l.n >= 30 THEN l.q3 ELSE a.q3 END AS hi
+long AS (SELECT r, lang, source, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed, unnest({list(FEATURES)}) AS feature, unnest({[slack for slack, _ in FEATURES.values()]}) AS slack, unnest([f1, f2, f3, f4]) AS x FROM g),
+sk AS (SELECT lang, source, feature, {_BIN} AS bin FROM long WHERE NOT failed),
+{_quantiles("own", "lang, source")}, {_quantiles("bylang", "lang")}, {_quantiles("everything", "")},
+pick AS (SELECT o.lang, o.source, o.feature, {", ".join(f"CASE WHEN o.n >= {MIN_ROWS} THEN o.q{q} WHEN l.n >= {MIN_ROWS} THEN l.q{q} ELSE a.q{q} END AS q{q}" for q in OF_ALL)}, {", ".join(f"CASE WHEN o.nz >= {MIN_ROWS} THEN o.nz{q} WHEN l.nz >= {MIN_ROWS} THEN l.nz{q} WHEN a.nz >= {MIN_ROWS} THEN a.nz{q} END AS nz{q}" for q in OF_NONZERO)}
   FROM own o JOIN bylang l ON l.lang IS NOT DISTINCT FROM o.lang AND l.feature = o.feature JOIN everything a ON a.feature = o.feature),
-ok AS (SELECT x.r, bool_and(x.x <= hi + 3 * (hi - lo) + slack AND (x.feature <> 'word_length' OR x.x >= lo - 3 * (hi - lo) - slack)) AS within FROM long x JOIN lim ON lim.lang IS NOT DISTINCT FROM x.lang AND lim.source IS NOT DISTINCT FROM x.source AND lim.feature = x.feature GROUP BY x.r)
+lim AS (SELECT lang, source, feature, least(q25 - reach, q5) AS lo, greatest(q75 + (q75 >> 5) + reach, CASE WHEN feature = 'word_length' THEN q90 + (q90 >> 5) WHEN nz10 <= {NEAR} THEN nz90 + (nz90 >> 5) ELSE coalesce(nz10 // 2, 0) END) AS hi FROM (SELECT *, {FENCE} * (q75 + (q75 >> 5) - q25) AS reach FROM pick) a),
+ok AS (SELECT x.r, bool_and(x.x <= hi + slack AND (x.feature <> 'word_length' OR x.x >= lo - slack)) AS within FROM long x JOIN lim ON lim.lang IS NOT DISTINCT FROM x.lang AND lim.source IS NOT DISTINCT FROM x.source AND lim.feature = x.feature GROUP BY x.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(within, false) AS kept FROM g LEFT JOIN ok ON ok.r = g.r"""
 
 _WORDS = r"regexp_extract_all({x}, '[^\x20\x09-\x0D]+')"
