@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .decontaminate import decontaminate
+from .impact_search import top_k
 from .license_scan import license_scan
 from .lm_score import lm_score
 from .mixing import mix_sources
 from .ngram_join import ngram_components
 from .quality_rules import FEATURES, FENCE, MIN_ROWS, NEAR, OF_ALL, OF_NONZERO, quality_rules
+from .ranked_search import ranked_search
 from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 from .url_filters import url_filter
 from .warc import roundtrip
+from .whitening import whiten
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +65,19 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc, op10_lm)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op12_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring, op2_mix, op3_license, op4_ngram_join, op5_quality, op6_urls, op7_toxicity, op8_decontaminate, op9_warc, op10_lm, op11_topk, op12_ranked, op13_whitening)}
 
 _BIN = "CASE WHEN x < 64 THEN x ELSE (x >> (length(bin(x)) - 6)::INTEGER) << (length(bin(x)) - 6)::INTEGER END"
 
@@ -111,4 +126,18 @@ _DIGIT = "substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(h,
 _WARC = f"""SELECT page_id, octet_length(encode(p))::BIGINT AS payload_bytes, {" || ".join(_DIGIT.format(at=10 * g + 1, shift=5 * k) for g in range(4) for k in range(7, -1, -1))} AS payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to
 FROM (SELECT *, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS m FROM (SELECT page_id, coalesce(html, '') AS p FROM pages) a) b"""
 
-ORACLE_SQL: dict[str, str] = {"op1_substring": _SUBSTRING, "op4_ngram_join": _NGRAMS, "op5_quality": _QUALITY, "op9_warc": _WARC}
+_TOPK = """WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, d.vec_id, coalesce(list_sum(list_transform(list_zip(q.x, d.x), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v q JOIN v d ON d.r <> q.r WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) a WHERE rank <= 5"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RANKED = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) a GROUP BY r, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS w FROM benchmark),
+qt AS (SELECT i, item_id, unnest(w) AS term FROM q),
+sc AS (SELECT i, item_id, tf.r, t.doc_id, sum(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(w) * n) // l))))::BIGINT AS score FROM qt JOIN tf ON tf.term = qt.term JOIN df ON df.term = qt.term JOIN t ON t.r = tf.r CROSS JOIN s GROUP BY i, item_id, tf.r, t.doc_id)
+SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank FROM sc WHERE score > 0) a WHERE rank <= 10"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring": _SUBSTRING, "op4_ngram_join": _NGRAMS, "op5_quality": _QUALITY, "op9_warc": _WARC, "op11_topk": _TOPK, "op12_ranked": _RANKED}
