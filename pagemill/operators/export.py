@@ -5,14 +5,14 @@ from __future__ import annotations
 import gzip
 import html
 import io
-import json
 import zipfile
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordering import numbered, write_lines
 from .summary import health_histogram, issues_by_category, key_findings, summary
 from .views import ALL, HEADERS, SHEETS, SITE_STRUCTURE, TABS, cell, csv_value, flag, needs_spider
 
@@ -153,31 +153,52 @@ def build_report(audited: DataFrame, title: str = "Site audit") -> str:
 
 # ---------------------------------------------------------------- graph
 
-def gexf_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes' lines, edges' lines) of a GEXF file."""
-    def attr(x: Column) -> Column:
-        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            x = F.replace(x, F.lit(raw), F.lit(safe))
-        return x
+def _attr(x: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(raw), F.lit(safe))
+    return x
 
-    value = lambda k, x: F.concat(F.lit(f'<attvalue for="{k}" value="'), x.cast("string"), F.lit('"/>'))
-    node = F.concat(F.lit('      <node id="'), attr(c("url")), F.lit('" label="'), attr(F.when(c("title") != "", c("title")).otherwise(c("url"))), F.lit('"><attvalues>'), value(0, c("depth")), value(1, F.coalesce("status", F.lit(0))), value(2, c("health_score")), value(3, c("type")), F.lit("</attvalues></node>"))
-    edge = F.concat(F.lit('source="'), attr(c("source")), F.lit('" target="'), attr(c("target")), F.lit('"/>'))
-    return nodes.select("url", node.alias("line")), edges.select("source", "target", edge.alias("line"))
 
+def _fixed(spark: SparkSession, lines: dict[int, str]) -> DataFrame:
+    return spark.createDataFrame([(section, 0, text) for section, text in lines.items()], "section int, position long, line string")
 
-def gexf(nodes: DataFrame, edges: DataFrame, as_of: str = "2024-01-01") -> str:
-    """A whole GEXF 1.3 document; for graphs that fit a viewer."""
-    n, e = gexf_lines(nodes, edges)
-    body = "\n".join(r.line for r in n.orderBy("url").collect())
-    links = "\n".join(f'      <edge id="{i}" {r.line}' for i, r in enumerate(e.orderBy("source", "target").collect()))
-    attrs = "".join(f'<attribute id="{i}" title="{t}" type="{k}"/>' for i, (t, k) in enumerate((("depth", "integer"), ("status", "integer"), ("health", "integer"), ("type", "string"))))
-    return f'<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3">\n  <meta lastmodifieddate="{as_of}"/>\n  <graph defaultedgetype="directed">\n    <attributes class="node">{attrs}</attributes>\n    <nodes>\n{body}\n    </nodes>\n    <edges>\n{links}\n    </edges>\n  </graph>\n</gexf>\n'
 
+#: Attributes of a node in a GEXF file (id, title, type).
+GEXF_ATTRIBUTES = (("depth", "depth", "integer"), ("status", "status", "integer"), ("health", "healthScore", "integer"), ("title", "pageTitle", "string"), ("group", "group", "string"))
 
-def graph_json(nodes: DataFrame, edges: DataFrame, meta: DataFrame) -> str:
-    rows = lambda df, *by: [json.loads(r[0]) for r in df.orderBy(*by).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-    return json.dumps({"nodes": rows(nodes, "url"), "edges": rows(edges, "source", "target"), "metadata": rows(meta, "root_url")[0]}, ensure_ascii=False)
+
+def gexf_lines(nodes: DataFrame, edges: DataFrame, root_url: str, as_of: str = "2024-01-01") -> DataFrame:
+    """(section, position, line) of a GEXF 1.3 document; edges are numbered from 0 in order of source and target."""
+    value = lambda k, x: F.concat(F.lit(f'<attvalue for="{k}" value="'), x, F.lit('"/>'))
+    title = F.coalesce("title", F.lit(""))
+    values = [value("depth", c("depth").cast("string")), value("status", F.coalesce("status", F.lit(0)).cast("string")), value("health", c("health_score").cast("string")), value("title", _attr(title)), value("group", _attr(F.coalesce("group", F.lit(""))))]
+    node = F.concat(F.lit('<node id="'), _attr(c("url")), F.lit('" label="'), _attr(F.when(title != "", title).otherwise(c("url"))), F.lit('"><attvalues>'), *values, F.lit("</attvalues></node>"))
+    edge = F.concat(F.lit('<edge id="'), c("position").cast("string"), F.lit('" source="'), _attr(c("source")), F.lit('" target="'), _attr(c("target")), F.lit('"><attvalues>'), value("type", c("type")), F.lit("</attvalues></edge>"))
+    about = "".join(f'<attribute id="{i}" title="{t}" type="{k}"/>' for i, t, k in GEXF_ATTRIBUTES)
+    safe = escape(root_url, {'"': "&quot;"})
+    fixed = {
+        0: f'<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://gexf.net/1.3" version="1.3">\n<meta lastmodifieddate="{as_of[:10]}"><description>Site graph for {safe}</description></meta>\n<graph mode="static" defaultedgetype="directed">\n<attributes class="node">{about}</attributes>\n<attributes class="edge"><attribute id="type" title="type" type="string"/></attributes>\n<nodes>',
+        2: "</nodes>\n<edges>", 4: "</edges>\n</graph>\n</gexf>",
+    }
+    numbers = lambda section, df, line: df.select(F.lit(section).alias("section"), "position", line.alias("line"))
+    n, e = numbered(nodes, ["id", "url"]), numbered(edges, ["source", "target", "type"])
+    return _fixed(nodes.sparkSession, fixed).unionByName(numbers(1, n, node)).unionByName(numbers(3, e, edge))
+
+
+def graph_json_lines(nodes: DataFrame, edges: DataFrame, meta: DataFrame) -> DataFrame:
+    """(section, position, line) of a JSON document {nodes, edges, metadata}."""
+    def items(section: int, df: DataFrame, keys: list[str]) -> DataFrame:
+        row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        return numbered(df, keys).select(F.lit(section).alias("section"), "position", F.concat(F.when(c("position") > 0, ",").otherwise(""), row).alias("line"))
+
+    about = meta.select(F.lit(5).alias("section"), F.lit(0).cast("long").alias("position"), F.to_json(F.struct(*meta.columns), {"ignoreNullFields": "false"}).alias("line"))
+    fixed = _fixed(nodes.sparkSession, {0: '{"nodes": [', 2: '], "edges": [', 4: '], "metadata":', 6: "}"})
+    return fixed.unionByName(items(1, nodes, ["id", "url"])).unionByName(items(3, edges, ["source", "target", "type"])).unionByName(about)
+
+
+def write_graph(lines: DataFrame, path: str) -> str:
+    """Text files that join in order to one document; an order of ranges, no task holds all."""
+    return write_lines(lines, ["section", "position"], path)
 
 
 def tree_html(lines: list[str], title: str = "Site tree") -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fixed1
 from ..functions.urls import any_glob, glob_match, path_of
 from .features import url_fields
+from .ordering import write_lines
 
 c = F.col
 MAX_URLS_PER_FILE = 50_000
@@ -188,8 +189,9 @@ def files(results: DataFrame, cfg: SitemapConfig) -> DataFrame:
     base = re.sub(r"\.xml(\.gz)?$", "", cfg.filename, flags=re.IGNORECASE)
     per_file = max(1, min(cfg.max_urls_per_file, MAX_URLS_PER_FILE))
     ordered = lambda col, sep: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", col))), lambda x: x[col]), sep)
-    if cfg.format == "txt":
-        return listed.agg(F.count("*").alias("url_count"), ordered("url", "\n").alias("t")).select(F.lit(f"{base}.txt").alias("name"), F.concat("t", F.lit("\n")).alias("content"), "url_count")
+    if cfg.format == "txt":  # one file, in pieces of at most MAX_URLS_PER_FILE lines; larger ones are better written by write_text
+        pieces = numbered(listed, MAX_URLS_PER_FILE).groupBy("chunk").agg(F.count("*").alias("url_count"), ordered("url", "\n").alias("t"))
+        return pieces.select(F.lit(f"{base}.txt").alias("name"), F.concat("t", F.lit("\n")).alias("content"), "url_count", c("chunk").alias("piece"))
     head = f'<?xml version="1.0" encoding="UTF-8"?>\n<urlset {_namespaces(cfg)}>\n'
     body = lambda col: F.concat(F.lit(head), col, F.lit("\n</urlset>\n"))
     if cfg.format != "xml-index" and total <= per_file:
@@ -204,6 +206,11 @@ def files(results: DataFrame, cfg: SitemapConfig) -> DataFrame:
     return spark.createDataFrame([(f"{base}-index.xml", index, 0)], "name string, content string, url_count long").unionByName(parts)
 
 
+def write_text(results: DataFrame, cfg: SitemapConfig, path: str) -> str:
+    """Eligible urls as lines of text files that join in order of id: tasks write ranges, no row or task holds all."""
+    return write_lines(eligible(results, cfg).select("id", "url", c("url").alias("line")), ["id", "url"], path)
+
+
 def warnings(results: DataFrame, cfg: SitemapConfig) -> list[str]:
     n, long = eligible(results, cfg).agg(F.count("*"), F.count_if(F.length("url") > 2048)).first()
     return (["No URLs match the current selection."] if n == 0 else []) + ([f"{long} URL(s) exceed 2048 characters."] if long else [])

@@ -297,6 +297,37 @@ def tree_sibling_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.sibling_rank(_tree(spark, sf_dir)).select("origin", "path", "rank")
 
 
+_KEYED = _TREE + r""", kid AS (SELECT t.origin, t.path, t.depth, t.status, t.result_id, CASE WHEN t.depth = 0 THEN NULL WHEN t.depth = 1 THEN '/' ELSE regexp_replace(t.path, '/[^/]*$', '') END AS parent, CASE WHEN t.depth = 0 THEN regexp_extract(t.origin, '://(.*)$', 1) ELSE regexp_extract(t.path, '([^/]*)$', 1) END AS label, (SELECT count(*) FROM tn d WHERE d.origin = t.origin AND d.depth > t.depth AND (t.path = '/' OR starts_with(d.path, t.path || '/'))) AS kids FROM tn t),
+pre AS (SELECT origin, path, kids, row_number() OVER (PARTITION BY origin ORDER BY way) - 1 AS pre FROM (SELECT k.origin, k.path, any_value(k.kids) AS kids, list({'leaf': a.kids = 0, 'label': a.label} ORDER BY a.depth) AS way FROM kid k JOIN kid a ON a.origin = k.origin AND (a.path = '/' OR a.path = k.path OR starts_with(k.path, a.path || '/')) GROUP BY k.origin, k.path) w)"""
+
+
+@query("WITH " + _KEYED + " SELECT origin, path, pre, pre + kids AS pre_last FROM pre")
+def tree_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.nested_sets(_tree(spark, sf_dir)).select("origin", "path", c("left").alias("pre"), c("right").alias("pre_last"))
+
+
+@query("WITH " + _KEYED + ", open AS (SELECT origin, path FROM kid WHERE depth < 1 AND kids > 0 UNION SELECT origin, path FROM kid WHERE origin = (SELECT origin FROM own WHERE id = 3) AND (path = (SELECT '/' || split_part(path, '/', 2) FROM own WHERE id = 3) OR starts_with(path, (SELECT '/' || split_part(path, '/', 2) || '/' FROM own WHERE id = 3)))) SELECT k.origin, k.path FROM kid k WHERE NOT EXISTS (SELECT 1 FROM kid a WHERE a.origin = k.origin AND a.path <> k.path AND (a.path = '/' OR starts_with(k.path, a.path || '/')) AND (a.origin, a.path) NOT IN (SELECT (origin, path) FROM open))")
+def tree_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shows when roots are open, and then all below the first folder of page 3."""
+    nested = tree.nested_sets(_tree(spark, sf_dir))
+    u = U.parse(_pages(spark, sf_dir).where("page_id = 3").select("url").first().url)
+    opened = tree.expand_subtree(tree.expanded_to(nested, 1), nested, f"{u.scheme}://{u.host}", "/" + u.path.split("/")[1])
+    return tree.visible(nested, opened).select("origin", "path")
+
+
+@query("WITH RECURSIVE " + _KEYED + ", sib AS (SELECT *, row_number() OVER (PARTITION BY origin, parent ORDER BY kids = 0, label) = count(*) OVER (PARTITION BY origin, parent) AS last FROM kid), d AS (SELECT origin, path, depth, last, '' AS prefix FROM sib WHERE depth = 0 UNION ALL SELECT s.origin, s.path, s.depth, s.last, CASE WHEN d.depth = 0 THEN '' ELSE d.prefix || CASE WHEN d.last THEN '    ' ELSE '│   ' END END FROM d JOIN sib s ON s.origin = d.origin AND s.parent = d.path) SELECT d.origin, d.path, CASE WHEN d.depth = 0 THEN s.label ELSE d.prefix || CASE WHEN d.last THEN '└── ' ELSE '├── ' END || '/' || s.label END || CASE WHEN s.status IS NOT NULL THEN ' [' || s.status || ']' ELSE '' END || CASE WHEN s.result_id IS NOT NULL THEN ' (Score: 100)' ELSE ' (not crawled)' END AS line FROM d JOIN sib s ON s.origin = d.origin AND s.path = d.path")
+def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tree(spark, sf_dir)
+    numbers = tree.nested_sets(t).select("origin", "left", "path")
+    return tree.indented_lines(t).join(numbers, ["origin", "left"]).select("origin", "path", "line")
+
+
+@query("SELECT url AS root FROM pages ORDER BY length(url) - length(replace(url, '/', '')), page_id LIMIT 1")
+def tree_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = tree.root_url(_pages(spark, sf_dir).select(c("page_id").alias("id"), "url"))
+    return spark.createDataFrame([(root,)], "root string")
+
+
 # ---------------------------------------------------------------- sitemap, globs, robots
 
 _DEPTH = f"len(list_filter(string_split({O.PATH}, '/'), lambda s: s <> ''))"
@@ -361,6 +392,20 @@ def crawl_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
+@query("SELECT event_type AS crawl, crawled, discovered, total_links, elapsed_ms, s2 AS status_2xx, errors, d0 AS depth_0, d1 AS depth_1, queued, floor(rate * 10 + 0.5) / 10 AS pages_per_sec, CASE WHEN rate > 0 AND known > crawled THEN floor((known - crawled) / rate * 1000 + 0.5)::BIGINT END AS eta_ms FROM (SELECT *, greatest(known - crawled, 0) AS queued, CASE WHEN elapsed_ms > 0 THEN crawled / (elapsed_ms / 1000) ELSE 0.0 END AS rate FROM (SELECT event_type, count(*) AS crawled, max(event_id + 500) AS discovered, least(max(event_id + 500), 5000) AS known, sum(event_id % 7)::BIGINT AS total_links, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS elapsed_ms, count(*) FILTER (WHERE event_id % 37 <> 0 AND event_id % 29 <> 0) AS s2, count(*) FILTER (WHERE event_id % 37 = 0) AS errors, count(*) FILTER (WHERE event_id % 3 = 0) AS d0, count(*) FILTER (WHERE event_id % 3 = 1) AS d1 FROM events GROUP BY event_type) a) b")
+def live_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and time left of each crawl, from a stream of pages (events stand in: a crawl is an event type)."""
+    import uuid
+
+    schema, i = spark.read.parquet(f"{sf_dir}/events.parquet").schema, c("event_id")
+    status = F.when(i % 37 == 0, F.lit(None)).when(i % 29 == 0, 500).otherwise(200)
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+    pages = events.select(c("event_type").alias("crawl"), "ts", (i % 3).alias("depth"), status.alias("status_code"), (i + 500).alias("discovered"), (i % 7).alias("links"))
+    name = f"rate_{uuid.uuid4().hex}"
+    live.live_progress(pages, max_pages=5000, max_depth=1).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("crawl", "crawled", "discovered", "total_links", "elapsed_ms", "status_2xx", "errors", "depth_0", "depth_1", "queued", "pages_per_sec", "eta_ms")
+
+
 @query()
 def inline_markup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features that the page table does not show, over a page written here."""

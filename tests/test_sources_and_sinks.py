@@ -1,13 +1,17 @@
 import csv
+import datetime
 import gzip
 import io
+import json
+import pathlib
+import random
 import zipfile
 from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import crawl, export, graph, sitemap_gen, tree
+from pagemill.operators import crawl, export, graph, ordering, sitemap_gen, tree
 from pagemill.sources import robots, sitemap
 from pagemill.sources.fetch_log import fetch_rows, redirect_summary, status_text
 from pagemill.sources.html import with_dom
@@ -81,7 +85,7 @@ def test_crawl_order_cap_and_gates(spark):
 
 # ---------------------------------------------------------------- graph and tree
 
-def test_graph(spark):
+def test_graph(spark, tmp_path):
     rows = [(0, "a", 0, 200, 90, "A", 0, ["b", "b2", "a", "gone"], ["x"], 4, "/"), (1, "b", 1, 301, 40, "B", 0, ["a"], ["x", "y"], 1, "/b"), (2, "b2", 1, None, 0, None, 0, [], [], 0, "/b"), (3, "lone", 2, 200, 70, "L", 1, ["a"], [], 1, "/l")]
     r = spark.createDataFrame(rows, "id long, url string, depth int, status int, health_score int, title string, chain_length int, internal_links array<string>, external_links array<string>, outbound_internal int, path_group string")
     e = graph.build_edges(r, True)
@@ -95,9 +99,13 @@ def test_graph(spark):
     assert {x.url: x.parents for x in graph.parents(e, r).collect()}["a"] == ["b", "lone"]
     nodes, edges = graph.view(graph.build_nodes(r, e, True), e, depth_max=1, health_min=50)
     assert {x.url for x in nodes.collect()} == {"a", "x", "y"} and {(x.source, x.target) for x in edges.collect()} == {("a", "x")}
-    xml = export.gexf(graph.build_nodes(r, e), e.where("type = 'internal'"))
-    assert len(ElementTree.fromstring(xml).findall(".//{http://gexf.net/1.3}edge")) == 4
-    assert '"total_nodes": 6' in export.graph_json(graph.build_nodes(r, e, True), e, graph.metadata(graph.build_nodes(r, e, True), e, "a"))
+    joined = lambda lines, name: "\n".join(f.read_text() for f in sorted(pathlib.Path(export.write_graph(lines, str(tmp_path / name))).glob("part-*")))
+    whole = ElementTree.fromstring(joined(export.gexf_lines(graph.build_nodes(r, e), e.where("type = 'internal'"), 'a&"b"'), "gexf"))
+    found = whole.findall(".//{http://gexf.net/1.3}edge")
+    assert [x.get("id") for x in found] == ["0", "1", "2", "3"] and [(x.get("source"), x.get("target")) for x in found] == sorted((x.get("source"), x.get("target")) for x in found)
+    nodes = graph.build_nodes(r, e, True)
+    doc = json.loads(joined(export.graph_json_lines(nodes, e, graph.metadata(nodes, e, "a")), "json"))
+    assert doc["metadata"]["total_nodes"] == 6 == len(doc["nodes"]) and len(doc["edges"]) == e.count()
 
 
 def test_tree(spark):
@@ -111,7 +119,7 @@ def test_tree(spark):
     assert [x.path for x in tree.sort_path(t).orderBy("order").collect()] == ["/", "/a", "/a/b", "/a/c", "/z"]
     assert {x.path for x in tree.search_tree(t, "T2").collect()} == {"/a/c"} and tree.search_tree(t, " ").count() == 0
     assert {x.path for x in tree.visible(t, tree.expanded_to(t, 1)).collect()} == {"/", "/a", "/z"}
-    assert tree.indented_text(t) == ["x.com [200] (Score: 50)", "├── /a (not crawled)", "│   ├── /b [200] (Score: 56)", "│   └── /c [301] (Score: 52)", "└── /z (Score: 54)"]
+    assert [r.line for r in tree.indented_lines(t).orderBy("origin", "left").collect()] == ["x.com [200] (Score: 50)", "├── /a (not crawled)", "│   ├── /b [200] (Score: 56)", "│   └── /c [301] (Score: 52)", "└── /z (Score: 54)"]
     below = {x.path: x.child_count for x in tree.build_tree(r, "https://x.com/a").collect()}
     assert below == {"/a": 2, "/a/b": 0, "/a/c": 0}
 
@@ -217,7 +225,8 @@ def test_stream(spark, tmp_path):
     rows.where("id = 1").write.mode("append").parquet(str(src))
     run()
     assert [r.duplicate_title for r in live.audited(spark, str(tmp_path / "out")).collect()] == [True, True]
-    assert live.eta(10, 100, 50, 2000) == {"pages_per_sec": 5.0, "eta_ms": 8000} and live.eta(0, 1, 1, 0)["eta_ms"] is None
+    eta = spark.createDataFrame([(10, 100, 50, 2000), (0, 1, 1, 0)], "crawled long, discovered long, most long, ms long").select(*live.rate_and_eta(*map(F.col, ("crawled", "discovered", "most", "ms"))))
+    assert [tuple(r) for r in eta.collect()] == [(5.0, 8000), (0.0, None)]
 
 
 def test_links_of_a_page(spark):
@@ -227,3 +236,84 @@ def test_links_of_a_page(spark):
     inside, outside = extracted_links(Dom(F.col("dom")), F.lit("x.com"))
     got = dom.select(inside.alias("i"), outside.alias("o")).first()
     assert got.i == ["https://x.com/b"] and got.o == ["https://y.com/"]
+
+
+def test_nested_sets_agree_with_a_walk(spark):
+    rng = random.Random(4)
+    urls = {"https://x.com/"} | {"https://x.com/" + "/".join(rng.choices("abcd", k=rng.randint(1, 5))) for _ in range(60)} | {"https://y.org/q/r"}
+    t = tree.build_tree(spark.createDataFrame([(i, u, 200, 50, "") for i, u in enumerate(sorted(urls))], "id long, url string, status int, health_score int, title string")).repartition(5)
+    nested = tree.nested_sets(t)
+    rows = {(r.origin, r.path): r for r in nested.collect()}
+    below = {}
+    for (o, _), r in rows.items():
+        below.setdefault((o, r.parent_path), []).append(r)
+    want = {}
+
+    def walk(r, n):
+        first = n
+        for x in sorted(below.get((r.origin, r.path), []), key=lambda x: (x.child_count == 0, x.label)):
+            n = walk(x, n + 1)
+        want[r.origin, r.path] = (first, n)
+        return n
+
+    for r in [r for r in rows.values() if r.parent_path is None]:
+        walk(r, 0)
+    assert {k: (r.left, r.right) for k, r in rows.items()} == want
+    inside = {r.path for r in tree.subtree(nested, "https://x.com", "/a").collect()}
+    assert inside == {p for o, p in rows if o == "https://x.com" and (p == "/a" or p.startswith("/a/"))} and tree.subtree(nested, "https://x.com", "/none").count() == 0
+    opened = tree.expand_subtree(tree.expanded_to(nested, 1), nested, "https://x.com", "/a")
+    assert {r.path for r in opened.collect()} == inside | {"/", "/q"} - {"/q"}
+    assert {r.path for r in tree.collapse_subtree(opened, nested, "https://x.com", "/a").collect()} == {"/"}
+    lines = [r.line for r in tree.indented_lines(t).where("origin = 'https://x.com'").orderBy("left").collect()]
+    assert len(lines) == sum(o == "https://x.com" for o, _ in rows) and lines[0].startswith("x.com [200]") and lines[-1].lstrip("│ ").startswith("└── ")
+    assert tree.build_tree(spark.createDataFrame([], "id long, url string, status int, health_score int, title string")).transform(tree.nested_sets).count() == 0
+
+
+def test_root_url(spark):
+    r = spark.createDataFrame([(0, "https://x.com/a/b", 1), (1, "https://x.com/c", 0), (2, "https://x.com/", 2), (3, "https://y.com/", 2)], "id long, url string, depth int")
+    assert tree.root_url(r) == "https://x.com/c" and tree.root_url(r.drop("depth")) == "https://x.com/c" and tree.root_url(r.where("id > 1").drop("depth")) == "https://x.com/"
+    assert tree.root_url(r, "https://z/") == "https://z/" and tree.root_url(r.limit(0)) is None
+
+
+def test_running_sums_do_not_need_one_task(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("k"), (F.col("id") % 5).alias("v")).repartition(6)
+    got = {r.k: (r.n, r.s) for r in ordering.running(df, ["k"], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    values = {r.k: r.v for r in df.collect()}
+    assert got == {k: (k, sum(values[j] for j in range(k))) for k in range(500)}
+
+
+def test_text_sitemap_in_ranges(spark, tmp_path):
+    rows = spark.range(300).select("id", F.format_string("https://x.com/p%d", "id").alias("url"), F.lit(200).alias("status"), F.lit(0).alias("chain_length"), F.lit(True).alias("is_html"), F.lit(False).alias("is_external"), F.lit(1).alias("depth"), F.lit(0).alias("inbound")).repartition(7)
+    at = sitemap_gen.write_text(rows, sitemap_gen.SitemapConfig(format="txt", exclude_patterns=("/p7",)), str(tmp_path / "t"))
+    lines = "".join(f.read_text() for f in sorted(pathlib.Path(at).glob("part-*"))).splitlines()
+    assert lines == [f"https://x.com/p{i}" for i in range(300) if i != 7]
+
+
+def test_live_progress_goes_on_from_its_checkpoint(spark, tmp_path):
+    schema = "crawl string, ts timestamp, depth int, status_code int, discovered long, links long"
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    first = [("a", at(0), 0, 200, 9, 8), ("a", at(1), 1, 404, 20, 11), ("b", at(5), 0, None, 1, None)]
+    second = [("a", at(4), 1, 301, 30, 0), ("a", at(2), 2, 503, 40, 2)]
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / "out"))
+        live.live_progress(stream, max_pages=25, max_depth=2).writeStream.outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+        return {r.crawl: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    got = run(first)
+    assert (got["a"].crawled, got["a"].elapsed_ms, got["a"].pages_per_sec, got["a"].eta_ms) == (2, 1000, 2.0, 9000) and (got["b"].errors, got["b"].eta_ms, got["b"].total_links) == (1, None, 0)
+    a = run(second)["a"]
+    assert (a.crawled, a.discovered, a.queued, a.total_links, a.elapsed_ms, a.pages_per_sec, a.eta_ms) == (4, 40, 21, 21, 4000, 1.0, 21000)
+    assert (a.status_2xx, a.status_3xx, a.status_4xx, a.status_5xx, a.depth_0, a.depth_1, a.depth_2) == (1, 1, 1, 1, 1, 2, 1)
+
+
+def test_quiet_crawls(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", at(0)), ("a", at(3)), ("b", at(1)), ("a", at(40))], "crawl string, ts timestamp").coalesce(1).write.parquet(src)
+    spark.createDataFrame([("c", at(59))], "crawl string, ts timestamp").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("crawl string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(src)
+    live.quiet_crawls(stream).writeStream.outputMode("append").format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert {(r.crawl, r.started.minute, r.last_seen.minute, r.pages) for r in spark.table("quiet").collect()} >= {("a", 0, 3, 2), ("b", 1, 1, 1)}
