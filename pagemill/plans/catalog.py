@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, export, features, graph, sitemap_gen, summary, tree, views
+from ..operators import crawl, export, features, graph, selectors, sitemap_gen, summary, tree, views
 from ..operators.scoring import issues_long
 from ..sources import html as H
 from ..sources import robots
@@ -374,6 +374,19 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robots.decide(pages, rules).select("page_id", "allowed")
 
 
+def _tags(pattern: str) -> str:
+    return f"len(regexp_extract_all(html, '{pattern}'))::BIGINT"
+
+
+@query(f"SELECT page_id, {_tags('(?i)<a[ >]')} AS links, {_tags('(?i)<a [^>]*href=[^ ]?/')} AS rooted, {_tags('(?i)<li><a[ >]')} AS listed, {_tags('(?i)<meta [^>]*charset')} AS charsets, {_tags('(?i)<title>')} AS titles, {_tags('(?i)<(?:h1|script)[ >]')} AS either FROM pages")
+def selector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many elements of a page match each selector."""
+    pages = H.with_dom(_pages(spark, sf_dir))
+    dom = features.Dom(c("dom"))
+    asked = {"links": "a", "rooted": 'a[href^="/"]', "listed": "nav li > a", "charsets": "meta[charset]", "titles": "head > title", "either": "h1, body script, head script"}
+    return pages.select("page_id", *[selectors.count(dom, text).cast("long").alias(name) for name, text in asked.items()])
+
+
 # ---------------------------------------------------------------- streams
 
 @query("SELECT CASE WHEN event_id % 37 = 0 THEN 'errors' WHEN event_id % 29 = 0 THEN '5xx' WHEN event_id % 17 = 0 THEN '4xx' WHEN event_id % 23 = 0 THEN '3xx' ELSE '2xx' END AS status_group, count(*) AS n FROM events GROUP BY 1")
@@ -392,7 +405,7 @@ def crawl_progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-@query("SELECT event_type AS crawl, crawled, discovered, total_links, elapsed_ms, s2 AS status_2xx, errors, d0 AS depth_0, d1 AS depth_1, queued, floor(rate * 10 + 0.5) / 10 AS pages_per_sec, CASE WHEN rate > 0 AND known > crawled THEN floor((known - crawled) / rate * 1000 + 0.5)::BIGINT END AS eta_ms FROM (SELECT *, greatest(known - crawled, 0) AS queued, CASE WHEN elapsed_ms > 0 THEN crawled / (elapsed_ms / 1000) ELSE 0.0 END AS rate FROM (SELECT event_type, count(*) AS crawled, max(event_id + 500) AS discovered, least(max(event_id + 500), 5000) AS known, sum(event_id % 7)::BIGINT AS total_links, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS elapsed_ms, count(*) FILTER (WHERE event_id % 37 <> 0 AND event_id % 29 <> 0) AS s2, count(*) FILTER (WHERE event_id % 37 = 0) AS errors, count(*) FILTER (WHERE event_id % 3 = 0) AS d0, count(*) FILTER (WHERE event_id % 3 = 1) AS d1 FROM events GROUP BY event_type) a) b")
+@query("SELECT event_type AS crawl, crawled, discovered, total_links, elapsed_ms, s2 AS status_2xx, errors, d0 AS depth_0, d1 AS depth_1, queued, floor(rate * 10 + 0.5) / 10 AS pages_per_sec, CASE WHEN rate > 0 AND known > crawled THEN floor((known - crawled) / rate * 1000 + 0.5)::BIGINT END AS eta_ms FROM (SELECT *, greatest(known - crawled, 0) AS queued, CASE WHEN elapsed_ms > 0 THEN crawled / (elapsed_ms / 1000) ELSE 0.0 END AS rate FROM (SELECT event_type, count(*) AS crawled, max(event_id + 500) AS discovered, least(max(event_id + 500), 5000) AS known, sum(event_id % 7)::BIGINT AS total_links, epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS elapsed_ms, count(*) FILTER (WHERE event_id % 37 <> 0 AND event_id % 29 <> 0) AS s2, count(*) FILTER (WHERE event_id % 37 = 0) AS errors, count(*) FILTER (WHERE event_id % 3 = 0) AS d0, count(*) FILTER (WHERE event_id % 3 = 1) AS d1 FROM events GROUP BY event_type) a) b")
 def live_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate and time left of each crawl, from a stream of pages (events stand in: a crawl is an event type)."""
     import uuid

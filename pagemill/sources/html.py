@@ -30,10 +30,10 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 #: White space that is cut from texts and references.
 _TRIM = " \t\n\x0b\x0c\r\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-EL = "struct<idx:int,tag:string,in_head:boolean,attrs:map<string,string>,text:string,ref:string,has_media:boolean,url:string,host:string,key:string>"
+EL = "struct<idx:int,tag:string,in_head:boolean,attrs:map<string,string>,text:string,ref:string,has_media:boolean,url:string,host:string,key:string,up:string>"
 SCHEMA = f"struct<els:array<{EL}>,visible_text:string,microdata:boolean,page_url:struct<scheme:string,host:string,path:string,query:string>,page_key:string,json_ld:array<string>,json_valid:boolean,schema_types:array<string>>"
 _PART = pa.struct([("scheme", pa.string()), ("host", pa.string()), ("path", pa.string()), ("query", pa.string())])
-_EL = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ref", pa.string()), ("has_media", pa.bool_()), ("url", pa.string()), ("host", pa.string()), ("key", pa.string())])
+_EL = pa.struct([("idx", pa.int32()), ("tag", pa.string()), ("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("ref", pa.string()), ("has_media", pa.bool_()), ("url", pa.string()), ("host", pa.string()), ("key", pa.string()), ("up", pa.string())])
 _TYPE = pa.struct([("els", pa.list_(_EL)), ("visible_text", pa.string()), ("microdata", pa.bool_()), ("page_url", _PART), ("page_key", pa.string()), ("json_ld", pa.list_(pa.string())), ("json_valid", pa.bool_()), ("schema_types", pa.list_(pa.string()))])
 
 
@@ -76,7 +76,7 @@ class _Tree(HTMLParser):
                 self._leave_head()
             if tag == "html":
                 if self.html is None:
-                    self.html = {"tag": "html", "in_head": False, "attrs": named, "text": None, "media": False}
+                    self.html = {"tag": "html", "in_head": False, "attrs": named, "text": None, "media": False, "up": "/"}
                     self.els.append(self.html)
                 else:
                     self.html["attrs"] = named | self.html["attrs"]
@@ -107,7 +107,8 @@ class _Tree(HTMLParser):
                 if t == "a" and e is not None:
                     e["media"] = True
         if tag in KEPT:
-            el = {"tag": tag, "in_head": self.in_head, "attrs": named, "text": [] if tag in _TEXT else None, "media": False}
+            up = "/".join(["", "html", "head" if self.in_head else "body", *[t for t, _ in self.stack], ""])
+            el = {"tag": tag, "in_head": self.in_head, "attrs": named, "text": [] if tag in _TEXT else None, "media": False, "up": up}
             self.els.append(el)
         if tag not in _VOID:
             self.stack.append((tag, el))
@@ -186,7 +187,7 @@ def parse_page(url: str | None, html: str | None) -> dict | None:
     tree.feed(html)
     tree.close()
     if tree.html is None:
-        tree.els.insert(0, {"tag": "html", "in_head": False, "attrs": {}, "text": None, "media": False})
+        tree.els.insert(0, {"tag": "html", "in_head": False, "attrs": {}, "text": None, "media": False, "up": "/"})
     raw = url or ""
     base = parse_cached(raw)
     els = []
@@ -196,7 +197,7 @@ def parse_page(url: str | None, html: str | None) -> dict | None:
         # an iframe counts by its own, absolute address
         got: Url | None = parse(ref, None if e["tag"] == "iframe" else base) if ref else None
         text = "".join(e["text"]).strip(_TRIM) if e["text"] is not None else None
-        els.append({"idx": i, "tag": e["tag"], "in_head": e["in_head"], "attrs": list(attrs.items()), "text": text, "ref": ref, "has_media": e["media"], "url": got.href if got else None, "host": got.host if got else None, "key": crawl_key(ref, raw, False) if e["tag"] == "a" and ref else page_key(got.href) if got and e["tag"] == "link" else None})
+        els.append({"idx": i, "tag": e["tag"], "in_head": e["in_head"], "attrs": list(attrs.items()), "text": text, "ref": ref, "has_media": e["media"], "url": got.href if got else None, "host": got.host if got else None, "key": crawl_key(ref, raw, False) if e["tag"] == "a" and ref else page_key(got.href) if got and e["tag"] == "link" else None, "up": e["up"]})
     json_ld, valid, types = [], True, {}
     for e in tree.els:
         if e["tag"] == "script" and e["attrs"].get("type", "").lower() == "application/ld+json":
