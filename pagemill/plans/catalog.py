@@ -16,6 +16,7 @@ from ..sources import robots
 from ..sources.fetch_log import redirect_summary, simulated
 from ..sources.sitemap import parse_documents
 from ..streaming import live
+from . import markup as M
 from . import oracle as O
 from .audit import audit, audit_pages
 
@@ -255,7 +256,8 @@ def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.reach(_links(spark, sf_dir), "p0", 6)
 
 
-@query()
+# a level a row: the urls known so far, and those the level found; of the links to a new url the first in order counts
+@query("WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), l AS (SELECT 'p' || page_id AS s, 0 AS i, 'p' || ((page_id * 3 + 1) % n) AS t FROM pages, n WHERE page_id % 11 <> 10 UNION ALL SELECT 'p' || page_id, 1, 'p' || ((page_id * 7 + 2) % n) FROM pages, n WHERE page_id % 11 <> 10), lv AS (SELECT 0 AS depth, 0 AS before, ['p0'] AS known, [{'url': 'p0', 'src': ''}] AS new UNION ALL SELECT depth + 1, len(known), list_concat(known, list_transform(nx, lambda x: x.url)), nx FROM (SELECT depth, known, (SELECT list({'url': t, 'src': f.src} ORDER BY f.p, f.i) FROM (SELECT t, f, row_number() OVER (ORDER BY f.p, f.i) AS k FROM (SELECT l.t, min({'p': list_position(list_transform(new, lambda x: x.url), l.s), 'i': l.i, 'src': l.s}) AS f FROM l WHERE list_contains(list_transform(new, lambda x: x.url), l.s) AND NOT list_contains(known, l.t) GROUP BY l.t) g) h WHERE k <= 40 - len(known)) AS nx FROM lv WHERE depth < 6) z WHERE len(nx) > 0) SELECT u.url, depth, (before + k - 1)::BIGINT AS seq, u.src AS discovered_from, true AS crawled FROM (SELECT depth, before, unnest(new) AS u, generate_subscripts(new, 1) AS k FROM lv) q")
 def bfs_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crawl.crawl(_links(spark, sf_dir), "p0", max_depth=6, max_pages=40)
 
@@ -419,10 +421,33 @@ def live_rate_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("crawl", "crawled", "discovered", "total_links", "elapsed_ms", "status_2xx", "errors", "depth_0", "depth_1", "queued", "pages_per_sec", "eta_ms")
 
 
-@query()
+# ---------------------------------------------------------------- derived markup
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(simulated(M.marked(_pages(spark, sf_dir))))
+
+
+@query(M.AUDIT)
 def inline_markup_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features that the page table does not show, over a page written here."""
-    page = '<html><head><title>T</title><link rel="canonical" href="/a"><link rel="alternate" hreflang="en" href="/a"><meta property="og:title" content="x"><script type="application/ld+json">{"@graph":[{"@type":["Article","Thing"]}]}</script></head><body><img src="a.webp" loading="lazy"><a href="#">x</a></body></html>'
-    rows = spark.createDataFrame([(1, "https://www.example.com/a", page)], "page_id long, url string, html string")
-    a = audit(simulated(rows))
-    return a.select("id", "seo.canonical_status", c("seo.hreflang_self_reference").alias("hreflang_self"), F.array_join("social.schema_types", ",").alias("types"), "social.has_article", "images.next_gen_formats", "images.lazy_loaded", "links.hash_only", "health_score")
+    """Features that the page table does not show, over its pages with derived markup."""
+    long = lambda name, at: c(at).cast("long").alias(name)
+    return _marked(spark, sf_dir).where("seo is not null").select(
+        "id", "seo.canonical_status", c("seo.hreflang_self_reference").alias("hreflang_self"), F.array_join("social.schema_types", ",").alias("types"), "social.has_article", "social.has_faq", "social.og_complete", c("social.json_ld_valid").alias("json_valid"),
+        *[long(n, f"images.{n}") for n in ("total_images", "missing_alt", "empty_alt", "next_gen_formats", "legacy_formats", "lazy_loaded")], *[long(n, f"links.{n}") for n in ("hash_only", "javascript_links", "nofollow")], long("without_anchor", "links.without_anchor_text"),
+    )
+
+
+@query(M.ISSUES)
+def markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of social tags, images and links."""
+    return issues_long(_marked(spark, sf_dir)).where("category in ('social', 'images', 'links')").select("id", "category", "severity", "field", "message")
+
+
+@query(M.EXTENDED)
+def sitemap_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sitemap entries with dates of headers, alternates, images and news."""
+    i = c("id")
+    header = F.when(i % 2 == 0, "Sat, 06 May 2023 07:08:09 GMT").when(i % 3 == 0, "yesterday")
+    rows = sitemap_gen.results_of(_marked(spark, sf_dir)).withColumn("last_modified", header)
+    cfg = sitemap_gen.SitemapConfig(lastmod="header", lastmod_format="datetime", changefreq="none", priority="none", hreflang="auto-detect", images=True, max_images=2, news_patterns=("/en/**",), publication="P & Q")
+    return sitemap_gen.entries(rows, cfg).select("id", "lastmod", "entry")
