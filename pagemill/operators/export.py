@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterable, Iterator
 from xml.sax.saxutils import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .ordering import numbered, write_lines
@@ -136,6 +136,29 @@ def _nth_name(name: str, nth: int) -> str:
 
 # ---------------------------------------------------------------- report
 
+def structure_rows(audited: DataFrame) -> DataFrame:
+    """(position, url, depth, health_score, status, inbound, outbound): the first REPORT_ROWS pages by depth and arrival."""
+    rows = audited.orderBy("spider.depth", "id").limit(REPORT_ROWS)
+    order = Window.orderBy("depth", "id")  # REPORT_ROWS rows
+    return rows.select("id", "url", c("spider.depth").alias("depth"), "health_score", c("http.status_code").alias("status"), c("spider.inbound_internal").alias("inbound"), c("spider.outbound_internal").alias("outbound")).withColumn("position", F.row_number().over(order)).drop("id")
+
+
+def structure_lists(audited: DataFrame) -> dict[str, tuple[int, list[str]]]:
+    """Number and first LIST_ROWS urls of orphans and of dead ends."""
+    out = {}
+    for name, field in (("Orphan pages", "is_orphan"), ("Dead ends", "is_dead_end")):
+        found = audited.where(c(f"spider.{field}"))
+        out[name] = (found.count(), [r.url for r in found.orderBy("id").limit(LIST_ROWS).select("url").collect()])
+    return out
+
+
+def _structure(audited: DataFrame) -> str:
+    e = lambda x: html.escape(str(x))
+    rows = "".join(f'<div style="padding-left:{2 * r.depth}em">{r.health_score} · {"ERR" if r.status is None else r.status} · {e(r.url)} in:{r.inbound} out:{r.outbound}</div>' for r in structure_rows(audited).orderBy("position").collect())
+    lists = "".join(f"<details><summary>{name} ({n})</summary><ul>{''.join(f'<li>{e(u)}</li>' for u in urls) or '<li>None</li>'}</ul></details>" for name, (n, urls) in structure_lists(audited).items())
+    return f"<h2>Site Structure</h2>{rows}{lists}"
+
+
 def build_report(audited: DataFrame, title: str = "Site audit") -> str:
     """An HTML page of figures, histogram, findings, categories and at most REPORT_ROWS pages."""
     e = lambda x: html.escape(str(x))
@@ -147,8 +170,11 @@ def build_report(audited: DataFrame, title: str = "Site audit") -> str:
     cats = "".join(f"<tr><td>{e(r.category)}</td><td>{r.critical}</td><td>{r.warning}</td></tr>" for r in issues_by_category(audited).collect())
     pages = audited.orderBy("id").limit(REPORT_ROWS).select("url", "health_score", c("http.status_code").alias("status"), "issues").collect()
     parts = "".join(f"<section><h3>{e(r.url)}</h3><p>{r.health_score} · {'' if r.status is None else r.status}</p><ul>{''.join(f'<li class={i.severity}>{e(i.message)}</li>' for i in r.issues)}</ul></section>" for r in pages)
+    structure = _structure(audited) if "spider" in audited.columns else ""
+    total = one["total"] if "total" in one else audited.count()
+    note = f"<p>Showing first {REPORT_ROWS} of {total} URLs.</p>" if total > REPORT_ROWS else ""
     cards = "".join(f"<div><b>{e(v)}</b> {e(k)}</div>" for k, v in one.items())
-    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1>{cards}<svg viewBox="0 0 310 130">{svg}</svg><ul>{"".join(f"<li>{e(f)}</li>" for f in found)}</ul><table>{cats}</table>{parts}</body></html>'
+    return f'<!doctype html><html lang="en"><head><meta charset="utf-8"><title>{e(title)}</title></head><body><h1>{e(title)}</h1>{cards}<svg viewBox="0 0 310 130">{svg}</svg><ul>{"".join(f"<li>{e(f)}</li>" for f in found)}</ul><table>{cats}</table>{structure}{note}{parts}</body></html>'
 
 
 # ---------------------------------------------------------------- graph

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -73,11 +75,24 @@ def view(nodes: DataFrame, edges: DataFrame, search: str = "", depth_max: int =
     return shown, kept.select("source", "target", "type")
 
 
+#: Centre and radii by depth of the small preview.
+CENTRE, RADII = (150.0, 100.0), (0.0, 55.0, 92.0)
+
+
 def preview(nodes: DataFrame, k: int = 80, depth: int = 2) -> DataFrame:
-    """First nodes near the root, placed on rings."""
-    near = nodes.where((c("depth") <= depth) & (c("type") != "external")).orderBy("id").limit(k)
-    angle = c("id") % 36 * F.lit(3.141592653589793 / 18)
-    return near.withColumn("x", F.cos(angle) * c("depth")).withColumn("y", F.sin(angle) * c("depth"))
+    """The first k nodes within depth, each at its place in the ring of its depth: rings are shared out evenly, in order of arrival."""
+    near = nodes.where((c("depth").between(0, depth)) & (c("type") != "external")).orderBy("id").limit(k)
+    ring = Window.partitionBy("depth")  # k rows at most
+    turn = (F.row_number().over(ring.orderBy("id")) - 1) / F.count("*").over(ring) * (2 * math.pi)
+    radius = F.element_at(F.array(*[F.lit(r) for r in RADII]), F.least(c("depth"), F.lit(len(RADII) - 1)) + 1)
+    return near.withColumn("x", CENTRE[0] + radius * F.cos(turn)).withColumn("y", CENTRE[1] + radius * F.sin(turn))
+
+
+def preview_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """(x1, y1, x2, y2, source, target) of edges between points."""
+    at = F.broadcast(points.select("url", "x", "y"))  # the preview's rows
+    a, b = at.toDF("source", "x1", "y1"), at.toDF("target", "x2", "y2")
+    return edges.join(a, "source").join(b, "target").select("source", "target", "x1", "y1", "x2", "y2")
 
 
 def derived_results(audited: DataFrame, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import crawl, export, features, graph, selectors, sitemap_gen, summary, tree, views
+from ..operators import crawl, errors, export, features, graph, selectors, sitemap_gen, summary, tree, views
 from ..operators.scoring import issues_long
 from ..sources import html as H
 from ..sources import robots
@@ -243,6 +243,19 @@ def graph_filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.view(graph.build_nodes(r, e), e, depth_max=3, health_min=50, statuses=("2xx", "3xx"), min_in_degree=1)[1]
 
 
+@query(O.audit_sql("SELECT url, depth, floor((150 + r * cos(t)) * 1000 + 0.5) / 1000 AS x, floor((100 + r * sin(t)) * 1000 + 0.5) / 1000 AS y FROM (SELECT *, (row_number() OVER (PARTITION BY depth ORDER BY id) - 1) / count(*) OVER (PARTITION BY depth) * 2 * pi() AS t, CASE depth WHEN 0 THEN 0.0 WHEN 1 THEN 55.0 ELSE 92.0 END AS r FROM (SELECT * FROM nodes WHERE depth <= 2 ORDER BY id LIMIT 80) a) b", O.GRAPH))
+def graph_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _results(spark, sf_dir)
+    near = graph.preview(graph.build_nodes(r, graph.build_edges(r)))
+    whole = lambda x: F.floor(x * 1000 + 0.5) / 1000
+    return near.select("url", "depth", whole(c("x")).alias("x"), whole(c("y")).alias("y"))
+
+
+@query("SELECT '[2024-01-01T00:00:00.000Z] fetch: Timeout ' || url AS line FROM pages WHERE page_id % 37 = 0")
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.lines(errors.of_fetches(simulated(_pages(spark, sf_dir)), "2024-01-01")).select("line")
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _pages(spark, sf_dir)
     n = pages.count()
