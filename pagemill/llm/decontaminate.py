@@ -11,6 +11,9 @@ A window that reaches the threshold shares percent of the item's shingles. Windo
 a document holds FEW percent of the shingles of an item of that length: far fewer than a match, so none is
 missed, but not in texts that have nothing of the benchmark. Only built-in functions run.
 
+A window that would run over the end of its document is clipped there, down to the length that can still share enough:
+an item that lacks its last words, or is longer than the document, is found.
+
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; null and empty
 texts and items match nothing; an item of under five words is one shingle of its
 words; equal rows of documents give one result row, equal item_ids with different texts
@@ -123,7 +126,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, percent: int =
     held = slim.join(at.select("row_id").distinct(), "row_id").select("row_id", "doc_id", word_hashes(F.col("text")).alias("w"))
     held = held.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("w").alias("w"))
     windows = held.join(at, "row_id").withColumn("start", F.explode("starts"))
-    windows = windows.where(F.col("start") + F.col("length") <= F.size("w")).withColumn("v", F.slice("w", F.col("start") + 1, F.col("length")))
+    # a window that would run over the end is what is left there, while that can share enough shingles
+    size = F.least(F.col("length"), F.size("w") - F.col("start"))
+    windows = windows.where(size - F.col("gram") + 1 >= _need(F.col("n"), percent)).withColumn("v", F.slice("w", F.col("start") + 1, size))
     shingle = F.lit(None).cast("array<bigint>")
     for g in sizes or [n]:
         shingle = F.when(F.col("gram") == g, grams("v", g)).otherwise(shingle)

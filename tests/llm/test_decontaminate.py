@@ -28,7 +28,7 @@ def brute(docs, items, percent=80):
                 continue
             n = min(5, len(iw))
             b = bag(iw, n)
-            for s in range(len(ws) - len(iw) + 1):
+            for s in range(len(ws)):  # windows that run over the end are clipped there
                 a = bag(ws[s : s + len(iw)], n)
                 both, either = sum((a & b).values()), sum((a | b).values())
                 if 100 * both >= percent * either:
@@ -81,3 +81,21 @@ def test_matches_beyond_the_radius_are_found(spark):
     args = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = [decontaminate(*args, radius=r).collect() for r in (RADIUS, 1)]
     assert [(r.doc_id, r.item_id, r.similarity, r.start_word) for rows in got for r in rows] == [(1, 7, 41 / 51, 0)] * 2 and got[0][0].hamming > 1
+
+
+@pytest.mark.parametrize("kw", [{}, {"broadcast_shingles": 0}])
+def test_windows_are_clipped_at_the_end(spark, kw):
+    """Items that lack words at an end of a document, and documents shorter than an item."""
+    rng = random.Random(8)
+    text = lambda n: [f"v{rng.randrange(4000)}" for _ in range(n)]
+    items = [(0, text(40)), (1, text(12)), (2, text(5)), (3, text(3)), (4, text(90)), (5, ["go"] * 30)]
+    docs = []
+    for i, w in items:
+        for lost in (0, 1, len(w) // 10, len(w) // 5):
+            for part in (w[: len(w) - lost], w[lost:], w[lost // 2 : len(w) - (lost - lost // 2)]):
+                for before, after in ((0, 0), (3, 2)):
+                    docs.append((len(docs), " ".join([*text(before), *part, *text(after)])))
+    items = [(i, " ".join(w)) for i, w in items]
+    want = brute(docs, items)
+    got = run(spark, docs, items, **kw)
+    assert got == pytest.approx(want) and any(len(d.split()) < 40 and (k, 0) in got for k, d in docs)
