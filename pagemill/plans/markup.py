@@ -39,7 +39,7 @@ def marked(pages: DataFrame) -> DataFrame:
 
 #: Facts of marked() by page: a row for each page that was fetched.
 FACTS = """facts AS (SELECT page_id AS id, url, html, i % 2 = 0 AND i % 3 = 0 AND i % 5 <> 0 AND i % 7 <> 0 AS og_complete, i % 6 = 0 AS ld, i % 6 <> 1 AS ld_valid, i % 4 AS canonical, i % 5 = 0 AS alternates,
-  CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END AS webp, CASE WHEN i % 3 = 0 THEN 1 ELSE 0 END AS pair, CASE WHEN i % 7 = 3 THEN 1 ELSE 0 END AS gif, CASE WHEN i % 4 = 2 THEN 1 ELSE 0 END AS hash, CASE WHEN i % 5 = 3 THEN 1 ELSE 0 END AS js, CASE WHEN i % 3 = 1 THEN 1 ELSE 0 END AS bare,
+  CASE WHEN i % 2 = 0 THEN 1::BIGINT ELSE 0 END AS webp, CASE WHEN i % 3 = 0 THEN 1::BIGINT ELSE 0 END AS pair, CASE WHEN i % 7 = 3 THEN 1::BIGINT ELSE 0 END AS gif, CASE WHEN i % 4 = 2 THEN 1::BIGINT ELSE 0 END AS hash, CASE WHEN i % 5 = 3 THEN 1::BIGINT ELSE 0 END AS js, CASE WHEN i % 3 = 1 THEN 1::BIGINT ELSE 0 END AS bare,
   i % 29 <> 0 AND i % 17 <> 0 AS fine, i % 23 <> 0 AS direct, i FROM (SELECT *, page_id AS i FROM pages) p WHERE i % 37 <> 0)"""
 
 #: (category, severity, field, condition, message) of the rules on social tags, images and links.
