@@ -97,5 +97,7 @@ def test_windows_are_clipped_at_the_end(spark, kw):
                     docs.append((len(docs), " ".join([*text(before), *part, *text(after)])))
     items = [(i, " ".join(w)) for i, w in items]
     want = brute(docs, items)
-    got = run(spark, docs, items, **kw)
+    # clipped windows may lie beyond the radius: they are found by their shingles
+    out = decontaminate(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string"), **kw)
+    got = {(r.doc_id, r.item_id): r.similarity for r in out.collect()}
     assert got == pytest.approx(want) and any(len(d.split()) < 40 and (k, 0) in got for k, d in docs)
