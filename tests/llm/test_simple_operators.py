@@ -6,9 +6,11 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import license_scan as LS
 from pagemill.llm import quality_rules as QR
@@ -172,7 +174,7 @@ def test_url_mining(spark):
     pages = spark.createDataFrame([(1, "http://spam.net/new"), (2, "http://good.net/new"), (3, "http://other.net/")], "page_id long, url string")
     got = {r.page_id: r.verdict for r in UF.url_filter(pages, labels).collect()}
     assert got == {1: "block", 2: "allow", 3: "allow"}
-    rules = UF.mine_rules(labels.select(UF.url_tokens(labels["url"]).alias("tokens"), "label")).collect()
+    rules = UF.mine_rules(labels.select(UF.url_tokens(labels["url"]).alias("tokens"), "label"))[0].collect()
     sets = [(frozenset(r.antecedent), r.label) for r in rules]
     assert sets and not any(a < b and x == y for a, x in sets for b, y in sets)
     assert UF.url_filter(spark.createDataFrame([], "page_id long, url string, tokens int")).count() == 0
@@ -190,7 +192,61 @@ def test_tokens_that_always_come_together_are_mined_once(spark):
 def test_no_mined_rule_is_cut(spark):
     n = 2100
     labelled = spark.range(2 * n).selectExpr(f"array(concat('host:h', id % {n})) as tokens", "'block' as label")
-    assert UF.mine_rules(labelled, min_support=0.9 / n).count() == n
+    assert UF.mine_rules(labelled, min_support=0.9 / n)[0].count() == n
+
+
+def brute_rules(rows, min_support, min_confidence):
+    """{(antecedent, label): (confidence, support)} of up to three tokens, without those of which a part tells as much."""
+    together, alone = Counter(), Counter()
+    for tokens, label in rows:
+        for k in (1, 2, 3):
+            for a in combinations(sorted(tokens), k):
+                together[a, label] += 1
+                alone[a] += 1
+    rules = {(a, v): (n / alone[a], n / len(rows)) for (a, v), n in together.items() if n >= min_support * len(rows) and n / alone[a] >= min_confidence}
+    parts = lambda a: [p for k in range(1, len(a)) for p in combinations(a, k)]
+    return {(a, v): x for (a, v), x in rules.items() if not any(rules.get((p, v), (0,))[0] >= x[0] for p in parts(a))}
+
+
+@pytest.mark.parametrize("whole", [10, 4])
+def test_mined_rules_are_those_of_all_combinations(spark, whole, monkeypatch):
+    monkeypatch.setattr(UF, "WHOLE", whole)
+    monkeypatch.setattr(UF, "REPEATS", 7)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        tokens = sorted(rng.sample([f"t{i}" for i in range(12)], rng.randint(1, 9)))
+        rows.append((tokens, "block" if "t1" in tokens and "t2" in tokens and rng.random() < 0.95 else rng.choice(["allow", "allow", "block"])))
+    rows += [(["t1", "t2", "t3", "t4", "t5"], "block")] * 30
+    got = UF.mine_rules(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.02, 0.7)[0].collect()
+    want = brute_rules(rows, 0.02, 0.7)
+    assert {(tuple(r.antecedent), r.label) for r in got} == set(want)
+    for r in got:
+        assert (r.confidence, r.support) == pytest.approx(want[tuple(r.antecedent), r.label])
+
+
+def test_free_query_keys_do_not_multiply(spark):
+    rng = random.Random(5)
+    keys = [f"key{chr(97 + i)}" for i in range(25)]
+    rows = []
+    for i in range(1500):
+        bad = i % 2 == 0
+        some = [k for k in keys if rng.random() > 0.04]
+        rows.append(("http://site.test/p?" + "&".join(f"{k}=1" for k in some + ["evil"] * bad), "block" if bad else "allow"))
+    tokens = spark.createDataFrame(rows, "url string, label string").select(UF.url_tokens(F.col("url")).alias("tokens"), "label")
+    rules = UF.mine_rules(tokens)[0].collect()
+    assert (["query:evil"], "block") in [(r.antecedent, r.label) for r in rules]
+    pages = spark.createDataFrame([(1, "http://site.test/p?keya=2&evil=3"), (1, "http://site.test/p?keya=2&evil=3"), (2, "http://else.test/")], "page_id long, url string")
+    got = [(r.page_id, r.verdict) for r in UF.url_filter(pages, spark.createDataFrame(rows, "url string, label string")).collect()]
+    assert sorted(got) == [(1, "block"), (1, "block"), (2, "allow")]
+
+
+def test_of_tied_rules_the_longest_and_then_the_largest_id_decides(spark):
+    rules = spark.createDataFrame([(5, ["a"], "allow", 0.9, 0.1), (7, ["b"], "block", 0.9, 0.1), (1, ["a", "c"], "allow", 0.9, 0.1)], "rule_id long, antecedent array<string>, label string, confidence double, support double")
+    sets = spark.createDataFrame([(["a", "b"],), (["a", "b", "c"],), (["c"],)], "tokens array<string>")
+    got = {r.set_id: r.label for r in UF.match_rules(sets, rules).collect()}
+    ids = [r.i for r in sets.select(F.xxhash64("tokens").alias("i")).collect()]
+    assert [got.get(i) for i in ids] == ["block", "allow", None]
 
 
 # ---------------------------------------------------------------- toxicity
