@@ -8,7 +8,8 @@ vote. Correlations that are left between voters given the posterior discount vot
 same. A linear classifier is trained on the posterior labels and scores every whole text.
 
 The sample is the SAMPLE_ROWS rows with the smallest hash of doc_id, so reruns agree. Of its rows that share
-their least 3-gram and label, such as near copies, one counts.
+their least 3-gram and label, such as near copies, one counts, and of rows with equal doc_id the one with the smallest text.
+It is a table in the shared folder.
 
 Defined results: null and empty texts get the classifier's score of no words; rows with
 equal doc_id get equal folds; a null doc_id is in no fold to learn from
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP, LOWER, Hasher, text_slices, word_bounds
+from .common import ALNUM_SEP, LOWER, Hasher, materialize, text_slices, word_bounds
 
 #: Bound of the labelled rows that are learned from, and so of the entries of the lexicon.
 SAMPLE_ROWS = 20_000
@@ -195,15 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("toxic") > 0.5).cast("int").alias("label"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    # at most sample_rows small rows
+    # at most sample_rows small rows, and as many texts: of rows with equal ids the smallest text is learned from
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sample = sample.select("doc_id", "text", "label", F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), UPPER, LOW), F.lit(WORDS), F.lit(0)).alias("words"))
     # of near copies, which would count as evidence many times, most share their least 3-gram hash
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
-    sample = sample.groupBy(F.array_min(grams).alias("g"), "label").agg(F.min_by(F.struct("text", "words"), "doc_id").alias("s")).select("s.text", "s.words", "label").persist()
+    sample = sample.groupBy(F.array_min(grams).alias("g"), "label").agg(F.min_by(F.struct("text", "words"), "doc_id").alias("s")).select("s.text", "s.words", "label")
+    sample = materialize(sample, "toxicity-sample")
     n, pos = sample.agg(F.count("*"), F.sum("label")).first()
     if not n or not pos or pos == n:
-        sample.unpersist()
         return None
     stems = [_beginnings(k) for k in STEMS]
     entries = sample.select("label", "words", F.array_sort(F.concat("words", *stems)).alias("entries"))
@@ -220,7 +222,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             lexicon.append(r.entry)
             needs.append((r.times, r.per))
     if not lexicon:
-        sample.unpersist()
         return None
     width = len(lexicon) + 5
 
@@ -230,7 +231,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(first, end - first), pa.array(list(counts), pa.list_(pa.float64()))], names=["label", "counts"])
 
     got = sample.select("text", "label").mapInArrow(measure, "label int, counts array<double>").toPandas()
-    sample.unpersist()
     counts = np.stack(got.counts.to_numpy()).reshape(len(got), width)
     order = np.lexsort((got.label.to_numpy(), *counts.T))  # the order of arrival does not matter
     counts, label = counts[order], got.label.to_numpy()[order]

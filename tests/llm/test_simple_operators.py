@@ -291,6 +291,19 @@ def test_lexicon_holds_all_entries(spark):
     assert len(bad) == 150 and all(any(b.startswith(x) or x.startswith(b) for x in stems) for b in bad) and len(stems) > 64
 
 
+def test_toxicity_repeated_rows_long_texts_and_clashing_columns(spark):
+    docs, labels, _ = toxic_corpus()
+    plain = {r.doc_id: r.score for r in TX.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    # rows of one id are learned from once: the smallest text of it
+    more = [*docs, *docs[:50], *[(0, docs[0][1] + f" z{i}") for i in range(500)], (7000, "n1 " * 400_000 + "vile scum vile"), (7001, "n1 " * 400_000)]
+    d = spark.createDataFrame(more, "doc_id long, text string").selectExpr("*", "7D as score", "'x' as predicted", "1 as label", "2 as words")
+    rows = TX.toxicity(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(rows) == len(more)
+    first = {r.doc_id: r.score for r in rows if r.text == dict(docs).get(r.doc_id)}
+    assert first == plain
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
 def test_toxicity_without_labels(spark):
     d = spark.createDataFrame([(1, "vile")], "doc_id long, text string")
     assert [r.score for r in TX.toxicity(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()] == [0.0]
