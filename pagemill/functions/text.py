@@ -53,15 +53,23 @@ def syllables(word: Column) -> Column:
     return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(stem, F.lit("[aeiouy]{1,2}"))))
 
 
+def syllables_of(text: Column) -> Column:
+    """Sum of syllables() over words between spaces, by a few passes over the whole text; 0 for null."""
+    low = F.regexp_replace(F.lower(text), "[^a-z ]+", "")
+    # a short word counts as one vowel would; so does a stem of consonants
+    stems = F.regexp_replace(F.regexp_replace(low, r"\b[a-z]{1,3}\b", "a"), r"(?:[^laeiouy ]es|ed|[^laeiouy ]e)\b", "")
+    return F.coalesce(F.regexp_count(stems, F.lit(r"[aeiouy]{1,2}|\b[^aeiouy ]+\b")), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(text, F.lit("[.!?]+")))
 
 
-def reading_level(text: Column, word_list: Column) -> Column:
-    """Flesch-Kincaid grade, one decimal, 0 at least; 0 without words."""
+def reading_level(text: Column, word_list: Column, syllable_count: Column | None = None) -> Column:
+    """Flesch-Kincaid grade, one decimal, 0 at least; 0 without words. syllable_count: syllables_of(text) where a column holds it."""
+    counted = syllables_of(text) if syllable_count is None else syllable_count
     n = F.size(word_list)
-    syl = F.aggregate(word_list, F.lit(0), lambda a, w: a + syllables(w))
-    grade = F.lit(0.39) * (n / sentences(text)) + F.lit(11.8) * (syl / n) - F.lit(15.59)
+    grade = F.lit(0.39) * (n / sentences(text)) + F.lit(11.8) * (counted / n) - F.lit(15.59)
     return F.when(n > 0, F.greatest(F.lit(0.0), round_half_up(grade, 1))).otherwise(F.lit(0.0))
 
 
