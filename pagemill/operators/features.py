@@ -274,9 +274,9 @@ def extracted_links(dom: Dom, root_host: Column, follow_subdomains: bool = False
     return F.filter(keys, inside), F.filter(keys, lambda k: ~inside(k))
 
 
-def page_features(pages: DataFrame) -> DataFrame:
+def page_features(pages: DataFrame, terminated: bool = False) -> DataFrame:
     """pages(id, url, http, html, error, ...) plus the seven feature structs and dom; html that is null or '' has none."""
-    p, dom = Dom.stage(with_dom(pages))
+    p, dom = Dom.stage(with_dom(pages, terminated=terminated))
     url, html, http = F.col("url"), F.col("html"), F.col("http")
     groups = {"seo": seo(dom, url, http), "performance": performance(dom, html, http), "content": content(dom, html), "technical": technical(dom, url, html, http), "social": social(dom), "images": images(dom), "links": links(dom)}
     return p.select(*pages.columns, "dom", *[F.when(F.col("dom").isNotNull(), x).alias(k) for k, x in groups.items()])
