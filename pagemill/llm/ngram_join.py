@@ -13,10 +13,11 @@ Candidates, without loss:
    n-grams of the order (prefix filter). In each list of a prefix n-gram, members
    pair with one leader; the links found make components. A second round has more leaders, for members
    unlike the first ones.
-3. Lists that still hold several components pair all members of different ones. A list of more than HOT members, such as that of a common passage, is not compared: its
-   classes meet in lists of signatures instead. n-grams fall into more parts than two similar sets can
-   differ in, so such sets agree in a whole part; the parts' contents are the signatures.
-4. A pair goes on if its sizes fit, if its place in the order leaves enough n-grams, if it has no
+3. The rest meet in lists of signatures: n-grams fall into more parts than two similar sets can
+   differ in, so such sets agree in a whole part; the parts' contents are the signatures. Lists that hold several
+   components pair all members of different ones. A set's signatures follow from its own size, so their number grows
+   with the sets, however often an n-gram occurs, and a common passage makes no long lists.
+4. A pair goes on if its sizes fit, if it has no
    earlier list among the last SEEN ones of both, and if parity sketches (a lower bound of the symmetric
    difference, of about two bits an n-gram) allow the similarity. Pairs refused once are not asked again, members of
    one component never pair again: a group of thousands of near copies costs a multiple of its size.
@@ -53,8 +54,8 @@ SKETCH_BITS = (128, 2048)
 BLOCK, PAIR_BLOCK, JUDGED = 512, 1 << 14, 1 << 18
 #: Lists of up to so many members are paired all at once.
 SMALL = 32
-#: Lists of more members are replaced by lists of signatures.
-HOT = 256
+#: Lists of prefix n-grams of up to so many members are compared in step 3 too, and only the classes of longer ones by signatures; 0: all by signatures.
+HOT = 0
 #: Earlier lists of a member that travel with it.
 SEEN = 4
 #: Pieces of the global n-gram order.
@@ -259,14 +260,15 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -
     """(row, key) by row: contents of the parts of each set, in the parts of its size class and of the class below.
 
     Sets of which the smaller is in class c differ in at most d n-grams. Of d + 1 + e parts, e + 1 at
-    least hold the same; they are told by their contents, or, where a set has so many
-    parts without any, by the class alone.
+    least hold the same; they are told by their contents. Where two sets agree in parts without
+    any alone, both have many of those: such sets are told by their prefix n-grams too.
     """
     bounds = size_classes(int(size.max(initial=1)), percent)
     own = np.searchsorted(bounds, size, "right") - 1
     small = np.maximum(bounds[1:] - 1, 1)
     differ = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
     spare = -(-differ * 8 // 100) + 4
+    prefix = np.arange(len(h)) - np.searchsorted(row, row) <= (size - _need(size, percent))[row]
     rows, keys = [], []
     for below in (0, 1):
         c = own - below
@@ -282,9 +284,9 @@ def signatures(row: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int) -
         content = np.add.reduceat(mix(g + _U(0x9E3779B97F4A7C15)), start)
         place = (at[start] - r[start] * int(parts.max())).astype(_U)
         filled = np.bincount(r[start], minlength=len(size))
-        few = np.flatnonzero((c >= 0) & (size > 0) & (parts - filled > spare[np.maximum(c, 0)]))
-        rows += [few, r[start]]
-        keys += [mix(mix(c[few].astype(_U) + _U(77))), mix(content ^ mix(place * _U(0xD1342543DE82EF95) + c[r[start]].astype(_U)))]
+        few = np.flatnonzero(prefix & ((c >= 0) & (parts - filled > spare[np.maximum(c, 0)]))[row])
+        rows += [row[few], r[start]]
+        keys += [mix(h[few] ^ mix(c[row[few]].astype(_U) + _U(77))), mix(content ^ mix(place * _U(0xD1342543DE82EF95) + c[r[start]].astype(_U)))]
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, _U)
     row, key = np.concatenate(rows), np.concatenate(keys)
@@ -320,8 +322,8 @@ def _leader_pairs(sets: DataFrame, groups: DataFrame, seed: int, leaders: int, p
     return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, PAIRS)
 
 
-def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> tuple[DataFrame, DataFrame]:
-    """(members of lists that hold several components, one row a member and list; longer lists' (gram)).
+def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(members of lists that hold several components, one row a member and list; (gram) of lists of more than hot members, if hot).
 
     A row has its rank in the member's lists and the lists before it. Which lists these are is found on bare
     (cls, place, gram) rows; only then do sketches join, so that they travel once.
@@ -337,13 +339,14 @@ def _pool(sets: DataFrame, groups: DataFrame, column: str, hot: int | None) -> t
 
 def _candidates(sets: DataFrame, groups: DataFrame, percent: int, hot: int = HOT) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of members of one list in different components."""
-    pool, crowded = _pool(sets, groups, "grams", hot)
-    pool = pool.withColumnRenamed("at", "rank")
-    if not crowded.isEmpty():
+    some, short = sets, None
+    if hot:
+        short, crowded = _pool(sets, groups, "grams", hot)
         held = sets.select("cls", F.explode("grams").alias("gram")).join(crowded, "gram").select("cls").distinct()
         some = sets.join(materialize(held, "ngram-crowded"), "cls", "left_semi")
-        signed, _ = _pool(some, groups, "parts", None)
-        pool = pool.unionByName(signed.drop("at").withColumn("rank", F.lit(0)))  # signatures have no rank
+    pool = _pool(some, groups, "parts")[0].drop("at").withColumn("rank", F.lit(0))  # signatures have no rank
+    if short is not None:
+        pool = pool.unionByName(short.withColumnRenamed("at", "rank"))
     pool = pool.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets(sets.sparkSession, 4))))
     return pool.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, percent), PAIRS).distinct()
 

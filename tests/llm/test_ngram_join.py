@@ -132,3 +132,34 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 5), (200, 201), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 21)}, 100: 0, 201: 200}
+
+
+def test_work_of_a_set_does_not_jump_with_the_members_of_lists(spark, monkeypatch):
+    """The entries that the last step explodes follow the sets, also where lists grow past a limit."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage[: 50 + i % 7] + [word() for _ in range(3 + i % 11)] + passage[56:])) for i in range(1500)]
+    made = []
+    real = ngram_join._pool
+
+    def counted(sets, groups, column, *hot):
+        made.append(sum(len(r[0]) for r in sets.select(column).collect()))
+        return real(sets, groups, column, *hot)
+
+    monkeypatch.setattr(ngram_join, "_pool", counted)
+    totals = []
+    for part in (rows[:200], rows[:1000]):
+        made.clear()
+        run(spark, part)
+        totals.append(sum(made))
+    assert 0 < totals[0] and totals[1] <= 6 * totals[0]
+
+
+def test_sets_of_many_empty_parts_meet_by_their_prefix():
+    rng = np.random.default_rng(5)
+    k, n = 40000, 4
+    h = np.sort(rng.integers(0, 1 << 63, (k, n), dtype=np.uint64), axis=1).ravel()
+    with np.errstate(over="ignore"):
+        _, key = ngram_join.signatures(np.repeat(np.arange(k), n), h, np.full(k, n), 80)
+    assert np.unique(key, return_counts=True)[1].max() <= 2  # no set is like another
