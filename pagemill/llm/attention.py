@@ -32,6 +32,7 @@ class Net:
     pair_ln: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # ln P(next | current, class)
     back: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))  # sorted: current id * CLASSES + class
     back_ln: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))  # ln of the mass that backs off
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0))  # counts of all pairs of a current id and class
 
     def within(self, current: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln P(id | current id, class of the id)."""
@@ -47,6 +48,18 @@ class Net:
             out = np.where(found, self.pair_ln[spot], out)
         return out
 
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.pair):
+            return np.zeros(len(key), bool)
+        return self.pair[np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)] == key
+
+    def rest(self, key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What within() lacks for pairs that it does not hold, by their counts."""
+        current, ids = key // np.uint32(len(self.cls)), key % np.uint32(len(self.cls))
+        at = np.minimum(np.searchsorted(self.back, current * np.uint32(CLASSES) + self.cls[ids].astype(np.uint32)), len(self.back) - 1)
+        off = self.back_ln[at] + self.share[ids].astype(float)
+        return np.where(counts > 0, np.log(np.maximum(counts - DISCOUNT, 0) / self.total[at] + np.exp(off)) - off, 0.0)
+
 
 def trait_vectors(size: int) -> np.ndarray:
     """A random vector an id; sums of them over a context describe it."""
@@ -111,16 +124,26 @@ def make_net(counts: np.ndarray, sums: np.ndarray | None = None, pairs: np.ndarr
     p["c"] = np.log(np.maximum(mass, 1e-3) / smooth.sum()).astype(np.float32)
     net = Net(np.minimum(rank, INPUTS).astype(np.int32), cls.astype(np.int32), share.astype(np.float32), p)
     if pairs is not None and len(pairs):
-        current, following = pairs // np.uint32(len(counts)), pairs % np.uint32(len(counts))
-        key = current.astype(np.uint32) * np.uint32(CLASSES) + cls[following].astype(np.uint32)
-        net.back, at = np.unique(key, return_inverse=True)
-        total, kinds = np.bincount(at, weights=pair_counts), np.bincount(at)
-        off = DISCOUNT * kinds / total
-        net.back_ln = np.log(off).astype(np.float32)
-        net.pair, net.pair_ln = pairs.astype(np.uint32), np.log((pair_counts - DISCOUNT) / total[at] + off[at] * np.exp(share[following])).astype(np.float32)
+        hold(net, pairs, pair_counts, *back_totals(net.cls, pairs, pair_counts))
     return net
 
 
+def back_totals(cls: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(current id * CLASSES + class, ascending; counts of its pairs; how many they are)."""
+    current, following = pairs // np.uint32(len(cls)), pairs % np.uint32(len(cls))
+    back, at = np.unique(current.astype(np.uint32) * np.uint32(CLASSES) + cls[following].astype(np.uint32), return_inverse=True)
+    return back, np.bincount(at, weights=pair_counts, minlength=len(back)), np.bincount(at, minlength=len(back))
+
+
+def hold(net: Net, pairs: np.ndarray, pair_counts: np.ndarray, back: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
+    """Gives net the pairs that it holds and the back_totals of all pairs."""
+    current, following = pairs // np.uint32(len(net.cls)), pairs % np.uint32(len(net.cls))
+    at = np.searchsorted(back, current.astype(np.uint32) * np.uint32(CLASSES) + net.cls[following].astype(np.uint32))
+    off = DISCOUNT * kinds / total
+    net.back, net.back_ln, net.total = back, np.log(off).astype(np.float32), total
+    net.pair, net.pair_ln = pairs.astype(np.uint32), np.log((pair_counts - DISCOUNT) / total[at] + off[at] * np.exp(net.share[following].astype(float))).astype(np.float32)
+
+
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts that lie one behind another: (flat index of each window's first input, its text's first index, its text's end)."""
     step = WINDOW - OVERLAP

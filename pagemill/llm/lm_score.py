@@ -9,7 +9,7 @@
    shards part from common weights. Neither the table's partitions nor the cluster's enter, so any partitioning gives equal scores.
 3. Every whole text is cut into overlapping windows; each id is scored once, with
    masked attention over batches of windows. Counts of each bucket's most frequent
-   words, a bounded table, are looked up on the way; rarer words are sent to their
+   words and pairs, bounded tables, are looked up on the way; rarer ones are sent to their
    bucket's counts and their sums return to the document.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased, plus one end a
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .attention import END, START, TRAITS, Local, Net, context_sums, make_net, score, trait_vectors
+from .attention import END, START, TRAITS, Local, Net, back_totals, context_sums, hold, make_net, score, trait_vectors
 from .common import LOWER, SLICE_BYTES, SPACE, Hasher, buckets, materialize, single_threaded_blas, text_slices, word_bounds
 from .toxicity import fold
 
@@ -40,7 +41,7 @@ FOLDS, HELD_OUT = 10, 0
 ROUNDS = (1, 5, 10)
 #: Training tokens of a shard: enough steps for weights of its own.
 SHARD_TOKENS = 2_000_000
-#: Bounds of the words looked up without a shuffle, of the pairs of ids that the model holds (the most frequent ones), and of a worker's subword cache.
+#: Bounds of the words and of the pairs of ids looked up without a shuffle (the most frequent ones), and of a worker's subword cache.
 FREQUENT, PAIRS, CACHE = 200_000, 4_000_000, 500_000
 #: Counts that a worker holds before it sends them.
 HELD = 1 << 21
@@ -96,7 +97,7 @@ class _Slice:
         return np.insert(flat, np.cumsum(lengths), END), lengths + 1
 
 
-#: kind 0: hashes, counts, lengths and bytes of words; 1: keys and counts of id pairs; 2: ids and the sums of their contexts; 3: a number of texts.
+#: kind 0: hashes, counts, lengths and bytes of words; 1: keys and counts of id pairs; 2: ids, the sums of their contexts and their counts; 3: a number of texts.
 _COUNTS = "bucket int, kind int, a binary, b binary, c binary, d binary"
 _COUNT_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
 
@@ -122,7 +123,7 @@ class _Tally:
     def _clear(self) -> None:
         self.words: list[tuple] = []
         self.pairs: list[tuple] = []
-        self.sums, self.texts, self.held = np.zeros((self.size, TRAITS)), 0, 0
+        self.sums, self.ids, self.texts, self.held = np.zeros((self.size, TRAITS)), np.zeros(self.size, np.int64), 0, 0
 
     def add(self, s: _Slice, ids: np.ndarray, lengths: np.ndarray) -> None:
         size = s.ends[s.one] - s.starts[s.one]
@@ -133,6 +134,7 @@ class _Tally:
         key, times = np.unique(current * np.uint32(self.size) + ids.astype(np.uint32), return_counts=True)
         self.pairs.append((key, times))
         self.sums += context_sums(self.vectors, ids, lengths)
+        self.ids += np.bincount(ids, minlength=self.size)
         self.texts += len(lengths)
         self.held += len(s.hashes) + len(key)
 
@@ -158,9 +160,9 @@ class _Tally:
             for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
                 if y > x:
                     yield k, 1, key[x:y].tobytes(), total[x:y].astype("<u4").tobytes(), b"", b""
-            some = np.flatnonzero(self.sums.any(axis=1))
+            some = np.flatnonzero(self.ids)
             if len(some):
-                yield int(some[0]) % self.n, 2, some.astype("<u4").tobytes(), self.sums[some].astype("<f4").tobytes(), b"", b""
+                yield int(some[0]) % self.n, 2, some.astype("<u4").tobytes(), self.sums[some].astype("<f4").tobytes(), self.ids[some].astype("<u4").tobytes(), b""
             yield 0, 3, np.array([self.texts], "<i8").tobytes(), b"", b"", b""
         self._clear()
 
@@ -195,7 +197,7 @@ _SUMS = "bucket int, kind int, words binary, counts binary, top binary, top_coun
 
 
 def _add_up(frequent: int, pairs: int):  # type: ignore[no-untyped-def]
-    """One bucket's counts of a kind. Words: all, and the most frequent ones apart; pairs: the most frequent ones, and counts of next ids as top."""
+    """One bucket's counts of a kind. Words and pairs: all, and the most frequent ones apart; ids: sums of contexts, and counts as top."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         kind = key[1].as_py()
@@ -209,6 +211,7 @@ def _add_up(frequent: int, pairs: int):  # type: ignore[no-untyped-def]
             sums = cat(b, "<f4").reshape(-1, TRAITS)
             sums = np.column_stack([np.bincount(at, weights=sums[:, d], minlength=len(some)) for d in range(TRAITS)])
             words, counts = some.tobytes(), sums.astype("<f8").tobytes()
+            top = np.bincount(at, weights=cat(table.column("c").to_pylist(), "<u4"), minlength=len(some)).astype("<i8").tobytes()
         else:
             some, _, total = _sum_by(cat(a, "<u8" if kind == 0 else "<u4"), cat(b, "<u4"))
             best = np.sort(np.argsort(-total, kind="stable")[: frequent if kind == 0 else pairs])
@@ -250,10 +253,15 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
     top, top_counts = held(0, "<u8")
     pair, pair_counts = held(1, "<u4")
     size = Subwords(model).size
-    id_counts, sums = np.bincount(pair % np.uint32(size), weights=pair_counts, minlength=size).astype(float), np.zeros((size, TRAITS))
-    for r in summed.where("kind = 2").select("words", "counts").collect():
-        sums[np.frombuffer(bytes(r.words), "<u4")] += np.frombuffer(bytes(r.counts), "<f8").reshape(-1, TRAITS)
-    net = make_net(id_counts, sums, pair, pair_counts)
+    id_counts, sums = np.zeros(size), np.zeros((size, TRAITS))
+    for r in summed.where("kind = 2").select("words", "counts", "top").collect():
+        some = np.frombuffer(bytes(r.words), "<u4")
+        sums[some] += np.frombuffer(bytes(r.counts), "<f8").reshape(-1, TRAITS)
+        id_counts[some] += np.frombuffer(bytes(r.top), "<i8")
+    net = make_net(id_counts, sums)
+    hold(net, pair, pair_counts, *_back_totals(summed, net.cls))
+    # pairs that the model does not hold are looked up in their buckets, as rarer words are
+    more = bool(summed.where("kind = 1").agg(total("v")).first()[0] > len(pair))
     _train_all(net, learn, model, rounds, max(1, round(train_tokens / SHARD_TOKENS)))
     denominator = np.log10(train_tokens + ALPHA * (train_words + 1))
 
@@ -280,6 +288,15 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
                     r, w = pair // max(1, len(s.hashes)), pair % max(1, len(s.hashes))
                     k = uid[first:end]
                     sent = list(packed.pack(packed.bucket_of(s.hashes[w], n), k, np.zeros(rows, np.int64), r, times, s.hashes[w], 8)) if len(r) else []
+                    if more:
+                        current = np.empty(len(ids), np.uint32)
+                        current[1:] = ids[:-1]
+                        current[np.cumsum(lengths) - lengths] = START
+                        key = current * np.uint32(size) + ids.astype(np.uint32)
+                        rest = np.flatnonzero(~net.holds(key))
+                        both, times = np.unique((np.repeat(np.arange(rows), lengths)[rest] << 32) + key[rest].astype(np.int64), return_counts=True)
+                        r, h = both >> 32, (both & 0xFFFFFFFF).astype(np.uint64)
+                        sent += packed.pack(n + (h // np.uint64(size)).astype(np.int64) % n, k, np.zeros(rows, np.int64), r, times, h, 8)
                     if sent:
                         yield _out(None, None, None, None, None, sent)
 
@@ -287,26 +304,51 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
     scored = materialize(slim.mapInArrow(run, schema), "lm-scored")
     asked = scored.where("bucket is not null").select(*packed.NAMES)
 
-    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+    bare = replace(net, pair=net.pair[:0], pair_ln=net.pair_ln[:0])
+
+    def answer(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        of_pairs = key[0].as_py() >= n
         uid, _, row, times, h = packed.unpack(left, 0, 8)
-        words = np.frombuffer(right.column("words")[0].as_py(), np.uint64) if right.num_rows else np.zeros(0, np.uint64)
+        words = np.frombuffer(right.column("words")[0].as_py(), np.uint32 if of_pairs else np.uint64).astype(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
         counts = np.frombuffer(right.column("counts")[0].as_py(), np.int64) if right.num_rows else np.zeros(0, np.int64)
         c = np.zeros(len(h), np.int64)
         if len(words):
             spot = np.minimum(np.searchsorted(words, h), len(words) - 1)
             c = np.where(words[spot] == h, counts[spot], 0)
         who, at = np.unique(uid[row], return_inverse=True)
-        return pa.table({"uid": pa.array(who), "rare_base": pa.array(np.bincount(at, weights=times * np.log10(c + ALPHA), minlength=len(who)), pa.float64()), "rare_known": pa.array(np.bincount(at, weights=times * (c > 0), minlength=len(who)).astype(np.int64))})
+        base, known, lm = np.zeros((3, len(h)))
+        if of_pairs:
+            lm = bare.rest(h.astype(np.uint32), c) / np.log(10) if len(words) else lm
+        else:
+            base, known = np.log10(c + ALPHA), c > 0
+        sums = lambda x: np.bincount(at, weights=times * x, minlength=len(who))
+        return pa.table({"uid": pa.array(who), "rare_base": pa.array(sums(base), pa.float64()), "rare_known": pa.array(sums(known).astype(np.int64)), "rare_lm": pa.array(sums(lm), pa.float64())})
 
-    parts = asked.groupBy("bucket").cogroup(summed.where("kind = 0").select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(answer, "uid long, rare_base double, rare_known long")
-    rare = parts.groupBy("uid").agg(F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
+    held_counts = summed.where(F.col("kind") <= int(more)).select((F.col("bucket") + F.col("kind") * n).alias("bucket"), "words", "counts")
+    parts = asked.groupBy("bucket").cogroup(held_counts.groupBy("bucket")).applyInArrow(answer, "uid long, rare_base double, rare_known long, rare_lm double")
+    rare = parts.groupBy("uid").agg(*(F.sum(x).alias(x) for x in ("rare_base", "rare_known", "rare_lm")))
     rows = scored.where("bucket is null")
     # equal rows have sent their rare words as often as they are there
     same = rows.groupBy("uid").agg(F.count("*").alias("same"))
-    rare = rare.join(same, "uid").select("uid", (F.col("rare_base") / F.col("same")).alias("rare_base"), (F.col("rare_known") / F.col("same")).cast("long").alias("rare_known"))
+    rare = rare.join(same, "uid").select("uid", (F.col("rare_base") / F.col("same")).alias("rare_base"), (F.col("rare_known") / F.col("same")).cast("long").alias("rare_known"), (F.col("rare_lm") / F.col("same")).alias("rare_lm"))
     out = rows.join(rare, "uid", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(denominator))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("lm").alias("score"))
+    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(train_tokens)).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("lm") + F.coalesce("rare_lm", F.lit(0.0))).alias("score"))
+
+
+def _back_totals(summed: DataFrame, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """back_totals over all pairs; a current id's pairs lie in one bucket, and there are at most ids * CLASSES rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for words, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                back, total, kinds = back_totals(cls, np.frombuffer(words, "<u4"), np.frombuffer(counts, "<i8"))
+                yield pa.RecordBatch.from_pydict({"back": [back.astype("<u4").tobytes()], "total": [total.astype("<f8").tobytes()], "kinds": [kinds.astype("<i8").tobytes()]})
+
+    rows = summed.where("kind = 1").select("words", "counts").mapInArrow(run, "back binary, total binary, kinds binary").collect()
+    back, total, kinds = (np.frombuffer(b"".join(bytes(r[i]) for r in rows), t) for i, t in enumerate(("<u4", "<f8", "<i8")))
+    order = np.argsort(back)
+    return back[order], total[order], kinds[order]
 
 
 def _rows_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:

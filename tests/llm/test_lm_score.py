@@ -160,3 +160,12 @@ def test_shards_are_trained_and_averaged(spark, monkeypatch):
     docs = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 60)))) for i in range(400)]
     run = lambda parts: {r.doc_id: r.score for r in lm_score(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()}
     assert run(2) == pytest.approx(run(7), abs=1e-3)
+
+
+def test_pairs_that_the_model_does_not_hold_are_scored_all_the_same(spark):
+    rng = random.Random(5)
+    rows = [(d, " ".join(rng.choice(["the", "of", f"w{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 60)))) for d in range(120)]
+    docs = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string").repartition(3)
+    scores = [sorted((r.doc_id, r.score) for r in lm_score(docs, pairs=pairs).collect()) for pairs in (4_000_000, 40)]
+    assert [d for d, _ in scores[0]] == [d for d, _ in scores[1]]
+    assert [s for _, s in scores[0]] == pytest.approx([s for _, s in scores[1]], rel=1e-4)
