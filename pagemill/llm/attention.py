@@ -38,14 +38,14 @@ class Net:
         """ln P(id | current id, class of the id)."""
         out = self.share[ids]
         if len(self.pair):
-            key = current.astype(np.uint32) * np.uint32(len(self.cls)) + ids.astype(np.uint32)
+            key, where = np.unique(current.astype(np.uint32) * np.uint32(len(self.cls)) + ids.astype(np.uint32), return_inverse=True)
             spot = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
             found = self.pair[spot] == key
-            new = np.flatnonzero(~found)
-            key = current[new].astype(np.uint32) * np.uint32(CLASSES) + self.cls[ids[new]].astype(np.uint32)
-            at = np.minimum(np.searchsorted(self.back, key), len(self.back) - 1)
-            out[new] += np.where(self.back[at] == key, self.back_ln[at], np.float32(0))
-            out = np.where(found, self.pair_ln[spot], out)
+            before, after = key // np.uint32(len(self.cls)), key % np.uint32(len(self.cls))
+            back = before * np.uint32(CLASSES) + self.cls[after].astype(np.uint32)
+            at = np.minimum(np.searchsorted(self.back, back), len(self.back) - 1)
+            off = self.share[after] + np.where(self.back[at] == back, self.back_ln[at], np.float32(0))
+            out = np.where(found, self.pair_ln[spot], off)[where]
         return out
 
     def holds(self, key: np.ndarray) -> np.ndarray:
@@ -68,13 +68,20 @@ def trait_vectors(size: int) -> np.ndarray:
 
 def context_sums(vectors: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Per id the sum over its places of the mean vector of the CONTEXT ids around it, without itself."""
+    per = -(-lengths // CONTEXT)
     begin = np.cumsum(lengths) - lengths
-    place = np.arange(len(ids)) - np.repeat(begin, lengths)
-    start = np.flatnonzero(place % CONTEXT == 0)
+    start = np.repeat(begin, per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * CONTEXT
     size = np.diff(np.append(start, len(ids)))
-    own = vectors[ids]
-    mean = (np.repeat(np.add.reduceat(own, start, axis=0), size, axis=0) - own) / np.repeat(size, size)[:, None].astype(np.float32)
-    return np.column_stack([np.bincount(ids, weights=mean[:, d], minlength=len(vectors)) for d in range(mean.shape[1])])
+    # places beyond a context's end take a vector of zeros
+    padded = np.append(ids, np.zeros(CONTEXT, ids.dtype)).astype(np.intp)
+    at = np.where(np.arange(CONTEXT) < size[:, None], np.lib.stride_tricks.sliding_window_view(padded, CONTEXT)[start], len(vectors))
+    own = np.vstack([vectors, np.zeros((1, vectors.shape[1]), vectors.dtype)])
+    mean = np.empty((vectors.shape[1], len(start)))
+    for i in range(0, len(start), 1024):
+        mean[:, i : i + 1024] = (np.ones((1, CONTEXT), vectors.dtype) @ np.take(own, at[i : i + 1024], axis=0))[:, 0].T
+    mean /= size
+    out = np.column_stack([np.bincount(ids, weights=np.repeat(m, size), minlength=len(vectors)) for m in mean])
+    return out - np.bincount(ids, weights=np.repeat(1 / size, size), minlength=len(vectors))[:, None] * vectors
 
 
 def _by_mass(counts: np.ndarray) -> np.ndarray:
@@ -161,6 +168,41 @@ _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(OVERLAP, WINDOW)[:, Non
 _ALLOWED = np.exp(_MASK)
 
 
+def _views(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Rows of width values from each place of at, which may lie up to OVERLAP before the first and WINDOW behind the last."""
+    padded = np.concatenate([np.zeros(OVERLAP, values.dtype), values, np.zeros(WINDOW, values.dtype)])
+    return np.lib.stride_tricks.sliding_window_view(padded, width)[at + OVERLAP]
+
+
+def _attend(s: np.ndarray, opening: np.ndarray) -> None:
+    """Scores to weights, not yet divided by their sums; opening: windows that open a text, where the overlap is absent."""
+    if max(s.max(), -s.min()) >= 80:
+        s += _MASK
+        s[opening, :, :OVERLAP] = -1e9
+        s -= s.max(axis=2, keepdims=True)
+    np.exp(s, out=s)
+    s *= _ALLOWED
+    s[opening, :, :OVERLAP] = 0
+
+
+def _level(logits: np.ndarray) -> None:
+    """Logits that exp() can take."""
+    if max(logits.max(), -logits.min()) >= 80:
+        logits -= logits.max(axis=-1, keepdims=True)
+
+
+#: Columns of the projections of an input: keys, values, 1 (its weighted sum is that of the weights), queries.
+_K, _V1, _Q, _ONE = slice(0, HEAD), slice(HEAD, 2 * HEAD + 1), slice(2 * HEAD + 1, 3 * HEAD + 1), 2 * HEAD
+
+
+def _projections(p: dict[str, np.ndarray]) -> np.ndarray:
+    """(EMBED + 1) x (3 HEAD + 1): embeddings that end in 1 to their projections."""
+    w = np.zeros((EMBED + 1, 3 * HEAD + 1), np.float32)
+    w[:-1, _K], w[:-1, HEAD:_ONE], w[:-1, _Q] = p["K"], p["V"], p["Q"] * np.float32(1 / np.sqrt(HEAD))
+    w[-1, _ONE] = 1
+    return w
+
+
 def score(net: Net, ids: np.ndarray, lengths: np.ndarray, block: int = 64) -> np.ndarray:
     """ln P of each text; ids: all texts one behind another, each with its end. Each id is scored in one window."""
     if not len(ids):
@@ -169,52 +211,39 @@ def score(net: Net, ids: np.ndarray, lengths: np.ndarray, block: int = 64) -> np
     current = np.empty(len(ids), np.int64)
     current[1:] = ids[:-1]
     current[begin] = START
-    inputs = net.row[current]
-    target = net.cls[ids]
-    total = np.zeros(len(ids), np.float32)
-    p = net.p
-    # projections of ids and of places add up, so they are looked up
-    ek, pk = p["E"] @ p["K"], p["P"] @ p["K"]
-    ev, pv = p["E"] @ p["V"], p["P"] @ p["V"]
-    eq, pq = p["E"] @ p["Q"] / np.sqrt(HEAD), p["P"][OVERLAP:] @ p["Q"] / np.sqrt(HEAD)
-    table = np.hstack([ek, ev, eq, p["E"], np.ones((len(ek), 1), np.float32)])
-    # [values attended to, current id, 1] @ out_w are the logits
-    out_w = np.vstack([p["A"], p["B"], p["c"][None, :]])
-    attended = np.abs(ev).max(axis=0) + np.abs(pv).max(axis=0)
-    bounded = np.abs(p["E"] @ p["B"] + p["c"]).max() + (attended @ np.abs(p["A"])).max() < 80
-    mild = (np.abs(eq).max(axis=0) + np.abs(pq).max(axis=0)) @ (np.abs(ek).max(axis=0) + np.abs(pk).max(axis=0)) < 80
-    offsets, allowed = np.arange(WINDOW), _ALLOWED
-    flat_all = at[:, None] + offsets
-    rows_all = inputs[np.clip(flat_all, 0, len(ids) - 1)]
-    absent_all = flat_all < begin[:, None]
+    p, step = net.p, WINDOW - OVERLAP
+    # projections of ids and of places add up, so they are looked up; so are the logits of the current id
+    w = _projections(p)
+    table, places = p["E"] @ w[:-1] + w[-1], p["P"] @ w[:-1]
+    own = p["E"] @ p["B"] + p["c"]
+    rows_all = _views(net.row[current].astype(np.intp), at, WINDOW)
+    target = _views(net.cls[ids], at + OVERLAP, step)
+    spot = np.arange(block * step) * CLASSES
+    ln = np.empty(len(at) * step, np.float32)
+    x, kt = np.empty((block, WINDOW, table.shape[1]), np.float32), np.empty((block, HEAD, WINDOW), np.float32)
+    s, o = np.empty((block, step, WINDOW), np.float32), np.empty((block, step, HEAD + 1), np.float32)
+    u, logits, more = np.empty((block, step, HEAD), np.float32), np.empty((block, step, CLASSES), np.float32), np.empty((block * step, CLASSES), np.float32)
     ones = np.ones(CLASSES, np.float32)
-    u = np.empty((block, WINDOW - OVERLAP, HEAD + EMBED + 1), np.float32)
     for i in range(0, len(at), block):
-        flat, rows, absent = flat_all[i : i + block], rows_all[i : i + block], absent_all[i : i + block]
-        m = len(flat)
-        x = table[rows]
-        k, v = x[:, :, :HEAD] + pk, x[:, :, HEAD : 2 * HEAD] + pv
-        q = x[:, OVERLAP:, 2 * HEAD : 3 * HEAD] + pq
-        s = q @ k.transpose(0, 2, 1)
-        if not mild:
-            s -= (s + _MASK).max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= allowed
-        if absent.any():
-            s *= ~absent[:, None, :]
-        np.matmul(s, v, out=u[:m, :, :HEAD])
-        u[:m, :, :HEAD] /= s.sum(axis=2, keepdims=True)
-        u[:m, :, HEAD:] = x[:, OVERLAP:, 3 * HEAD :]
-        logits = u[:m].reshape(-1, HEAD + EMBED + 1) @ out_w
-        if not bounded:
-            logits -= logits.max(axis=1, keepdims=True)
-        t = flat[:, OVERLAP:].ravel()
-        live = t < np.repeat(end[i : i + block], WINDOW - OVERLAP)
-        t = np.minimum(t, len(ids) - 1)
-        hit = logits[np.arange(len(t)), target[t]]
-        np.exp(logits, out=logits)
-        total[t[live]] = (hit - np.log(logits @ ones))[live]
-    total += net.within(current, ids)
+        rows = rows_all[i : i + block]
+        if len(rows) < block:
+            x, kt, s, o, u, logits, more = x[: len(rows)], kt[: len(rows)], s[: len(rows)], o[: len(rows)], u[: len(rows)], logits[: len(rows)], more[: len(rows) * step]
+        np.take(table, rows, axis=0, out=x, mode="clip")
+        x += places
+        kt[:] = x[:, :, _K].transpose(0, 2, 1)
+        np.matmul(x[:, OVERLAP:, _Q], kt, out=s)
+        _attend(s, np.flatnonzero(at[i : i + block] < begin[i : i + block]))
+        np.matmul(s, x[:, :, _V1], out=o)
+        np.divide(o[:, :, :HEAD], o[:, :, HEAD:], out=u)
+        np.take(own, rows[:, OVERLAP:], axis=0, out=logits, mode="clip")
+        flat = logits.reshape(-1, CLASSES)
+        flat += np.matmul(u.reshape(-1, HEAD), p["A"], out=more)
+        _level(flat)
+        hit = flat.ravel()[spot[: len(flat)] + target[i : i + block].ravel()]
+        np.exp(flat, out=flat)
+        ln[i * step : i * step + len(flat)] = hit - np.log(flat @ ones)
+    live = (at + OVERLAP)[:, None] + np.arange(step) < end[:, None]
+    total = ln[live.ravel()] + net.within(current, ids)
     return np.add.reduceat(total.astype(np.float64), np.cumsum(lengths) - lengths)
 
 
@@ -279,107 +308,121 @@ def train(net: Net, ids: np.ndarray, lengths: np.ndarray, steps: int = 400, batc
 class Local:
     """Adam over all windows of the texts that are added, each seen once; weights start at net's."""
 
-    BATCH, BLOCK, RATE = 256, 64, 0.01
+    BATCH, BLOCK, RATE = 256, 128, 0.01
 
     def __init__(self, net: Net, seed: int) -> None:
         self.net, self.rng, self.step, self.windows, self.loss, self.ids = net, np.random.default_rng(seed), 0, 0, 0.0, 0
         self.p = {k: x.copy() for k, x in net.p.items()}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.e1 = np.ones((len(self.p["E"]), EMBED + 1), np.float32)  # embeddings that end in 1
+        self.p1 = np.zeros((WINDOW, EMBED + 1), np.float32)
+        b, step = self.BLOCK, WINDOW - OVERLAP
+        shapes = {"x": (WINDOW, EMBED + 1), "y": (WINDOW, 3 * HEAD + 1), "kt": (HEAD, WINDOW), "vt": (HEAD + 1, WINDOW), "s": (step, WINDOW), "ds": (step, WINDOW), "u": (step, HEAD), "own": (step, CLASSES), "d": (step, CLASSES), "da": (step, HEAD), "do": (step, HEAD + 1), "g": (WINDOW, 3 * HEAD + CLASSES)}
+        self.room = {k: np.zeros((b, *x), np.float32) for k, x in shapes.items()}
+        self.room["vt"][:, HEAD] = 1
+        self._look_up()
         self._clear()
 
+    def _look_up(self) -> None:
+        """What blocks look up between two steps."""
+        p = self.p
+        self.e1[:, :-1], self.p1[:, :-1] = p["E"], p["P"]
+        self.w, self.own = _projections(p), p["E"] @ p["B"] + p["c"]
+
     def _clear(self) -> None:
         self.g: dict[str, np.ndarray] = {}
         self.rows, self.dx, self.live, self.held = [], [], 0, 0
-        self.mild: bool | None = None
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """ids: all texts one behind another, each with its end."""
         if not len(ids):
             return
         at, begin, end = windows(lengths)
-        inputs = np.empty(len(ids), np.int32)
+        step = WINDOW - OVERLAP
+        order = self.rng.permutation(len(at))
+        at, begin, end = at[order], begin[order], end[order]
+        inputs = np.empty(len(ids), np.intp)
         inputs[1:] = self.net.row[ids[:-1]]
         inputs[begin] = self.net.row[START]
-        target = self.net.cls[ids]
-        order = self.rng.permutation(len(at))
-        for i in range(0, len(order), self.BLOCK):
-            w = order[i : i + self.BLOCK]
-            flat = at[w, None] + np.arange(WINDOW)
-            out = flat[:, OVERLAP:]
-            self._block(inputs[np.clip(flat, 0, len(ids) - 1)], flat < begin[w, None], target[np.minimum(out, len(ids) - 1)].ravel(), (out < end[w, None]).ravel())
+        rows, target = _views(inputs, at, WINDOW), _views(self.net.cls[ids], at + OVERLAP, step)
+        live = (at + OVERLAP)[:, None] + np.arange(step) < end[:, None]
+        for i in range(0, len(at), self.BLOCK):
+            part = slice(i, i + self.BLOCK)
+            self._block(rows[part], np.flatnonzero(at[part] < begin[part]), target[part].ravel(), live[part].ravel().astype(np.float32))
             if self.held >= self.BATCH:
                 self.update()
 
-    def _block(self, rows: np.ndarray, absent: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
+    def _block(self, rows: np.ndarray, opening: np.ndarray, y: np.ndarray, live: np.ndarray) -> None:
         """Adds the gradient sums of a block of windows."""
-        p, n, scale = self.p, len(rows), np.float32(1 / np.sqrt(HEAD))
-        u = np.empty((n, WINDOW - OVERLAP, HEAD + EMBED + 1), np.float32)
-        embedded = p["E"][rows]
-        u[:, :, HEAD:-1], u[:, :, -1] = embedded[:, OVERLAP:], 1
-        x = embedded + p["P"]
-        kv = x @ np.hstack([p["K"], p["V"]])
-        k, val, xs = kv[:, :, :HEAD], kv[:, :, HEAD:], x[:, OVERLAP:]
-        q = xs @ (p["Q"] * scale)
-        s = q @ k.transpose(0, 2, 1)
-        if not self._mild():
-            s -= (s + _MASK).max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s *= _ALLOWED
-        if absent.any():
-            s *= ~absent[:, None, :]
-        s /= (s @ np.ones(WINDOW, np.float32))[:, :, None]
-        np.matmul(s, val, out=u[:, :, :HEAD])
-        o, flat = u[:, :, :HEAD], u.reshape(-1, HEAD + EMBED + 1)
-        w = np.vstack([p["A"], p["B"], p["c"][None, :]])
-        d = flat @ w
-        if np.sqrt(np.einsum("ij,ij->i", flat, flat).max() * (w * w).sum(axis=0).max()) >= 80:
-            d -= d.max(axis=1, keepdims=True)
-        np.exp(d, out=d)
-        d *= (live / (d @ np.ones(CLASSES, np.float32)))[:, None].astype(np.float32)
-        spot = np.arange(len(y))
-        self.loss -= float(np.log(d[spot, y][live] + 1e-12).sum())
-        d[spot, y] -= live
-        gw, du = flat.T @ d, (d @ w[:-1].T).reshape(n, WINDOW - OVERLAP, HEAD + EMBED)
-        do = du[:, :, :HEAD]
-        ds = do @ val.transpose(0, 2, 1)
-        ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
+        p, n = self.p, len(rows)
+        r = self.room if n == self.BLOCK else {k: x[:n] for k, x in self.room.items()}
+        x, z, s, u, d, da, do, ds, g = (r[k] for k in ("x", "y", "s", "u", "d", "da", "do", "ds", "g"))
+        u2, d2, da2, g2 = (a.reshape(-1, a.shape[2]) for a in (u, d, da, g))
+        np.take(self.e1, rows, axis=0, out=x, mode="clip")
+        x += self.p1
+        np.matmul(x.reshape(-1, EMBED + 1), self.w, out=z.reshape(-1, 3 * HEAD + 1))
+        k, q = z[:, :, _K], z[:, OVERLAP:, _Q]
+        r["kt"][:], r["vt"][:, :HEAD] = k.transpose(0, 2, 1), z[:, :, HEAD:_ONE].transpose(0, 2, 1)
+        np.matmul(q, r["kt"], out=s)
+        _attend(s, opening)
+        # weights s are not divided by their sums, so what meets them is
+        by_sum = np.repeat(1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)), HEAD).reshape(u.shape)
+        np.matmul(s, z[:, :, HEAD:_ONE], out=u)
+        u *= by_sum
+        np.matmul(u2, p["A"], out=d2)
+        d += np.take(self.own, rows[:, OVERLAP:], axis=0, out=r["own"], mode="clip")
+        _level(d2)
+        np.exp(d2, out=d2)
+        d2 *= np.repeat(live / (d2 @ np.ones(CLASSES, np.float32)), CLASSES).reshape(d2.shape)
+        spot = np.arange(len(y)) * CLASSES + y
+        flat = d2.reshape(-1)
+        self.loss -= float(np.log(flat[spot][live > 0] + 1e-12).sum())
+        flat[spot] -= live
+        np.matmul(d2, p["A"].T.copy(), out=da2)
+        da *= by_sum
+        do[:, :, :HEAD] = da
+        np.multiply(da2, -u2, out=da2)
+        do[:, :, HEAD] = (da2 @ np.ones(HEAD, np.float32)).reshape(n, -1)
+        np.matmul(do, r["vt"], out=ds)
         ds *= s
-        dkv = np.concatenate([ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do], axis=2)
-        dq = (ds @ k) * scale
-        flat2 = lambda z: z.reshape(-1, z.shape[-1])
-        gkv = flat2(x).T @ flat2(dkv)
-        dx = dkv @ np.hstack([p["K"], p["V"]]).T
-        dx[:, OVERLAP:] += dq @ p["Q"].T
-        g = {"A": gw[:HEAD], "B": gw[HEAD:-1], "c": gw[-1], "K": gkv[:, :HEAD], "V": gkv[:, HEAD:], "Q": flat2(xs).T @ flat2(dq), "P": dx.sum(axis=0)}
-        dx[:, OVERLAP:] += du[:, :, HEAD:]  # the current id without its place
-        self.g = {name: self.g[name] + z if self.g else z for name, z in g.items()}
-        self.rows.append(rows.astype(np.int16).ravel())
-        self.dx.append(flat2(dx))
+        np.matmul(ds.transpose(0, 2, 1), q, out=g[:, :, :HEAD])
+        np.matmul(s.transpose(0, 2, 1), do[:, :, :HEAD], out=g[:, :, HEAD : 2 * HEAD])
+        np.matmul(ds, k, out=g[:, OVERLAP:, 2 * HEAD : 3 * HEAD])
+        g[:, OVERLAP:, 3 * HEAD :] = d
+        scale = np.float32(1 / np.sqrt(HEAD))
+        back = np.hstack([p["K"], p["V"], p["Q"] * scale, p["B"]])
+        gw, by_place = np.matmul(x.transpose(0, 2, 1), g).sum(axis=0), (np.ones(n, np.float32) @ g.reshape(n, -1)).reshape(WINDOW, -1)
+        found = {"A": u2.T @ d2, "c": gw[-1, 3 * HEAD :], "K": gw[:-1, :HEAD], "V": gw[:-1, HEAD : 2 * HEAD], "Q": gw[:-1, 2 * HEAD : 3 * HEAD] * scale, "P": by_place[:, : 3 * HEAD] @ back[:, : 3 * HEAD].T}
+        found["B"] = gw[:-1, 3 * HEAD :] - p["P"].T @ by_place[:, 3 * HEAD :]  # the current id without its place
+        self.g = {name: self.g[name] + z if self.g else z for name, z in found.items()}
+        self.rows.append(rows.ravel())
+        self.dx.append((g2 @ back.T).T.astype(float))
         n_live = int(live.sum())
         self.live, self.held, self.windows, self.ids = self.live + n_live, self.held + n, self.windows + n, self.ids + n_live
 
-    def _mild(self) -> bool:
-        """No score of a key can overflow; weights change with updates only."""
-        if self.mild is None:
-            most = lambda name: np.abs(self.p["E"] @ self.p[name]).max(axis=0) + np.abs(self.p["P"] @ self.p[name]).max(axis=0)
-            self.mild = bool(most("Q") @ most("K") / np.sqrt(HEAD) < 80)
-        return self.mild
-
     def update(self) -> None:
         """A step by the sums held; fewer windows than a batch make a smaller step."""
         if not self.held:
             return
-        rows, dx = np.concatenate(self.rows), np.concatenate(self.dx)
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        self.g["E"] = np.zeros_like(self.p["E"])
-        self.g["E"][rows[first]] = np.add.reduceat(dx[order], first, axis=0)
+        rows, dx = np.concatenate(self.rows), np.concatenate(self.dx, axis=1)
+        self.g["E"] = np.empty_like(self.p["E"])
+        for k, x in enumerate(dx):
+            self.g["E"][:, k] = np.bincount(rows, weights=x, minlength=len(self.e1))
         self.step += 1
         rate = self.RATE * min(1, self.step / 20) * min(1, self.held / self.BATCH)
         for name, x in self.p.items():
             g = self.g[name] * np.float32(1 / max(1, self.live))
-            self.m[name] += np.float32(0.1) * (g - self.m[name])
-            self.v[name] += np.float32(0.01) * (g * g - self.v[name])
-            x -= np.float32(rate / (1 - 0.9**self.step)) * self.m[name] / (np.sqrt(self.v[name] * np.float32(1 / (1 - 0.99**self.step))) + np.float32(1e-8))
+            m, v = self.m[name], self.v[name]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            g -= v
+            g *= np.float32(0.01)
+            v += g
+            np.multiply(v, np.float32(1 / (1 - 0.99**self.step)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / (1 - 0.9**self.step))
+            x -= g
+        self._look_up()
         self._clear()

@@ -1,7 +1,8 @@
 """Language-model scores: a word unigram base and a causal self-attention model.
 
-1. Workers count, over all training documents, the words, the pairs of subword ids that follow
-   each other, and the contexts of ids; a partition adds up before it sends, sums meet in hash buckets.
+1. Workers cut every text into words and subword ids once; the ids of a slice's distinct words and the order of
+   its words are stored, and the later steps read these. On the way they count, over all training documents, the words, the
+   pairs of subword ids that follow each other, and the contexts of ids; a partition adds up before it sends, sums meet in hash buckets.
 2. The attention model takes its classes and the shares of ids in them from these counts. Training
    rows are dealt by hash to shards, whose number follows from the training tokens, and lie by hash in them; each
    shard trains its weights over its own texts, a hash share a round, until every training window was seen
@@ -21,7 +22,9 @@ Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import packed
 from .attention import END, START, TRAITS, Local, Net, back_totals, context_sums, hold, make_net, score, trait_vectors
-from .common import LOWER, SLICE_BYTES, SPACE, Hasher, buckets, materialize, single_threaded_blas, text_slices, word_bounds
+from .common import LOWER, SPACE, Hasher, buckets, materialize, mix, single_threaded_blas, text_slices, word_bounds
 from .toxicity import fold
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -43,8 +46,8 @@ ROUNDS = (1, 5, 10)
 SHARD_TOKENS = 2_000_000
 #: Bounds of the words and of the pairs of ids looked up without a shuffle (the most frequent ones), and of a worker's subword cache.
 FREQUENT, PAIRS, CACHE = 200_000, 4_000_000, 500_000
-#: Counts that a worker holds before it sends them.
-HELD = 1 << 21
+#: Counts that a worker holds before it sends them, and ids of a shard that it permutes at once (a longer text is a piece by itself).
+HELD, PIECE_IDS = 1 << 21, 1 << 19
 ALPHA = 0.1
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -64,47 +67,74 @@ class Subwords:
         if len(self.known) > CACHE:
             self.known.clear()
         keys = hashes.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.known]
+        got = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(got) if x is None]
         if missing:
             raw = data.tobytes()
             words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[missing].tolist(), ends[missing].tolist(), strict=True)]
             for i, ids in zip(missing, self.sp.encode(words), strict=True):
-                self.known[keys[i]] = np.array(ids, np.uint16).tobytes()
-        got = [self.known[h] for h in keys]
-        return np.frombuffer(b"".join(got), np.uint16), np.array([len(x) // 2 for x in got], np.int64)
+                got[i] = self.known[keys[i]] = array("H", ids).tobytes()
+        return np.frombuffer(b"".join(got), np.uint16), np.fromiter(map(len, got), np.int64, len(got)) // 2
+
+
+@functools.lru_cache(1)
+def _subwords(model: bytes) -> Subwords:
+    """A worker's, which goes on with what earlier tasks have looked up."""
+    return Subwords(model)
 
 
 class _Slice:
-    """Words of a slice with the distinct ones told apart."""
-
-    def __init__(self, hasher: Hasher, data: np.ndarray, offs: np.ndarray) -> None:
-        self.low = LOWER[data]
-        self.starts, self.ends, self.first = word_bounds(self.low, offs, SPACE)
-        self.counts = np.diff(self.first)
-        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.hashes, self.one, self.which = np.unique(hasher.words(self.low, self.starts, self.ends), return_index=True, return_inverse=True)
-
-    def subwords(self, sub: Subwords) -> tuple[np.ndarray, np.ndarray]:
-        return sub.of(self.hashes, self.low, self.starts[self.one], self.ends[self.one])
-
-    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts with their ends, ids a text)."""
-        n = sizes[self.which]
-        begin = np.cumsum(sizes) - sizes
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        flat = ids[np.repeat(begin[self.which], n) + inner]
-        lengths = np.bincount(self.row, weights=n, minlength=len(self.counts)).astype(np.int64)
+    """Words of a slice with the distinct ones told apart, and the ids of these."""
+
+    def __init__(self, hashes: np.ndarray, which: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Of distinct words: hashes, ids one behind another, ids a word; which: of each word; counts: words a row."""
+        self.hashes, self.which, self.counts, self.ids, self.sizes = hashes, which, counts, ids, sizes
+
+    @classmethod
+    def of(cls, hasher: Hasher, sub: Subwords, data: np.ndarray, offs: np.ndarray) -> _Slice:
+        low = LOWER[data]
+        starts, ends, first = word_bounds(low, offs, SPACE)
+        hashes, one, which = np.unique(hasher.words(low, starts, ends), return_index=True, return_inverse=True)
+        return cls(hashes, which, np.diff(first), *sub.of(hashes, low, starts[one], ends[one]))
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    def texts(self, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with their ends, ids a text), or of the rows of a mask."""
+        which, counts = (self.which, self.counts) if of is None else (self.which[np.repeat(of, self.counts)], self.counts[of])
+        n = self.sizes[which]
+        begin = np.cumsum(self.sizes) - self.sizes
+        flat = self.ids[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        lengths = np.diff(np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(counts)))])
         return np.insert(flat, np.cumsum(lengths), END), lengths + 1
 
 
-#: kind 0: hashes, counts, lengths and bytes of words; 1: keys and counts of id pairs; 2: ids, the sums of their contexts and their counts; 3: a number of texts.
-_COUNTS = "bucket int, kind int, a binary, b binary, c binary, d binary"
-_COUNT_TYPES = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+#: A slice: what its rows are, and the arrays of a _Slice.
+_SLICE_TYPES = {"doc_id": pa.list_(pa.int64()), "uid": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "learn": pa.list_(pa.bool_()), "hashes": pa.binary(), "which": pa.binary(), "counts": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
+_SLICES = "doc_id array<long>, uid array<long>, held_out array<boolean>, learn array<boolean>, hashes binary, which binary, counts binary, ids binary, sizes binary"
+
+
+def _packed(rows: pa.RecordBatch, s: _Slice) -> list[pa.Array]:
+    lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(k)) for k in ("doc_id", "uid", "held_out", "learn")]
+    arrays = (s.hashes, s.which.astype("<u4"), s.counts.astype("<u4"), s.ids, s.sizes.astype("<u2" if not len(s.sizes) or s.sizes.max() < 1 << 16 else "<u4"))
+    return [*lists, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
 
 
-def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The ranges of data one behind another."""
-    return data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Slice]]:
+    """(rows of doc_id, uid, held_out and learn, their slice)."""
+    for b in batches:
+        for i in range(b.num_rows):
+            rows = pa.RecordBatch.from_arrays([b.column(k)[i].values for k in range(4)], names=["doc_id", "uid", "held_out", "learn"])
+            hashes, which, counts, ids, sizes = (b.column(k)[i].as_buffer() for k in range(4, 9))
+            hashes, which, counts, ids = (np.frombuffer(x, t) for x, t in ((hashes, "<u8"), (which, "<u4"), (counts, "<u4"), (ids, "<u2")))
+            yield rows, _Slice(hashes, which, counts.astype(np.int64), ids, np.frombuffer(sizes, "<u2" if sizes.size == 2 * len(hashes) else "<u4").astype(np.int64))
+
+
+#: kind 0: hashes and counts of words; 1: keys and counts of id pairs; 2: ids, the sums of their contexts and their counts; 3: a number of texts.
+_COUNTS = "bucket int, kind int, a binary, b binary, c binary"
+_COUNT_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
 
 
 def _sum_by(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,33 +155,29 @@ class _Tally:
         self.pairs: list[tuple] = []
         self.sums, self.ids, self.texts, self.held = np.zeros((self.size, TRAITS)), np.zeros(self.size, np.int64), 0, 0
 
-    def add(self, s: _Slice, ids: np.ndarray, lengths: np.ndarray) -> None:
-        size = s.ends[s.one] - s.starts[s.one]
-        self.words.append((s.hashes, np.bincount(s.which, minlength=len(s.hashes)), size, _gather(s.low, s.starts[s.one], size)))
-        current = np.empty(len(ids), np.uint32)
-        current[1:] = ids[:-1]
-        current[np.cumsum(lengths) - lengths] = START
-        key, times = np.unique(current * np.uint32(self.size) + ids.astype(np.uint32), return_counts=True)
+    def add(self, s: _Slice, learn: np.ndarray) -> None:
+        """learn: mask of the slice's rows."""
+        if not learn.any():
+            return
+        ids, lengths = s.texts(learn)
+        times = np.bincount(s.which[np.repeat(learn, s.counts)], minlength=len(s.hashes))
+        here = np.flatnonzero(times)
+        self.words.append((s.hashes[here], times[here]))
+        key, times = np.unique(_pairs(ids, lengths, self.size), return_counts=True)
         self.pairs.append((key, times))
         self.sums += context_sums(self.vectors, ids, lengths)
         self.ids += np.bincount(ids, minlength=self.size)
         self.texts += len(lengths)
-        self.held += len(s.hashes) + len(key)
+        self.held += len(here) + len(key)
 
     def rows(self) -> Iterator[tuple]:
         """Rows of _COUNTS of what is held, which is then let go."""
         if self.texts:
-            hashes, counts, size = (np.concatenate([w[i] for w in self.words]) for i in range(3))
-            raw = np.concatenate([w[3] for w in self.words])
-            begin = np.cumsum(size) - size
-            words, one, total = _sum_by(hashes, counts)
-            size = size[one]
-            raw = _gather(raw, begin[one], size)
-            at = np.concatenate(([0], np.cumsum(size)))
+            words, _, total = _sum_by(*(np.concatenate([w[i] for w in self.words]) for i in range(2)))
             cut = np.searchsorted(packed.bucket_of(words, self.n), np.arange(self.n + 1))  # hashes ascend, so do their buckets
             for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
                 if y > x:
-                    yield k, 0, words[x:y].tobytes(), total[x:y].astype("<u4").tobytes(), size[x:y].astype("<u4").tobytes(), raw[at[x] : at[y]].tobytes()
+                    yield k, 0, words[x:y].tobytes(), total[x:y].astype("<u4").tobytes(), b""
             key, _, total = _sum_by(np.concatenate([p[0] for p in self.pairs]), np.concatenate([p[1] for p in self.pairs]))
             lane = (key // np.uint32(self.size)) % np.uint32(self.n)
             order = np.argsort(lane, kind="stable")
@@ -159,38 +185,48 @@ class _Tally:
             cut = np.searchsorted(lane[order], np.arange(self.n + 1))
             for k, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
                 if y > x:
-                    yield k, 1, key[x:y].tobytes(), total[x:y].astype("<u4").tobytes(), b"", b""
+                    yield k, 1, key[x:y].tobytes(), total[x:y].astype("<u4").tobytes(), b""
             some = np.flatnonzero(self.ids)
             if len(some):
-                yield int(some[0]) % self.n, 2, some.astype("<u4").tobytes(), self.sums[some].astype("<f4").tobytes(), self.ids[some].astype("<u4").tobytes(), b""
-            yield 0, 3, np.array([self.texts], "<i8").tobytes(), b"", b"", b""
+                yield int(some[0]) % self.n, 2, some.astype("<u4").tobytes(), self.sums[some].astype("<f4").tobytes(), self.ids[some].astype("<u4").tobytes()
+            yield 0, 3, np.array([self.texts], "<i8").tobytes(), b"", b""
         self._clear()
 
 
-def _count(docs: DataFrame, model: bytes) -> DataFrame:
-    """Rows of _COUNTS of the training texts."""
+def _pairs(ids: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """Keys of each id with the one before it."""
+    current = np.empty(len(ids), np.uint32)
+    current[1:] = ids[:-1]
+    current[np.cumsum(lengths) - lengths] = START
+    return current * np.uint32(size) + ids.astype(np.uint32)
+
+
+def _cut(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs(doc_id, uid, held_out, learn, text): rows of _SLICES of all texts, and rows of _COUNTS of the training texts."""
     n = buckets(docs.sparkSession)
-    names = [x.split()[0] for x in _COUNTS.split(", ")]
+    types = _SLICE_TYPES | {"c_" + k: t for k, t in _COUNT_TYPES.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded_blas()
-        hasher, sub = Hasher(5), Subwords(model)
+        hasher, sub = Hasher(5), _subwords(model)
         tally = _Tally(n, sub.size)
 
         def send() -> pa.RecordBatch:
             rows = list(tally.rows())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_COUNT_TYPES)], names=names)
+            counts = [pa.array([r[i] for r in rows], t) for i, t in enumerate(_COUNT_TYPES.values())]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), t) for t in _SLICE_TYPES.values()), *counts], names=list(types))
 
         with np.errstate(over="ignore"):
             for b in batches:
-                for _, _, data, offs in text_slices(b.column(0)):
-                    s = _Slice(hasher, data, offs)
-                    tally.add(s, *s.texts(*s.subwords(sub)))
+                for first, end, data, offs in text_slices(b.column("text")):
+                    s, rows = _Slice.of(hasher, sub, data, offs), b.slice(first, end - first)
+                    tally.add(s, rows.column("learn").to_numpy(zero_copy_only=False).astype(bool))
+                    yield pa.RecordBatch.from_arrays([*_packed(rows, s), *(pa.nulls(1, t) for t in _COUNT_TYPES.values())], names=list(types))
                     if tally.held > HELD:
                         yield send()
         yield send()
 
-    return docs.mapInArrow(run, _COUNTS)
+    return docs.mapInArrow(run, f"{_SLICES}, c_{_COUNTS.replace(', ', ', c_')}")
 
 
 _SUMS = "bucket int, kind int, words binary, counts binary, top binary, top_counts binary, n long, v long, texts long"
@@ -234,10 +270,13 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
     with open(tokenizer, "rb") as f:
         model = f.read()
     remainder = fold(F.col("doc_id"), FOLDS)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), F.coalesce(remainder == HELD_OUT, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    learn = slim.where(remainder != HELD_OUT)
+    is_fold = lambda x: F.coalesce(x, F.lit(False))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("uid"), is_fold(remainder == HELD_OUT).alias("held_out"), is_fold(remainder != HELD_OUT).alias("learn"), F.col("text").cast("string").alias("text"))
 
-    summed = materialize(_count(learn.select("text"), model).groupBy("bucket", "kind").applyInArrow(_add_up(-(-frequent // n), -(-pairs // n)), _SUMS), "lm-counts")
+    cut = materialize(_cut(slim, model), "lm-cut")
+    slices = cut.where("c_kind is null").select(*_SLICE_TYPES)
+    counted = cut.where("c_kind is not null").select(*(F.col("c_" + k).alias(k) for k in _COUNT_TYPES))
+    summed = materialize(counted.groupBy("bucket", "kind").applyInArrow(_add_up(-(-frequent // n), -(-pairs // n)), _SUMS), "lm-counts")
     # bounded: a few numbers, at most frequent + n words, pairs + n pairs, TRAITS numbers an id
     total = lambda k: F.coalesce(F.sum(k), F.lit(0))
     words_n, words_v, texts = summed.where("kind in (0, 3)").agg(total("n"), total("v"), total("texts")).first()
@@ -252,7 +291,7 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
 
     top, top_counts = held(0, "<u8")
     pair, pair_counts = held(1, "<u4")
-    size = Subwords(model).size
+    size = _subwords(model).size
     id_counts, sums = np.zeros(size), np.zeros((size, TRAITS))
     for r in summed.where("kind = 2").select("words", "counts", "top").collect():
         some = np.frombuffer(bytes(r.words), "<u4")
@@ -262,46 +301,39 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
     hold(net, pair, pair_counts, *_back_totals(summed, net.cls))
     # pairs that the model does not hold are looked up in their buckets, as rarer words are
     more = bool(summed.where("kind = 1").agg(total("v")).first()[0] > len(pair))
-    _train_all(net, learn, model, rounds, max(1, round(train_tokens / SHARD_TOKENS)))
+    _train_all(net, slices, rounds, max(1, round(train_tokens / SHARD_TOKENS)))
     denominator = np.log10(train_tokens + ALPHA * (train_words + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single_threaded_blas()
-        sub, hasher = Subwords(model), Hasher(5)
-        for b in batches:
-            uid = b.column(1).to_numpy(zero_copy_only=False)
+        for docs, s in _unpacked(batches):
             with np.errstate(over="ignore"):
-                for first, end, data, offs in text_slices(b.column(3)):
-                    s = _Slice(hasher, data, offs)
-                    ids, lengths = s.texts(*s.subwords(sub))
-                    lm = score(net, ids, lengths) / np.log(10)
-                    spot = np.minimum(np.searchsorted(top, s.hashes), max(0, len(top) - 1))
-                    found = top[spot] == s.hashes if len(top) else np.zeros(len(s.hashes), bool)
-                    logs = np.where(found, np.log10(top_counts[spot] + ALPHA), 0.0) if len(top) else np.zeros(len(s.hashes))
-                    rows = end - first
-                    base = np.bincount(s.row, weights=logs[s.which], minlength=rows) + np.log10(texts + ALPHA)
-                    known = np.bincount(s.row, weights=found[s.which], minlength=rows).astype(np.int64) + (texts > 0)
-                    yield _out(b.slice(first, rows), pa.array(s.counts + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(lm), [])
-                    # rarer words: distinct ones of a row with how often they come, as position
-                    rare = np.flatnonzero(~found[s.which])
-                    pair, times = np.unique(s.row[rare] * np.int64(max(1, len(s.hashes))) + s.which[rare], return_counts=True)
-                    r, w = pair // max(1, len(s.hashes)), pair % max(1, len(s.hashes))
-                    k = uid[first:end]
-                    sent = list(packed.pack(packed.bucket_of(s.hashes[w], n), k, np.zeros(rows, np.int64), r, times, s.hashes[w], 8)) if len(r) else []
-                    if more:
-                        current = np.empty(len(ids), np.uint32)
-                        current[1:] = ids[:-1]
-                        current[np.cumsum(lengths) - lengths] = START
-                        key = current * np.uint32(size) + ids.astype(np.uint32)
-                        rest = np.flatnonzero(~net.holds(key))
-                        both, times = np.unique((np.repeat(np.arange(rows), lengths)[rest] << 32) + key[rest].astype(np.int64), return_counts=True)
-                        r, h = both >> 32, (both & 0xFFFFFFFF).astype(np.uint64)
-                        sent += packed.pack(n + (h // np.uint64(size)).astype(np.int64) % n, k, np.zeros(rows, np.int64), r, times, h, 8)
-                    if sent:
-                        yield _out(None, None, None, None, None, sent)
+                ids, lengths = s.texts()
+                lm = score(net, ids, lengths) / np.log(10)
+                spot = np.minimum(np.searchsorted(top, s.hashes), max(0, len(top) - 1))
+                found = top[spot] == s.hashes if len(top) else np.zeros(len(s.hashes), bool)
+                logs = np.where(found, np.log10(top_counts[spot] + ALPHA), 0.0) if len(top) else np.zeros(len(s.hashes))
+                rows, row = len(s.counts), s.row
+                base = np.bincount(row, weights=logs[s.which], minlength=rows) + np.log10(texts + ALPHA)
+                known = np.bincount(row, weights=found[s.which], minlength=rows).astype(np.int64) + (texts > 0)
+                yield _out(docs, pa.array(s.counts + 1, pa.int64()), pa.array(known), pa.array(base), pa.array(lm), [])
+                # rarer words: distinct ones of a row with how often they come, as position
+                rare = np.flatnonzero(~found[s.which])
+                pair, times = np.unique(row[rare] * np.int64(max(1, len(s.hashes))) + s.which[rare], return_counts=True)
+                r, w = pair // max(1, len(s.hashes)), pair % max(1, len(s.hashes))
+                k = docs.column("uid").to_numpy(zero_copy_only=False)
+                sent = list(packed.pack(packed.bucket_of(s.hashes[w], n), k, np.zeros(rows, np.int64), r, times, s.hashes[w], 8)) if len(r) else []
+                if more:
+                    key = _pairs(ids, lengths, size)
+                    rest = np.flatnonzero(~net.holds(key))
+                    both, times = np.unique((np.repeat(np.arange(rows), lengths)[rest] << 32) + key[rest].astype(np.int64), return_counts=True)
+                    r, h = both >> 32, (both & 0xFFFFFFFF).astype(np.uint64)
+                    sent += packed.pack(n + (h // np.uint64(size)).astype(np.int64) % n, k, np.zeros(rows, np.int64), r, times, h, 8)
+                if sent:
+                    yield _out(None, None, None, None, None, sent)
 
     schema = f"doc_id long, uid long, held_out boolean, n_tokens long, known long, base double, lm double, {packed.SCHEMA}"
-    scored = materialize(slim.mapInArrow(run, schema), "lm-scored")
+    scored = materialize(slices.mapInArrow(run, schema), "lm-scored")
     asked = scored.where("bucket is not null").select(*packed.NAMES)
 
     bare = replace(net, pair=net.pair[:0], pair_ln=net.pair_ln[:0])
@@ -351,24 +383,45 @@ def _back_totals(summed: DataFrame, cls: np.ndarray) -> tuple[np.ndarray, np.nda
     return back[order], total[order], kinds[order]
 
 
-def _rows_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array]]:
-    """(shard, texts) in pieces of about SLICE_BYTES that depend on the shard's rows alone."""
-    held: list[str | None] = []
+def _rows_of_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, ids of texts, ids a text) in pieces of about PIECE_IDS that depend on the shard's rows alone."""
+    held: list[bytes] = []
     shard, size = None, 0
+    piece = lambda: (shard, np.frombuffer(b"".join(held), "<u2"), np.array([len(x) // 2 for x in held], np.int64))
     for b in batches:
-        for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if held and (own != shard or size >= SLICE_BYTES):
-                yield shard, pa.array(held, pa.string())
+        for ids, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if held and (own != shard or size >= PIECE_IDS):
+                yield piece()
                 held, size = [], 0
             shard = own
-            held.append(text)
-            size += len(text or "")
+            held.append(ids)
+            size += len(ids) // 2
     if held:
-        yield shard, pa.array(held, pa.string())
+        yield piece()
+
+
+def _shares(slices: DataFrame, low: int, high: int, shards: int) -> DataFrame:
+    """(part, uid, ids) of the training rows whose sixteenth, by hash, is low to high - 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs, s in _unpacked(batches):
+            uid = docs.column("uid").to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore"):
+                lot = mix(uid.astype(np.uint64))
+                sixteenth = lot % np.uint64(16)
+                mine = docs.column("learn").to_numpy(zero_copy_only=False).astype(bool) & (sixteenth >= np.uint64(low)) & (sixteenth < np.uint64(high))
+                part = (mix(lot + np.uint64(1)) % np.uint64(shards)).astype(np.int32)
+            ids, lengths = s.texts(mine)
+            # binary, as Arrow has it: the ids are the bytes, their ends the offsets
+            offs = np.concatenate(([0], np.cumsum(2 * lengths))).astype(np.int32)
+            texts = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(part[mine]), pa.array(uid[mine]), texts], names=["part", "uid", "ids"])
+
+    return slices.mapInArrow(run, "part int, uid long, ids binary")
 
 
-def _train_all(net: Net, learn: DataFrame, model: bytes, rounds: tuple[int, ...], shards: int) -> int:
-    """Trains net over all windows of learn(uid, text), each once if rounds add up to 16; returns how many they are."""
+def _train_all(net: Net, slices: DataFrame, rounds: tuple[int, ...], shards: int) -> int:
+    """Trains net over all windows of the training rows of slices, each once if rounds add up to 16; returns how many they are."""
     names = sorted(net.p)
     groups = math.isqrt(shards) + 1
     schema = "part int, windows long, weights binary"
@@ -378,22 +431,19 @@ def _train_all(net: Net, learn: DataFrame, model: bytes, rounds: tuple[int, ...]
 
         def run(batches: Iterator[pa.RecordBatch], nth: int = nth) -> Iterator[pa.RecordBatch]:
             single_threaded_blas()
-            sub, hasher, local, shard = Subwords(model), Hasher(5), None, None
+            local, shard = None, None
 
             def done() -> pa.RecordBatch:
                 local.update()
                 weights = np.concatenate([local.p[k].ravel() for k in names]).astype("<f8") * local.windows
                 return pa.RecordBatch.from_pylist([{"part": shard, "windows": local.windows, "weights": weights.tobytes()}], fields)
 
-            for own, texts in _rows_of_shards(batches):
+            for own, ids, lengths in _rows_of_shards(batches):
                 if own != shard:
                     if local is not None:
                         yield done()
                     shard, local = own, Local(net, (own << 8) + nth)
-                for _, _, data, offs in text_slices(texts):
-                    with np.errstate(over="ignore"):
-                        s = _Slice(hasher, data, offs)
-                        local.add(*s.texts(*s.subwords(sub)))
+                local.add(ids, lengths)
             if local is not None:
                 yield done()
 
@@ -405,8 +455,8 @@ def _train_all(net: Net, learn: DataFrame, model: bytes, rounds: tuple[int, ...]
             return pa.Table.from_pylist([{"part": rows[0]["part"], "windows": sum(r["windows"] for r in rows), "weights": weights.tobytes()}], fields)
 
         low = sum(rounds[:nth])
-        share = learn.where(F.pmod(F.xxhash64("uid"), F.lit(16)).between(low, low + share - 1)).withColumn("part", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(shards)).cast("int"))
-        share = share.repartition(max(1, min(shards, buckets(learn.sparkSession))), "part").sortWithinPartitions("part", "uid").select("text", "part")
+        share = _shares(slices, low, low + share, shards)
+        share = share.repartition(max(1, min(shards, buckets(slices.sparkSession))), "part").sortWithinPartitions("part", "uid").select("ids", "part")
         # sums of about a square root of the shards reach the driver
         sums = share.mapInArrow(run, schema).groupBy(F.col("part") % groups).applyInArrow(add_up, schema).collect()
         windows = sum(r.windows for r in sums)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import attention as A
 from pagemill.llm import lm_score as LM
@@ -169,3 +170,31 @@ def test_pairs_that_the_model_does_not_hold_are_scored_all_the_same(spark):
     scores = [sorted((r.doc_id, r.score) for r in lm_score(docs, pairs=pairs).collect()) for pairs in (4_000_000, 40)]
     assert [d for d, _ in scores[0]] == [d for d, _ in scores[1]]
     assert [s for _, s in scores[0]] == pytest.approx([s for _, s in scores[1]], rel=1e-4)
+
+
+def test_texts_are_cut_once(spark, tmp_path):
+    """Training and scoring read what the first pass has stored."""
+    log = tmp_path / "read"
+
+    @F.udf("string")
+    def noted(text):
+        with open(log, "ab") as f:
+            f.write(b".")
+        return text
+
+    rows = [(d, "some words and more " * (d % 7)) for d in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).select("doc_id", noted.asNondeterministic()("text").alias("text"))
+    assert len(lm_score(docs).collect()) == 50
+    assert log.stat().st_size == 50
+
+
+def test_context_sums_match_direct_sums():
+    rng = np.random.default_rng(9)
+    vectors, lengths = A.trait_vectors(40), np.array([1, 70, 32, 5])
+    ids, want = rng.integers(0, 40, lengths.sum()), np.zeros((40, A.TRAITS))
+    for begin, size in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+        for low in range(begin, begin + size, A.CONTEXT):
+            around = ids[low : min(low + A.CONTEXT, begin + size)]
+            for i in around:
+                want[i] += (vectors[around].sum(axis=0) - vectors[i]) / len(around)
+    assert np.allclose(A.context_sums(vectors, ids, lengths), want, atol=1e-4)
