@@ -185,22 +185,24 @@ def _attend(s: np.ndarray, opening: np.ndarray) -> None:
     s[opening, :, :OVERLAP] = 0
 
 
+def _by_sum(s: np.ndarray) -> np.ndarray:
+    """One over the sums of weights, for each entry of a head."""
+    return np.repeat(1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)), HEAD).reshape(*s.shape[:2], HEAD)
+
+
 def _level(logits: np.ndarray) -> None:
     """Logits that exp() can take."""
     if max(logits.max(), -logits.min()) >= 80:
         logits -= logits.max(axis=-1, keepdims=True)
 
 
-#: Columns of the projections of an input: keys, values, 1 (its weighted sum is that of the weights), queries.
-_K, _V1, _Q, _ONE = slice(0, HEAD), slice(HEAD, 2 * HEAD + 1), slice(2 * HEAD + 1, 3 * HEAD + 1), 2 * HEAD
+#: Columns of the projections of an input.
+_K, _V, _Q = slice(0, HEAD), slice(HEAD, 2 * HEAD), slice(2 * HEAD, 3 * HEAD)
 
 
 def _projections(p: dict[str, np.ndarray]) -> np.ndarray:
-    """(EMBED + 1) x (3 HEAD + 1): embeddings that end in 1 to their projections."""
-    w = np.zeros((EMBED + 1, 3 * HEAD + 1), np.float32)
-    w[:-1, _K], w[:-1, HEAD:_ONE], w[:-1, _Q] = p["K"], p["V"], p["Q"] * np.float32(1 / np.sqrt(HEAD))
-    w[-1, _ONE] = 1
-    return w
+    """EMBED x 3 HEAD: embeddings to their keys, values and queries."""
+    return np.hstack([p["K"], p["V"], p["Q"] * np.float32(1 / np.sqrt(HEAD))])
 
 
 def score(net: Net, ids: np.ndarray, lengths: np.ndarray, block: int = 64) -> np.ndarray:
@@ -214,27 +216,27 @@ def score(net: Net, ids: np.ndarray, lengths: np.ndarray, block: int = 64) -> np
     p, step = net.p, WINDOW - OVERLAP
     # projections of ids and of places add up, so they are looked up; so are the logits of the current id
     w = _projections(p)
-    table, places = p["E"] @ w[:-1] + w[-1], p["P"] @ w[:-1]
+    table, places = p["E"] @ w, p["P"] @ w
     own = p["E"] @ p["B"] + p["c"]
     rows_all = _views(net.row[current].astype(np.intp), at, WINDOW)
     target = _views(net.cls[ids], at + OVERLAP, step)
     spot = np.arange(block * step) * CLASSES
     ln = np.empty(len(at) * step, np.float32)
     x, kt = np.empty((block, WINDOW, table.shape[1]), np.float32), np.empty((block, HEAD, WINDOW), np.float32)
-    s, o = np.empty((block, step, WINDOW), np.float32), np.empty((block, step, HEAD + 1), np.float32)
+    s = np.empty((block, step, WINDOW), np.float32)
     u, logits, more = np.empty((block, step, HEAD), np.float32), np.empty((block, step, CLASSES), np.float32), np.empty((block * step, CLASSES), np.float32)
     ones = np.ones(CLASSES, np.float32)
     for i in range(0, len(at), block):
         rows = rows_all[i : i + block]
         if len(rows) < block:
-            x, kt, s, o, u, logits, more = x[: len(rows)], kt[: len(rows)], s[: len(rows)], o[: len(rows)], u[: len(rows)], logits[: len(rows)], more[: len(rows) * step]
+            x, kt, s, u, logits, more = x[: len(rows)], kt[: len(rows)], s[: len(rows)], u[: len(rows)], logits[: len(rows)], more[: len(rows) * step]
         np.take(table, rows, axis=0, out=x, mode="clip")
         x += places
         kt[:] = x[:, :, _K].transpose(0, 2, 1)
         np.matmul(x[:, OVERLAP:, _Q], kt, out=s)
         _attend(s, np.flatnonzero(at[i : i + block] < begin[i : i + block]))
-        np.matmul(s, x[:, :, _V1], out=o)
-        np.divide(o[:, :, :HEAD], o[:, :, HEAD:], out=u)
+        np.matmul(s, x[:, :, _V], out=u)
+        u *= _by_sum(s)
         np.take(own, rows[:, OVERLAP:], axis=0, out=logits, mode="clip")
         flat = logits.reshape(-1, CLASSES)
         flat += np.matmul(u.reshape(-1, HEAD), p["A"], out=more)
@@ -314,24 +316,21 @@ class Local:
         self.net, self.rng, self.step, self.windows, self.loss, self.ids = net, np.random.default_rng(seed), 0, 0, 0.0, 0
         self.p = {k: x.copy() for k, x in net.p.items()}
         self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        self.e1 = np.ones((len(self.p["E"]), EMBED + 1), np.float32)  # embeddings that end in 1
-        self.p1 = np.zeros((WINDOW, EMBED + 1), np.float32)
         b, step = self.BLOCK, WINDOW - OVERLAP
-        shapes = {"x": (WINDOW, EMBED + 1), "y": (WINDOW, 3 * HEAD + 1), "kt": (HEAD, WINDOW), "vt": (HEAD + 1, WINDOW), "s": (step, WINDOW), "ds": (step, WINDOW), "u": (step, HEAD), "own": (step, CLASSES), "d": (step, CLASSES), "da": (step, HEAD), "do": (step, HEAD + 1), "g": (WINDOW, 3 * HEAD + CLASSES)}
+        shapes = {"x": (WINDOW, EMBED), "y": (WINDOW, 3 * HEAD), "kt": (HEAD, WINDOW), "vt": (HEAD + 1, WINDOW), "s": (step, WINDOW), "ds": (step, WINDOW), "u": (step, HEAD), "own": (step, CLASSES), "d": (step, CLASSES), "da": (step, HEAD), "do": (step, HEAD + 1), "g": (WINDOW, 3 * HEAD + CLASSES)}
         self.room = {k: np.zeros((b, *x), np.float32) for k, x in shapes.items()}
         self.room["vt"][:, HEAD] = 1
+        self.dx = np.empty((EMBED, (self.BATCH + b) * WINDOW))
         self._look_up()
         self._clear()
 
     def _look_up(self) -> None:
         """What blocks look up between two steps."""
-        p = self.p
-        self.e1[:, :-1], self.p1[:, :-1] = p["E"], p["P"]
-        self.w, self.own = _projections(p), p["E"] @ p["B"] + p["c"]
+        self.w, self.own = _projections(self.p), self.p["E"] @ self.p["B"] + self.p["c"]
 
     def _clear(self) -> None:
         self.g: dict[str, np.ndarray] = {}
-        self.rows, self.dx, self.live, self.held = [], [], 0, 0
+        self.rows, self.live, self.held = [], 0, 0
 
     def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
         """ids: all texts one behind another, each with its end."""
@@ -358,16 +357,16 @@ class Local:
         r = self.room if n == self.BLOCK else {k: x[:n] for k, x in self.room.items()}
         x, z, s, u, d, da, do, ds, g = (r[k] for k in ("x", "y", "s", "u", "d", "da", "do", "ds", "g"))
         u2, d2, da2, g2 = (a.reshape(-1, a.shape[2]) for a in (u, d, da, g))
-        np.take(self.e1, rows, axis=0, out=x, mode="clip")
-        x += self.p1
-        np.matmul(x.reshape(-1, EMBED + 1), self.w, out=z.reshape(-1, 3 * HEAD + 1))
+        np.take(p["E"], rows, axis=0, out=x, mode="clip")
+        x += p["P"]
+        np.matmul(x.reshape(-1, EMBED), self.w, out=z.reshape(-1, 3 * HEAD))
         k, q = z[:, :, _K], z[:, OVERLAP:, _Q]
-        r["kt"][:], r["vt"][:, :HEAD] = k.transpose(0, 2, 1), z[:, :, HEAD:_ONE].transpose(0, 2, 1)
+        r["kt"][:], r["vt"][:, :HEAD] = k.transpose(0, 2, 1), z[:, :, _V].transpose(0, 2, 1)
         np.matmul(q, r["kt"], out=s)
         _attend(s, opening)
         # weights s are not divided by their sums, so what meets them is
-        by_sum = np.repeat(1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)), HEAD).reshape(u.shape)
-        np.matmul(s, z[:, :, HEAD:_ONE], out=u)
+        by_sum = _by_sum(s)
+        np.matmul(s, z[:, :, _V], out=u)
         u *= by_sum
         np.matmul(u2, p["A"], out=d2)
         d += np.take(self.own, rows[:, OVERLAP:], axis=0, out=r["own"], mode="clip")
@@ -392,11 +391,11 @@ class Local:
         scale = np.float32(1 / np.sqrt(HEAD))
         back = np.hstack([p["K"], p["V"], p["Q"] * scale, p["B"]])
         gw, by_place = np.matmul(x.transpose(0, 2, 1), g).sum(axis=0), (np.ones(n, np.float32) @ g.reshape(n, -1)).reshape(WINDOW, -1)
-        found = {"A": u2.T @ d2, "c": gw[-1, 3 * HEAD :], "K": gw[:-1, :HEAD], "V": gw[:-1, HEAD : 2 * HEAD], "Q": gw[:-1, 2 * HEAD : 3 * HEAD] * scale, "P": by_place[:, : 3 * HEAD] @ back[:, : 3 * HEAD].T}
-        found["B"] = gw[:-1, 3 * HEAD :] - p["P"].T @ by_place[:, 3 * HEAD :]  # the current id without its place
+        found = {"A": u2.T @ d2, "c": by_place[:, 3 * HEAD :].sum(axis=0), "K": gw[:, _K], "V": gw[:, _V], "Q": gw[:, _Q] * scale, "P": by_place[:, : 3 * HEAD] @ back[:, : 3 * HEAD].T}
+        found["B"] = gw[:, 3 * HEAD :] - p["P"].T @ by_place[:, 3 * HEAD :]  # the current id without its place
         self.g = {name: self.g[name] + z if self.g else z for name, z in found.items()}
         self.rows.append(rows.ravel())
-        self.dx.append((g2 @ back.T).T.astype(float))
+        self.dx[:, self.held * WINDOW : (self.held + n) * WINDOW] = (g2 @ back.T).T
         n_live = int(live.sum())
         self.live, self.held, self.windows, self.ids = self.live + n_live, self.held + n, self.windows + n, self.ids + n_live
 
@@ -404,10 +403,10 @@ class Local:
         """A step by the sums held; fewer windows than a batch make a smaller step."""
         if not self.held:
             return
-        rows, dx = np.concatenate(self.rows), np.concatenate(self.dx, axis=1)
+        rows = np.concatenate(self.rows)
         self.g["E"] = np.empty_like(self.p["E"])
-        for k, x in enumerate(dx):
-            self.g["E"][:, k] = np.bincount(rows, weights=x, minlength=len(self.e1))
+        for k, x in enumerate(self.dx):
+            self.g["E"][:, k] = np.bincount(rows, weights=x[: len(rows)], minlength=len(self.p["E"]))
         self.step += 1
         rate = self.RATE * min(1, self.step / 20) * min(1, self.held / self.BATCH)
         for name, x in self.p.items():

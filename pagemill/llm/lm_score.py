@@ -83,10 +83,31 @@ def _subwords(model: bytes) -> Subwords:
     return Subwords(model)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, ascending; an index of each; which of them each is)."""
+    order = np.argsort(x)
+    inside = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(inside[1:], inside[:-1], out=new[1:])
+    which = np.empty(len(x), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return inside[new], order[new], which
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes each as the largest takes, behind that width."""
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def _large(x: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
+
+
 class _Slice:
     """Words of a slice with the distinct ones told apart, and the ids of these."""
 
-    def __init__(self, hashes: np.ndarray, which: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, hashes: np.ndarray | None, which: np.ndarray, counts: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """Of distinct words: hashes, ids one behind another, ids a word; which: of each word; counts: words a row."""
         self.hashes, self.which, self.counts, self.ids, self.sizes = hashes, which, counts, ids, sizes
 
@@ -94,7 +115,7 @@ class _Slice:
     def of(cls, hasher: Hasher, sub: Subwords, data: np.ndarray, offs: np.ndarray) -> _Slice:
         low = LOWER[data]
         starts, ends, first = word_bounds(low, offs, SPACE)
-        hashes, one, which = np.unique(hasher.words(low, starts, ends), return_index=True, return_inverse=True)
+        hashes, one, which = _distinct(hasher.words(low, starts, ends))
         return cls(hashes, which, np.diff(first), *sub.of(hashes, low, starts[one], ends[one]))
 
     @property
@@ -112,24 +133,24 @@ class _Slice:
 
 
 #: A slice: what its rows are, and the arrays of a _Slice.
+_ROWS = ("doc_id", "uid", "held_out", "learn")
 _SLICE_TYPES = {"doc_id": pa.list_(pa.int64()), "uid": pa.list_(pa.int64()), "held_out": pa.list_(pa.bool_()), "learn": pa.list_(pa.bool_()), "hashes": pa.binary(), "which": pa.binary(), "counts": pa.binary(), "ids": pa.binary(), "sizes": pa.binary()}
 _SLICES = "doc_id array<long>, uid array<long>, held_out array<boolean>, learn array<boolean>, hashes binary, which binary, counts binary, ids binary, sizes binary"
 
 
 def _packed(rows: pa.RecordBatch, s: _Slice) -> list[pa.Array]:
-    lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(k)) for k in ("doc_id", "uid", "held_out", "learn")]
-    arrays = (s.hashes, s.which.astype("<u4"), s.counts.astype("<u4"), s.ids, s.sizes.astype("<u2" if not len(s.sizes) or s.sizes.max() < 1 << 16 else "<u4"))
-    return [*lists, *(pa.array([x.tobytes()], pa.binary()) for x in arrays)]
+    lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(k)) for k in _ROWS]
+    return [*lists, *(pa.array([x], pa.binary()) for x in (s.hashes.tobytes(), _small(s.which), _small(s.counts), s.ids.tobytes(), _small(s.sizes)))]
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _Slice]]:
-    """(rows of doc_id, uid, held_out and learn, their slice)."""
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, pa.Array], _Slice]]:
+    """(columns of the rows, their slice); the hashes and columns of rows that are not asked for may be left out."""
     for b in batches:
+        names = b.schema.names
         for i in range(b.num_rows):
-            rows = pa.RecordBatch.from_arrays([b.column(k)[i].values for k in range(4)], names=["doc_id", "uid", "held_out", "learn"])
-            hashes, which, counts, ids, sizes = (b.column(k)[i].as_buffer() for k in range(4, 9))
-            hashes, which, counts, ids = (np.frombuffer(x, t) for x, t in ((hashes, "<u8"), (which, "<u4"), (counts, "<u4"), (ids, "<u2")))
-            yield rows, _Slice(hashes, which, counts.astype(np.int64), ids, np.frombuffer(sizes, "<u2" if sizes.size == 2 * len(hashes) else "<u4").astype(np.int64))
+            at = lambda k, b=b, i=i: b.column(k)[i].as_buffer()
+            hashes = np.frombuffer(at("hashes"), "<u8") if "hashes" in names else None
+            yield {k: b.column(k)[i].values for k in names if k in _ROWS}, _Slice(hashes, _large(at("which")), _large(at("counts")), np.frombuffer(at("ids"), "<u2"), _large(at("sizes")))
 
 
 #: kind 0: hashes and counts of words; 1: keys and counts of id pairs; 2: ids, the sums of their contexts and their counts; 3: a number of texts.
@@ -139,7 +160,7 @@ _COUNT_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "a": pa.binary(), "b":
 
 def _sum_by(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, an index of each, sums)."""
-    some, one, at = np.unique(key, return_index=True, return_inverse=True)
+    some, one, at = _distinct(key)
     return some, one, np.bincount(at, weights=count, minlength=len(some)).astype(np.int64)
 
 
@@ -321,7 +342,7 @@ def lm_score(docs: DataFrame, tokenizer: str = TOKENIZER, frequent: int = FREQUE
                 rare = np.flatnonzero(~found[s.which])
                 pair, times = np.unique(row[rare] * np.int64(max(1, len(s.hashes))) + s.which[rare], return_counts=True)
                 r, w = pair // max(1, len(s.hashes)), pair % max(1, len(s.hashes))
-                k = docs.column("uid").to_numpy(zero_copy_only=False)
+                k = docs["uid"].to_numpy(zero_copy_only=False)
                 sent = list(packed.pack(packed.bucket_of(s.hashes[w], n), k, np.zeros(rows, np.int64), r, times, s.hashes[w], 8)) if len(r) else []
                 if more:
                     key = _pairs(ids, lengths, size)
@@ -405,11 +426,11 @@ def _shares(slices: DataFrame, low: int, high: int, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, s in _unpacked(batches):
-            uid = docs.column("uid").to_numpy(zero_copy_only=False)
+            uid = docs["uid"].to_numpy(zero_copy_only=False)
             with np.errstate(over="ignore"):
                 lot = mix(uid.astype(np.uint64))
                 sixteenth = lot % np.uint64(16)
-                mine = docs.column("learn").to_numpy(zero_copy_only=False).astype(bool) & (sixteenth >= np.uint64(low)) & (sixteenth < np.uint64(high))
+                mine = docs["learn"].to_numpy(zero_copy_only=False).astype(bool) & (sixteenth >= np.uint64(low)) & (sixteenth < np.uint64(high))
                 part = (mix(lot + np.uint64(1)) % np.uint64(shards)).astype(np.int32)
             ids, lengths = s.texts(mine)
             # binary, as Arrow has it: the ids are the bytes, their ends the offsets
@@ -417,7 +438,7 @@ def _shares(slices: DataFrame, low: int, high: int, shards: int) -> DataFrame:
             texts = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(ids.tobytes())])
             yield pa.RecordBatch.from_arrays([pa.array(part[mine]), pa.array(uid[mine]), texts], names=["part", "uid", "ids"])
 
-    return slices.mapInArrow(run, "part int, uid long, ids binary")
+    return slices.select("uid", "learn", "which", "counts", "ids", "sizes").mapInArrow(run, "part int, uid long, ids binary")
 
 
 def _train_all(net: Net, slices: DataFrame, rounds: tuple[int, ...], shards: int) -> int:
@@ -468,10 +489,10 @@ def _train_all(net: Net, slices: DataFrame, rounds: tuple[int, ...], shards: int
     return seen
 
 
-def _out(rows: pa.RecordBatch | None, n_tokens, known, base, lm, sent: list[tuple]) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
+def _out(rows: dict[str, pa.Array] | None, n_tokens, known, base, lm, sent: list[tuple]) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["doc_id", "uid", "held_out", "n_tokens", "known", "base", "lm", *packed.NAMES]
     if rows is not None:
-        docs = [rows.column(0), rows.column(1), rows.column(2), n_tokens, known, base, lm]
-        return pa.RecordBatch.from_arrays([*docs, *(pa.nulls(rows.num_rows, t) for t in packed.TYPES)], names=names)
+        docs = [rows["doc_id"], rows["uid"], rows["held_out"], n_tokens, known, base, lm]
+        return pa.RecordBatch.from_arrays([*docs, *(pa.nulls(len(known), t) for t in packed.TYPES)], names=names)
     return pa.RecordBatch.from_arrays([*(pa.nulls(len(sent), t) for t in kinds), *packed.batch(sent).columns], names=names)
